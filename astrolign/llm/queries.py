@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.llm import bitplanes, byte_bpe, minhash, mixing, secrets, substring_dedup, toxicity
+from astrolign.llm import bitplanes, byte_bpe, minhash, mixing, secrets, substring_dedup, topk, toxicity
 from astrolign.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,6 +55,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), TOKENIZER).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -64,9 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash": op5_minhash,
+    "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_bitplanes": op8_bitplanes,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.TOP_K_SQL, "op7_mixing": mixing.mix_sql()}
