@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.llm import bitplanes, byte_bpe, minhash, mixing, secrets, substring_dedup, topk, toxicity
+from astrolign.llm import bitplanes, byte_bpe, minhash, mixing, pii, secrets, substring_dedup, topk, toxicity
 from astrolign.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = joined(F.filter("spans", lambda x: x["kind"].isin(*pii.BASE)))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_bitplanes": op8_bitplanes,
+    "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
 
