@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.llm import bitplanes, byte_bpe, minhash, mixing, pii, secrets, substring_dedup, topk, toxicity
+from astrolign.llm import bitplanes, byte_bpe, media, minhash, mixing, pii, secrets, substring_dedup, topk, toxicity
 from astrolign.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,6 +55,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = media.read_back(media.sniffed(media.stored(documents(spark, sf_dir))))
+    payload, n = F.col("payload"), F.length("payload")
+    return back.select(
+        "doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -74,6 +83,7 @@ def op8_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_media": op3_media,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash": op5_minhash,
     "op6_topk": op6_topk,
