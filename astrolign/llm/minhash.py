@@ -176,8 +176,10 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, bands: int =
     left = staged(left.join(open_keys, "key"), "left")
     few = left.where(F.col("n") <= small)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND x.root <> y.root")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = staged(verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, n, percent), "links")
-    many = left.where(F.col("n") > small).join(sets.select("rep", "words"), "rep")
+    # From here on only the words of documents that are left travel, not those of all.
+    words = staged(sets.select("rep", "words").join(left.select("rep").distinct(), "rep", "left_semi"), "words")
+    more = staged(verified(pairs.join(tested, ["a", "b"], "left_anti"), words, n, percent), "links")
+    many = left.where(F.col("n") > small).join(words, "rep")
     blocks = staged(linked_in_blocks(many.select("key", "rep", "root", "words"), n, percent), "links")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(blocks))
     members = full.select("doc_id", "digest").distinct().join(sets.select("digest", "rep"), "digest").select("doc_id", "rep")
