@@ -1,7 +1,578 @@
-"""The registered queries of the reference's operators, and their DuckDB SQL."""
+"""The registered queries of the sky operators, named by what they compute, and their DuckDB SQL. Numbers are rounded only after all thresholds."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from astrolign import tables as t
+from astrolign.config import Camera, Detection, Photometry
+from astrolign.functions import accuracy, camera, geometry, photometry
+from astrolign.operators import attitude, graph, image, joins, reports, voting
+from astrolign.plans import pipelines
+from astrolign.sources import catalogue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "flagship_identify"
+CAM = Camera()
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def r6(c: Column | str, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
+
+
+def s6(x: str, n: int = 6) -> str:
+    return f"round(({x})::DOUBLE, {n}) + 0.0::DOUBLE"
+
+
+def rounded(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(c, n) for c in columns})
+
+
+# --- Sources, projections, filters ---------------------------------------------------------------------------------------------------------------
+
+@query("s4_w1_catalogue", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, cat_idx, {s6('ra_deg')} AS ra_deg, {s6('dec_deg')} AS dec_deg, {s6('vmag')} AS vmag, {s6('x')} AS x, {s6('y')} AS y, {s6('z')} AS z FROM cat"))
+def s4_w1(spark, d):
+    return rounded(catalogue.with_order(t.catalogue(spark, d)).select("hip", F.col("cat_idx").cast("long").alias("cat_idx"), "ra_deg", "dec_deg", "vmag", "x", "y", "z"), "ra_deg", "dec_deg", "vmag", "x", "y", "z")
+
+
+@query("s5_p1_p2_clean", f"SELECT p_partkey AS hip, {s6('p_retailprice / 10')} AS ra_deg, p_size::DOUBLE AS dec_deg, {s6('p_retailprice / 200')} AS vmag FROM part WHERE p_retailprice / 200 < 6.5")
+def s5_clean(spark, d):
+    raw = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("hip"), (F.col("p_retailprice") / 10).alias("ra_deg"), F.col("p_size").alias("dec_deg"), (F.col("p_retailprice") / 200).alias("vmag"))
+    return rounded(catalogue.cleaned(raw), "ra_deg", "vmag")
+
+
+_KNOWN = "SELECT s_suppkey AS hip, 360.0::DOUBLE * ((k * k * 1000003 + k * 7919 + 17) % 1048573) / 1048573 + s_suppkey % 3 * 0.7 AS ra_deg, degrees(asin(2.0::DOUBLE * ((k * k * 999983 + k * 104729 + 91) % 1048573) / 1048573 - 1)) AS dec_deg FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier)"
+
+
+@query("s6_j10_known_stars", t.with_sql(t.CATALOGUE_SQL, f"known AS ({_KNOWN})", "SELECT k.hip, CASE WHEN c.hip IS NULL THEN 'missing' WHEN abs(c.ra_deg - k.ra_deg) > 1 OR abs(c.dec_deg - k.dec_deg) > 1 THEN 'off' ELSE 'ok' END AS status FROM known k LEFT JOIN cat c USING (hip)"))
+def s6_known(spark, d):
+    k = F.col("s_suppkey")
+    known = spark.read.parquet(f"{d}/supplier.parquet").select(
+        k.alias("hip"), (360 * F.pmod(k * k * 1000003 + k * 7919 + 17, F.lit(1048573)) / 1048573 + k % 3 * 0.7).alias("ra_deg"), F.degrees(F.asin(2 * F.pmod(k * k * 999983 + k * 104729 + 91, F.lit(1048573)) / 1048573 - 1)).alias("dec_deg")
+    )
+    return catalogue.check_known(t.catalogue(spark, d), known)
+
+
+@query("s13_off_galactic_plane", t.with_sql(t.CATALOGUE_SQL, "lat AS (SELECT hip, sin(radians(dec_deg)) * sin(radians(27.12825)) + cos(radians(dec_deg)) * cos(radians(27.12825)) * cos(radians(ra_deg) - radians(192.85948)) AS s FROM cat)", f"SELECT hip, {s6('degrees(asin(s))')} AS b FROM lat WHERE abs(degrees(asin(s))) > 15"))
+def s13(spark, d):
+    b = F.degrees(F.asin(geometry.clamp(photometry.galactic_latitude_sine(F.col("ra_deg"), F.col("dec_deg")))))
+    return t.catalogue(spark, d).select("hip", b.alias("b")).where(F.abs("b") > 15).select("hip", r6("b").alias("b"))
+
+
+@query("s14_f34_names", "SELECT page_id, list_extract(string_split(url, '/'), -1) AS filename, printf('frame_%04d', page_id) AS name FROM pages")
+def s14_names(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.element_at(F.split("url", "/"), -1).alias("filename"), F.format_string("frame_%04d", "page_id").alias("name"))
+    return pages.orderBy("name")
+
+
+@query("p3_cone_search", t.with_sql(t.CATALOGUE_SQL, t.FRAMES_SQL, f"SELECT frame_id, hip, {s6('sep', 4)} AS sep FROM (SELECT frame_id, hip, degrees(acos(greatest(-1.0, least(1.0, cos(radians(dec))*cos(radians(ra))*x + cos(radians(dec))*sin(radians(ra))*y + sin(radians(dec))*z)))) AS sep FROM frames, cat) WHERE sep <= 12"))
+def p3_cone(spark, d):
+    axis = geometry.radec_to_vector(F.col("ra"), F.col("dec"))
+    sep = geometry.separation_acos(axis, {k: F.col(k) for k in "xyz"})
+    return t.frames(spark, d).join(t.catalogue(spark, d), F.lit(True)).select("frame_id", "hip", sep.alias("sep")).where("sep <= 12").select("frame_id", "hip", r6("sep", 4).alias("sep"))
+
+
+_PROJECT = f"""flat AS (SELECT frame_id, c.hip, r20*x + r21*y + r22*z AS bz, (r00*x + r01*y + r02*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS px, (r10*x + r11*y + r12*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS py FROM rot, cat c),
+bent AS (SELECT *, 1 + -1e-7::DOUBLE * (px*px + py*py) + 1e-13::DOUBLE * pow(px*px + py*py, 2) AS f FROM flat),
+proj AS (SELECT frame_id, hip, bz, CASE WHEN bz > 0 THEN px * f + 512 END AS u, CASE WHEN bz > 0 THEN py * f + 512 END AS v FROM bent)"""
+
+
+@query("p4_visible_stars", t.with_sql(t.SKY_SQL, _PROJECT, f"SELECT frame_id, hip AS star, {s6('u', 4)} AS u, {s6('v', 4)} AS v FROM proj WHERE u >= 0 AND u < 1024 AND v >= 0 AND v < 1024"))
+def p4_visible(spark, d):
+    return rounded(pipelines.visible(t.frames(spark, d), t.catalogue(spark, d)).select("frame_id", "star", "u", "v"), "u", "v", n=4)
+
+
+@query("p5_f15_f16_project", t.with_sql(t.SKY_SQL, _PROJECT, f"SELECT frame_id, hip, bz > 0 AND coalesce(u >= 0 AND u < 1024 AND v >= 0 AND v < 1024, false) AS on_sensor FROM proj WHERE bz > 0"))
+def p5_project(spark, d):
+    f = t.frames(spark, d).withColumn("m", geometry.pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll")))
+    turned = f.join(t.catalogue(spark, d).alias("c"), F.lit(True)).select("frame_id", "hip", *[v.alias(f"b{k}") for k, v in geometry.rotate(F.col("m"), joins.vec("c")).items()])
+    turned = turned.where("bz > 0").withColumn("p", camera.vector_to_pixel(CAM, {k: F.col(f"b{k}") for k in "xyz"}))
+    return turned.select("frame_id", "hip", camera.on_sensor(CAM, F.col("p.u"), F.col("p.v")).alias("on_sensor"))
+
+
+@query("p6_j13_dark", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("greatest(value - dark, 0)")} AS value FROM px JOIN fixed USING (r, c)'))
+def p6_dark(spark, d):
+    return rounded(image.subtract_dark(t.pixels(spark, d), t.field_frame(spark, d).select("row", "col", "dark")), "value")
+
+
+@query("p7_flat", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value / greatest(flat / (SELECT avg(flat) FROM fixed), 0.1)")} AS value FROM px JOIN fixed USING (r, c)'))
+def p7_flat(spark, d):
+    return rounded(image.flatten(t.pixels(spark, d), t.field_frame(spark, d).select("row", "col", "flat")), "value")
+
+
+_TILES = "tile AS (SELECT frame_id, r // 5 AS tr, c // 5 AS tc, median(value) AS med FROM px WHERE r < 60 AND c < 60 GROUP BY ALL)"
+_ZOOM = """zoom AS (SELECT p.frame_id, p.r, p.c, p.value, sum(med * greatest(1 - abs(p.r * 11.0::DOUBLE / 63 - tr), 0) * greatest(1 - abs(p.c * 11.0::DOUBLE / 63 - tc), 0)) AS bg
+    FROM px p JOIN tile g ON g.frame_id = p.frame_id AND abs(p.r * 11.0::DOUBLE / 63 - tr) <= 1 AND abs(p.c * 11.0::DOUBLE / 63 - tc) <= 1 GROUP BY ALL)"""
+
+
+@query("a5_tile_medians", t.with_sql(t.IMAGE_SQL, _TILES, f"SELECT frame_id, tr AS tile_row, tc AS tile_col, {s6('med')} AS median FROM tile"))
+def a5_tiles(spark, d):
+    return rounded(image.tile_medians(t.pixels(spark, d), t.SIDE, t.SIDE), "median")
+
+
+@query("p8_k3_background", t.with_sql(t.IMAGE_SQL, _TILES, _ZOOM, f'SELECT frame_id, r AS "row", c AS col, {s6("greatest(value - bg, 0)", 5)} AS value FROM zoom'))
+def p8_background(spark, d):
+    p = t.pixels(spark, d)
+    return rounded(image.remove_background(p, image.background(image.tile_medians(p, t.SIDE, t.SIDE), t.SIDE, t.SIDE)), "value", n=5)
+
+
+@query("a6_noise", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, f"SELECT frame_id, {s6('sigma')} AS sigma FROM sig"))
+def a6_noise(spark, d):
+    return rounded(image.noise(t.pixels(spark, d)), "sigma")
+
+
+@query("p9_mask", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value")} AS value FROM masked'))
+def p9_mask(spark, d):
+    return rounded(t.masked(spark, d).select(*image.PIXEL, "value"), "value")
+
+
+@query("k1_components", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, t.BLOBS_SQL, 'SELECT frame_id, r AS "row", c AS col, l AS label FROM labelled', recursive=True))
+def k1_components(spark, d):
+    return image.label(t.masked(spark, d)).select(*image.PIXEL, "label")
+
+
+def blobs(spark, d):
+    return image.verdicts(image.blobs(image.label(t.masked(spark, d))))
+
+
+@query("p10_a7_a8_a9_blobs", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, t.BLOBS_SQL, f"SELECT frame_id, l AS label, area, {s6('flux')} AS flux, {s6('peak')} AS peak, {s6('u')} AS u, {s6('v')} AS v, {s6('ecc', 5)} AS eccentricity, reason FROM judged", recursive=True))
+def p10_blobs(spark, d):
+    return rounded(rounded(blobs(spark, d).select("frame_id", "label", "area", "flux", "peak", "u", "v", "eccentricity", "reason"), "flux", "peak", "u", "v"), "eccentricity", n=5)
+
+
+@query("a14_rejections", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, t.BLOBS_SQL, "SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason", recursive=True))
+def a14_rejections(spark, d):
+    return reports.rejected(blobs(spark, d))
+
+
+@query("p11_f20_f21_w2_stars", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, t.BLOBS_SQL, f"SELECT frame_id, l AS label, {s6('mag')} AS mag, {s6('snr')} AS snr, CASE WHEN peak >= 0.9 * 40 THEN 'saturated' WHEN snr < 4 THEN 'marginal' ELSE 'good' END AS quality, row_number() OVER (PARTITION BY frame_id ORDER BY mag, l) - 1 AS star_index FROM found", recursive=True))
+def p11_stars(spark, d):
+    out = image.detections(blobs(spark, d), Detection(sigma=2.0, saturation=40.0))
+    return rounded(out.select("frame_id", "label", "mag", "snr", "quality", F.col("star_index").cast("long").alias("star_index")), "mag", "snr")
+
+
+@query("k2_gaussian_centroids")
+def k2_centroids(spark, d):
+    return image.centroids(t.pixels(spark, d), image.detections(blobs(spark, d))).select("frame_id", "label", "u", "v", "fit_u", "fit_v")
+
+
+@query("k13_render", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value")} AS value FROM light'))
+def k13_render(spark, d):
+    return rounded(image.rendered(t.image_stars(spark, d), t.SIDE, t.SIDE), "value")
+
+
+@query("k14_noise_model")
+def k14_noise(spark, d):
+    return image.with_noise(t.pixels(spark, d), 7, Photometry())
+
+
+@query("a17_display_range", t.with_sql(t.IMAGE_SQL, f"SELECT frame_id, {s6('quantile_cont(value, 0.01)')} AS low, {s6('quantile_cont(value, 0.99)')} AS high FROM px GROUP BY frame_id"))
+def a17_range(spark, d):
+    return rounded(reports.display_range(t.pixels(spark, d)), "low", "high")
+
+
+@query("a18_image_stats", t.with_sql(t.IMAGE_SQL, f"SELECT frame_id, {s6('min(value)')} AS least, {s6('max(value)')} AS most, {s6('avg(value)')} AS mean, {s6('stddev_pop(value)')} AS std FROM px GROUP BY frame_id"))
+def a18_stats(spark, d):
+    return rounded(reports.image_stats(t.pixels(spark, d)), "least", "most", "mean", "std")
+
+
+# --- Pairs, votes, identification ----------------------------------------------------------------------------------------------------------------
+
+@query("j1_catalogue_pairs", t.with_sql(t.CATALOGUE_SQL, t.PAIRS_SQL, f"SELECT a, b, {s6('ang', 5)} AS ang, floor(ang / 0.01)::BIGINT AS bucket FROM pair"))
+def j1_pairs(spark, d):
+    return rounded(t.pairs(spark, d).select("a", "b", "ang", "bucket"), "ang", n=5)
+
+
+@query("j3_p12_w3_observed_pairs", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, i, j, {s6('obs', 5)} AS obs FROM obs"))
+def j3_observed(spark, d):
+    out = voting.observed_pairs(voting.selected(t.sky_stars(spark, d)))
+    return out.select("frame_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("obs", 5).alias("obs"))
+
+
+def hits(spark, d):
+    return voting.hits(voting.observed_pairs(voting.selected(t.sky_stars(spark, d))), t.pairs(spark, d))
+
+
+@query("j2_band_join", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT frame_id, i, j, a, b FROM hit"))
+def j2_band(spark, d):
+    return hits(spark, d).select("frame_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a", "b")
+
+
+@query("a1_u1_votes", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT * FROM counted"))
+def a1_votes(spark, d):
+    return voting.votes(hits(spark, d)).withColumn("star_index", F.col("star_index").cast("long"))
+
+
+def chosen(spark, d):
+    return voting.candidates(voting.votes(hits(spark, d)))
+
+
+@query("w4_candidates", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, votes, {s6('least(ratio, 1e9)')} AS ratio FROM cand"))
+def w4_candidates(spark, d):
+    return chosen(spark, d).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "hip", "votes", r6(F.least("ratio", F.lit(1e9))).alias("ratio"))
+
+
+def scored(spark, d):
+    return voting.consistency(chosen(spark, d), voting.selected(t.sky_stars(spark, d)), t.catalogue(spark, d))
+
+
+@query("j4_a3_consistency", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, {s6('confidence')} AS confidence FROM scored"))
+def j4_consistency(spark, d):
+    return scored(spark, d).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "hip", r6("confidence").alias("confidence"))
+
+
+def matched(spark, d):
+    return voting.identify(t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d))
+
+
+@query(FLAGSHIP, t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, votes, {s6('confidence')} AS confidence FROM matched"))
+def flagship_u2(spark, d):
+    return matched(spark, d).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "hip", "votes", r6("confidence").alias("confidence"))
+
+
+_TRUE = "obsd AS (SELECT frame_id, star_index, bx, by_, bz, x, y, z, snr AS w FROM used JOIN cat ON hip = star)"
+
+
+def true_observations(spark, d):
+    """Every selected star with its own catalogue star, for operators that come after the matching."""
+    used = voting.selected(t.sky_stars(spark, d))
+    return attitude.observations(used.select("frame_id", "star_index", F.col("star").alias("hip"), F.lit(1.0).alias("confidence")), used, t.catalogue(spark, d))
+
+
+@query("j7_observations", t.with_sql(t.SKY_SQL, _TRUE, f"SELECT frame_id, star_index, {s6('bx')} AS bx, {s6('x')} AS rx, {s6('w')} AS weight FROM obsd"))
+def j7_observations(spark, d):
+    return rounded(true_observations(spark, d).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "bx", "rx", "weight"), "bx", "rx", "weight")
+
+
+_B = ", ".join(f"{s6(f'sum(w * {r} * {b}) / sum(w)')} AS {i}{j}" for i, r in zip("xyz", ("x", "y", "z"), strict=True) for j, b in zip("xyz", ("bx", "by_", "bz"), strict=True))
+
+
+@query("a10_attitude_profile", t.with_sql(t.SKY_SQL, _TRUE, f"SELECT frame_id, {_B} FROM obsd GROUP BY frame_id"))
+def a10_profile(spark, d):
+    return rounded(attitude.profile(true_observations(spark, d)), *[f"{i}{j}" for i in "xyz" for j in "xyz"])
+
+
+def solved(spark, d):
+    return attitude.solve(true_observations(spark, d))
+
+
+# Noiseless directions have one attitude: that of the frame.
+@query("k4_k5_k6_attitude", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('r00', 5)} AS r00, {s6('r01', 5)} AS r01, {s6('r12', 5)} AS r12, {s6('r22', 5)} AS r22, count(*) AS n FROM used JOIN rot USING (frame_id) GROUP BY ALL"))
+def k5_attitude(spark, d):
+    out = solved(spark, d).withColumn("m", geometry.rotation(F.struct(*geometry.Q)))
+    return out.select("frame_id", *[r6(f"m.{k}", 5).alias(k) for k in ("r00", "r01", "r12", "r22")], F.col("n_total").cast("long").alias("n"))
+
+
+@query("f22_a11_residuals", t.with_sql(t.SKY_SQL, _TRUE, f"SELECT frame_id, {s6('sqrt(avg(e * e))', 4)} AS rms_arcsec, {s6('sum(pow(e / 3600 / 57.2958, 2))')} AS total FROM (SELECT frame_id, degrees(acos(greatest(-1.0, least(1.0, bx*x + by_*y + bz*z)))) * 3600 AS e FROM obsd) GROUP BY frame_id"))
+def a11_residuals(spark, d):
+    # Against no rotation, so that the errors aren't rounding alone.
+    o = true_observations(spark, d)
+    still = F.struct(F.lit(1.0).alias("q0"), *[F.lit(0.0).alias(k) for k in geometry.Q[1:]])
+    e = accuracy.residual_arcsec(still, {k: F.col(f"r{k}") for k in "xyz"}, {k: F.col(f"b{k}") for k in "xyz"})
+    return rounded(rounded(attitude.residual_summary(o.select("frame_id", e.alias("residual_arcsec"))), "rms_arcsec", n=4), "total")
+
+
+@query("j11_u5_matched_split", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT s.frame_id, s.star_index, m.hip IS NOT NULL AS matched FROM stars s LEFT JOIN matched m USING (frame_id, star_index)"))
+def j11_split(spark, d):
+    stars, found = t.sky_stars(spark, d), matched(spark, d).select("frame_id", "star_index")
+    yes = stars.join(found, ["frame_id", "star_index"], "left_semi").withColumn("matched", F.lit(True))
+    no = stars.join(found, ["frame_id", "star_index"], "left_anti").withColumn("matched", F.lit(False))
+    return yes.union(no).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "matched")
+
+
+@query("a15_confidence", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT {s6('100 * avg(confidence) FILTER (WHERE confidence > 0)')} AS confidence_percent FROM matched"))
+def a15_confidence(spark, d):
+    return rounded(reports.mean_confidence(matched(spark, d)), "confidence_percent")
+
+
+@query("j12_match_table")
+def j12_table(spark, d):
+    return reports.match_table(matched(spark, d), t.catalogue(spark, d))
+
+
+@query("u3_fallback", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "good AS (SELECT frame_id FROM matched GROUP BY frame_id HAVING count(*) >= 3)", "SELECT frame_id, star_index, hip, 'triangle' AS method FROM matched SEMI JOIN good USING (frame_id) UNION ALL SELECT frame_id, star_index, star, 'gnn' FROM used ANTI JOIN good USING (frame_id)"))
+def u3_fallback(spark, d):
+    second = voting.selected(t.sky_stars(spark, d)).select("frame_id", "star_index", F.col("star").alias("hip"))
+    out = reports.with_fallback(matched(spark, d).select("frame_id", "star_index", "hip"), second)
+    return out.withColumn("star_index", F.col("star_index").cast("long"))
+
+
+@query("w8_five_brightest", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('vmag')} AS vmag FROM cat ORDER BY cat_idx LIMIT 5"))
+def w8_brightest(spark, d):
+    return t.catalogue(spark, d).orderBy("vmag", "hip").limit(5).select("hip", r6("vmag").alias("vmag"))
+
+
+# --- Neighbourhoods and embeddings ---------------------------------------------------------------------------------------------------------------
+
+_NEAR = """near_ AS (SELECT s.hip AS patch, t.hip, t.x, t.y, t.z, t.vmag AS mag, s.ra_deg, s.dec_deg FROM cat s JOIN cat t ON s.hip = t.hip OR s.x*t.x + s.y*t.y + s.z*t.z >= cos(radians(15.0))),
+members AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY patch) AS n FROM near_) WHERE n >= 3),
+nodes AS (SELECT patch, hip AS node, mag, degrees(-sin(radians(ra_deg)) * x + cos(radians(ra_deg)) * y) AS px, degrees(-sin(radians(dec_deg)) * cos(radians(ra_deg)) * x - sin(radians(dec_deg)) * sin(radians(ra_deg)) * y + cos(radians(dec_deg)) * z) AS py FROM members)"""
+_EDGES = "ranked AS (SELECT s.patch, s.node AS src, t.node AS dst, sqrt(pow(s.px - t.px, 2) + pow(s.py - t.py, 2)) AS d, s.mag, row_number() OVER (PARTITION BY s.patch, s.node ORDER BY sqrt(pow(s.px - t.px, 2) + pow(s.py - t.py, 2)), t.node) AS rn FROM nodes s JOIN nodes t ON s.patch = t.patch AND s.node <> t.node)"
+
+
+def members(spark, d):
+    cat = t.catalogue(spark, d)
+    return cat, graph.neighbourhoods(cat)
+
+
+def nodes(spark, d):
+    return graph.patches(*members(spark, d))
+
+
+@query("j8_neighbourhoods", t.with_sql(t.CATALOGUE_SQL, _NEAR, "SELECT patch, hip FROM members"))
+def j8_neighbourhoods(spark, d):
+    return members(spark, d)[1].select("patch", "hip")
+
+
+@query("f30_tangent_plane", t.with_sql(t.CATALOGUE_SQL, _NEAR, f"SELECT patch, node, {s6('px')} AS px, {s6('py')} AS py FROM nodes"))
+def f30_tangent(spark, d):
+    return rounded(nodes(spark, d).select("patch", "node", "px", "py"), "px", "py")
+
+
+@query("j9_knn_edges", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, "SELECT patch, src, dst FROM ranked WHERE rn <= 6"))
+def j9_edges(spark, d):
+    return graph.knn_edges(nodes(spark, d))
+
+
+@query("w7_a20_node_features", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, "low AS (SELECT patch, min(mag) AS low FROM nodes GROUP BY patch)", f"SELECT patch, src AS node, {s6('(any_value(mag) - any_value(low)) / 3')} AS mag_norm, " + ", ".join(f"{s6(f'coalesce(max(d) FILTER (WHERE rn = {k}) / 15, 1.0)')} AS d{k}" for k in range(1, 6)) + " FROM ranked JOIN low USING (patch) GROUP BY patch, src"))
+def w7_features(spark, d):
+    return rounded(graph.node_features(nodes(spark, d)), "mag_norm", *[f"d{k}" for k in range(1, 6)])
+
+
+@query("a19_neighbour_mean", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, f"SELECT n.patch, n.node, {s6('coalesce(avg(s.mag), 0)')} AS mean_mag FROM nodes n LEFT JOIN ranked e ON e.patch = n.patch AND e.dst = n.node AND rn <= 6 LEFT JOIN nodes s ON s.patch = n.patch AND s.node = e.src GROUP BY ALL"))
+def a19_mean(spark, d):
+    own = nodes(spark, d)
+    return rounded(graph.neighbour_mean(own.select("patch", "node", "mag"), graph.knn_edges(own), ["mag"]), "mean_mag")
+
+
+@query("k8_k9_k10_embeddings")
+def k10_embeddings(spark, d):
+    return graph.embeddings(nodes(spark, d), graph.weights())
+
+
+_KNN = """q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+dist AS (SELECT q.vec_id AS query, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: pow(p[1]::DOUBLE - p[2], 2))) AS d FROM q, embeddings e),
+knn AS (SELECT query, vec_id, rk - 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rk FROM dist) WHERE rk <= 10)"""
+
+
+def knn(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    queries = e.where("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 200).alias("frame_id"), F.col("vec_id").alias("star_index"), F.col("embedding").alias("q"))
+    return graph.nearest_embeddings(queries, e.select(F.col("vec_id").alias("hip"), "embedding"))
+
+
+@query("j5_embedding_knn", t.with_sql(_KNN, "SELECT query // 200 AS frame_id, query AS star_index, vec_id AS hip, k FROM knn"))
+def j5_knn(spark, d):
+    return knn(spark, d).withColumn("k", F.col("k").cast("long"))
+
+
+_EVOTES = """ev AS (SELECT query // 200 AS frame_id, query AS si, k, o.x AS ox, o.y AS oy, o.z AS oz, c.hip, c.x, c.y, c.z FROM knn JOIN cat o ON o.hip = query JOIN cat c ON c.hip = vec_id),
+agreed AS (SELECT s.frame_id, s.si AS s1, s.hip AS h1, s.k AS k1, t.si AS s2, t.hip AS h2, t.k AS k2 FROM ev s JOIN ev t ON s.frame_id = t.frame_id AND s.si < t.si AND s.hip <> t.hip
+    AND abs(degrees(acos(greatest(-1.0, least(1.0, s.ox*t.ox + s.oy*t.oy + s.oz*t.oz)))) - degrees(acos(greatest(-1.0, least(1.0, s.x*t.x + s.y*t.y + s.z*t.z))))) < 0.5),
+ec AS (SELECT frame_id, si AS star_index, hip, k, count(*) AS votes FROM (SELECT frame_id, s1 AS si, h1 AS hip, k1 AS k FROM agreed UNION ALL SELECT frame_id, s2, h2, k2 FROM agreed) GROUP BY ALL)"""
+
+
+def embedding_votes(spark, d):
+    cat = t.catalogue(spark, d)
+    stars = cat.select(F.floor(F.col("hip") / 200).alias("frame_id"), F.col("hip").alias("star_index"), "x", "y", "z")
+    return graph.embedding_votes(knn(spark, d), stars, cat, 0.5)
+
+
+@query("j6_a4_embedding_votes", t.with_sql(t.CATALOGUE_SQL, _KNN, _EVOTES, "SELECT * FROM ec"))
+def j6_votes(spark, d):
+    return embedding_votes(spark, d).withColumn("k", F.col("k").cast("long"))
+
+
+@query("w5_w6_k11_claims", t.with_sql(t.CATALOGUE_SQL, _KNN, _EVOTES, f"SELECT frame_id, star_index, hip, votes, {s6('votes / 10')} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, hip ORDER BY star_index) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, star_index ORDER BY votes DESC, k) AS r1 FROM ec) WHERE r1 = 1 AND votes >= 3) WHERE r2 = 1"))
+def w6_claims(spark, d):
+    voted = embedding_votes(spark, d)
+    return rounded(graph.claimed(voted, voted.select("frame_id").distinct().withColumn("n", F.lit(10))), "confidence")
+
+
+# --- Reports -------------------------------------------------------------------------------------------------------------------------------------
+
+_RECORDS = "SELECT l_orderkey, l_linestatus = 'F' AS success, CASE WHEN l_linenumber = 1 THEN 'nan'::DOUBLE ELSE l_extendedprice / 500 END AS e, round(l_discount * 10) AS level FROM lineitem"
+
+
+def records(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linestatus") == "F").alias("success"), F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") / 500).alias("e"), F.round(F.col("l_discount") * 10).alias("occlusion"))
+
+
+_E = "CASE WHEN success AND NOT isnan(e) THEN e END"
+
+
+@query("a12_validation_summary", f"WITH r AS ({_RECORDS}), x AS (SELECT success, {_E} AS e FROM r) SELECT count(*) AS n_images, count(*) FILTER (WHERE success) AS n_success, {s6('100 * avg(success::INT)')} AS success_percent, {s6('avg(e)')} AS mean_error, {s6('median(e)')} AS median_error, {s6('stddev_pop(e)')} AS std_error, {s6('min(e)')} AS min_error, {s6('max(e)')} AS max_error, count(*) FILTER (WHERE e < 60) AS under_60, count(*) FILTER (WHERE e < 10) AS under_10 FROM x")
+def a12_summary(spark, d):
+    return rounded(reports.validation_summary(records(spark, d).withColumnRenamed("e", "angular_error_arcsec")), "success_percent", "mean_error", "median_error", "std_error", "min_error", "max_error")
+
+
+@query("a13_occlusion_summary", f"WITH r AS ({_RECORDS}), x AS (SELECT level, success, CASE WHEN NOT isnan(e) THEN e END AS e FROM r) SELECT level AS occlusion, count(*) AS n, {s6('avg(success::INT)')} AS success_rate, {s6('avg(e)')} AS mean_error, {s6('median(e)')} AS median_error FROM x GROUP BY level")
+def a13_summary(spark, d):
+    return rounded(reports.occlusion_summary(records(spark, d).withColumnsRenamed({"e": "triangle_error_arcsec", "success": "triangle_success"})), "success_rate", "mean_error", "median_error")
+
+
+@query("a16_histogram", t.with_sql(t.CATALOGUE_SQL, "b AS (SELECT min(vmag) AS low, max(vmag) AS high FROM cat)", "SELECT least(floor((vmag - low) / (high - low) * 20), 19)::INT AS bin, count(*) AS n FROM cat, b GROUP BY ALL"))
+def a16_histogram(spark, d):
+    return reports.histogram(t.catalogue(spark, d), "vmag")
+
+
+@query("a21_star_ids", t.with_sql(t.SKY_SQL, "SELECT frame_id, substr(string_agg(star::VARCHAR, ',' ORDER BY star), 1, 68) AS star_ids FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY star) AS k FROM stars) WHERE k <= 100 GROUP BY frame_id"))
+def a21_ids(spark, d):
+    return reports.first_ids(t.sky_stars(spark, d))
+
+
+@query("k16_occluded", t.with_sql(t.SKY_SQL, "lv AS (SELECT unnest([0.0, 0.3, 0.5])::DOUBLE AS occlusion), k AS (SELECT frame_id, star, occlusion, count(*) OVER (PARTITION BY frame_id, occlusion) AS n2, row_number() OVER (PARTITION BY frame_id, occlusion ORDER BY md5('occlusion:' || frame_id || ':' || occlusion || ':' || star), star) AS p FROM stars, lv)", "SELECT frame_id, star, occlusion FROM k WHERE p <= n2 - floor(n2 * occlusion)"))
+def k16_occluded(spark, d):
+    return reports.occluded(t.sky_stars(spark, d), [0.0, 0.3, 0.5]).select("frame_id", "star", "occlusion")
+
+
+@query("k16_brightest_kept", t.with_sql(t.SKY_SQL, "b AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY mag, star) AS bb FROM stars), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY (bb > 3)::INT, md5('viewer:' || frame_id || ':' || star), star) AS p FROM b)", "SELECT frame_id, star FROM k WHERE p <= greatest(4, n - floor(n * 0.4))"))
+def k16_kept(spark, d):
+    return reports.brightest_kept(t.sky_stars(spark, d), 0.4).select("frame_id", "star")
+
+
+@query("k17_sky_directions", f"SELECT event_id, {s6('360 * u1')} AS ra, {s6('degrees(asin(2 * u2 - 1))')} AS dec FROM (SELECT event_id, event_id * 7919 % 10007 / 10007 AS u1, event_id * 104729 % 10007 / 10007 AS u2 FROM events)")
+def k17_sky(spark, d):
+    n = F.col("event_id")
+    ra, dec = photometry.sky_direction(n * 7919 % 10007 / 10007, n * 104729 % 10007 / 10007)
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", r6(ra).alias("ra"), r6(dec).alias("dec"))
+
+
+@query("u4_validation_records")
+def u4_records(spark, d):
+    return pipelines.validate(t.frames(spark, d), t.sky_stars(spark, d), pipelines.solve(t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d)))
+
+
+@query("s12_occlusion_sweep")
+def occlusion_sweep(spark, d):
+    return pipelines.occlusion_sweep(t.frames(spark, d), t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d), [0.0, 0.2, 0.4])
+
+
+# --- Functions -----------------------------------------------------------------------------------------------------------------------------------
+
+@query("f1_f2_radec", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('(degrees(atan2(y, x)) + 360) % 360', 5)} AS ra, {s6('degrees(asin(greatest(-1.0, least(1.0, z))))', 5)} AS dec FROM cat"))
+def f1_f2(spark, d):
+    ra, dec = geometry.vector_to_radec({k: F.col(k) for k in "xyz"})
+    return t.catalogue(spark, d).select("hip", r6(ra, 5).alias("ra"), r6(dec, 5).alias("dec"))
+
+
+_NEXT = "nx AS (SELECT s.hip, s.x AS bx, s.y AS by_, s.z AS bz, t.x AS tx, t.y AS ty, t.z AS tz FROM cat s JOIN cat t ON t.hip = s.hip + 1)"
+
+
+@query("f3_f4_separation", t.with_sql(t.CATALOGUE_SQL, _NEXT, f"SELECT hip, {s6('degrees(a)')} AS deg, {s6('a')} AS rad FROM (SELECT hip, atan2(sqrt(pow(by_*tz - bz*ty, 2) + pow(bz*tx - bx*tz, 2) + pow(bx*ty - by_*tx, 2)), bx*tx + by_*ty + bz*tz) AS a FROM nx)"))
+def f3_f4(spark, d):
+    c = t.catalogue(spark, d)
+    pairs = c.alias("s").join(c.alias("t"), F.expr("t.hip = s.hip + 1"))
+    return pairs.select(F.col("s.hip").alias("hip"), r6(geometry.separation(joins.vec("s"), joins.vec("t"))).alias("deg"), r6(geometry.separation_rad(joins.vec("s"), joins.vec("t"))).alias("rad"))
+
+
+_QUAT = """qs AS (SELECT hip, cos(radians(ra_deg) / 2) AS w, 0.6 * sin(radians(ra_deg) / 2) AS a, 0.0 AS b, 0.8 * sin(radians(ra_deg) / 2) AS c, ra_deg, dec_deg FROM cat)"""
+
+
+def quaternions(spark, d):
+    half = F.radians("ra_deg") / 2
+    q = F.struct(F.cos(half).alias("q0"), (0.6 * F.sin(half)).alias("q1"), F.lit(0.0).alias("q2"), (0.8 * F.sin(half)).alias("q3"))
+    return t.catalogue(spark, d).withColumn("q", q)
+
+
+@query("f5_rotation_matrix", t.with_sql(t.CATALOGUE_SQL, _QUAT, f"SELECT hip, {s6('1 - 2*c*c')} AS r00, {s6('-2*w*c')} AS r01, {s6('2*a*c')} AS r02, {s6('2*w*c')} AS r10, {s6('1 - 2*(a*a + c*c)')} AS r11, {s6('-2*w*a')} AS r12, {s6('2*a*c')} AS r20, {s6('2*w*a')} AS r21, {s6('1 - 2*a*a')} AS r22 FROM qs"))
+def f5_rotation(spark, d):
+    r = geometry.rotation(F.struct(*[(3 * F.col("q")[k]).alias(k) for k in geometry.Q]))  # any length will do
+    return quaternions(spark, d).withColumn("m", r).select("hip", *[r6(f"m.{k}").alias(k) for k in geometry.M])
+
+
+@query("f6_quaternion_of_matrix", t.with_sql(t.CATALOGUE_SQL, _QUAT, f"SELECT hip, {s6('w * g', 5)} AS q0, {s6('a * g', 5)} AS q1, {s6('b * g', 5)} AS q2, {s6('c * g', 5)} AS q3 FROM (SELECT *, CASE WHEN w < 0 THEN -1 ELSE 1 END AS g FROM qs)"))
+def f6_quaternion(spark, d):
+    q = geometry.quaternion_of(geometry.rotation(F.col("q")))
+    return quaternions(spark, d).withColumn("p", q).select("hip", *[r6(F.col("p")[k], 5).alias(k) for k in geometry.Q])
+
+
+@query("f7_f8_f9_products", t.with_sql(t.CATALOGUE_SQL, _QUAT, f"SELECT hip, {s6('w*0.5 + a*0.5 + b*0.5 - c*0.5')} AS q0, {s6('-w*0.5 + a*0.5 + b*0.5 + c*0.5')} AS q1, {s6('-w*0.5 - a*0.5 + b*0.5 - c*0.5')} AS q2, {s6('w*0.5 - a*0.5 + b*0.5 + c*0.5')} AS q3, {s6('2 * degrees(acos(least(1.0, abs(w*0.5 + a*0.5 + b*0.5 - c*0.5))))', 4)} AS angle FROM qs"))
+def f7_products(spark, d):
+    other = F.struct(F.lit(0.5).alias("q0"), F.lit(0.5).alias("q1"), F.lit(0.5).alias("q2"), F.lit(-0.5).alias("q3"))
+    return quaternions(spark, d).withColumn("p", geometry.multiply(F.col("q"), geometry.conjugate(other))).select("hip", *[r6(F.col("p")[k]).alias(k) for k in geometry.Q], r6(geometry.quaternion_angle(F.col("q"), other), 4).alias("angle"))
+
+
+@query("f10_f11_euler", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('30 * sin(radians(ra_deg))', 5)} AS roll, {s6('dec_deg / 2', 5)} AS pitch, {s6('(ra_deg - 180) / 2', 5)} AS yaw FROM cat"))
+def f10_euler(spark, d):
+    c = t.catalogue(spark, d).withColumn("q", geometry.from_euler(30 * F.sin(F.radians("ra_deg")), F.col("dec_deg") / 2, (F.col("ra_deg") - 180) / 2))
+    return c.select("hip", *[r6(x, 5).alias(k) for k, x in zip(("roll", "pitch", "yaw"), geometry.to_euler(F.col("q")), strict=True)])
+
+
+@query("f12_f13_pointing", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('ra_deg', 5)} AS ra, {s6('dec_deg', 5)} AS dec FROM cat"))
+def f12_pointing(spark, d):
+    c = t.catalogue(spark, d).withColumn("q", geometry.pointing_to_quaternion(F.col("ra_deg"), F.col("dec_deg"), F.col("vmag") * 20))
+    return c.withColumn("p", geometry.quaternion_to_pointing(F.col("q"))).select("hip", r6("p.ra", 5).alias("ra"), r6("p.dec", 5).alias("dec"))
+
+
+_FIX = "x0 AS (SELECT star, frame_id, u - 32 AS x, v - 32 AS y, (u - 32) AS a0, (v - 32) AS b0 FROM lamp)"
+for _k in range(10):
+    _FIX += f",\nx{_k + 1} AS (SELECT *, x / (1 + -1e-5::DOUBLE * (a{_k}*a{_k} + b{_k}*b{_k}) + 1e-9::DOUBLE * pow(a{_k}*a{_k} + b{_k}*b{_k}, 2)) AS a{_k + 1}, y / (1 + -1e-5::DOUBLE * (a{_k}*a{_k} + b{_k}*b{_k}) + 1e-9::DOUBLE * pow(a{_k}*a{_k} + b{_k}*b{_k}, 2)) AS b{_k + 1} FROM x{_k})"
+
+
+@query("f14_f17_f18_pixel_vectors", t.with_sql(t.IMAGE_SQL, _FIX, f"SELECT star, {s6('a10 / sqrt(a10*a10 + b10*b10 + 40000)')} AS x, {s6('b10 / sqrt(a10*a10 + b10*b10 + 40000)')} AS y, {s6('200 / sqrt(a10*a10 + b10*b10 + 40000)')} AS z FROM x10"))
+def f14_vectors(spark, d):
+    small = Camera(200.0, 32.0, 32.0, 64, 64, -1e-5, 1e-9)
+    return rounded(pipelines.directions(t.image_stars(spark, d), small, "u", "v").select("star", "x", "y", "z"), "x", "y", "z")
+
+
+@query("f19_flux", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('5e5 * 0.5 * pow(10.0, -0.4 * vmag)')} AS flux FROM cat"))
+def f19_flux(spark, d):
+    return t.catalogue(spark, d).select("hip", r6(photometry.magnitude_to_flux(F.col("vmag"), 5e5, 0.5)).alias("flux"))
+
+
+@query("f23_f25_f26_accuracy", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('36.0 * cos(radians(dec))', 3)} AS ra_error_arcsec, 18.0::DOUBLE AS dec_error_arcsec, CASE WHEN frame_id > 0 THEN {s6('0.001 / (2 * frame_id)', 9)} ELSE 1e-6::DOUBLE END AS variance FROM frames"))
+def f23_accuracy(spark, d):
+    q, p = (geometry.pointing_to_quaternion(F.col("ra") + a, F.col("dec") + b, F.col("roll")) for a, b in ((0.01, 0.005), (0.0, 0.0)))
+    e = F.col("e")
+    frames = t.frames(spark, d).withColumns({"q": q, "p": p}).withColumn("e", accuracy.pointing_error(F.col("q"), F.col("p"), F.col("ra"), F.col("dec")))
+    variance = accuracy.axis_variance(F.lit(0.001), F.col("frame_id"))
+    return frames.select("frame_id", r6(e["ra_error_arcsec"], 3).alias("ra_error_arcsec"), r6(e["dec_error_arcsec"], 3).alias("dec_error_arcsec"), r6(variance, 9).alias("variance"))
+
+
+@query("f24_p13_truth", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'synthetic' WHEN page_id % 3 = 1 THEN 'wcs' END AS source, CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE WHEN page_id % 3 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 45.0::DOUBLE ELSE 12.5::DOUBLE END END AS roll FROM pages")
+def p13_truth(spark, d):
+    n = F.col("page_id")
+    h = F.when(n % 3 == 0, F.create_map(F.lit("SYNTHIMG"), F.lit("T"), F.lit("TRUE_RA"), F.lit("1"), F.lit("TRUE_DEC"), F.lit("2"), F.lit("TRUE_ROL"), F.lit("5"))).when(
+        n % 3 == 1, F.map_concat(F.create_map(F.lit("CRVAL1"), F.lit("1"), F.lit("CRVAL2"), F.lit("2")), F.when(n % 2 == 0, F.create_map(F.lit("CD1_1"), F.lit("1e-3"), F.lit("CD1_2"), F.lit("1e-3"))).otherwise(F.create_map(F.lit("CROTA2"), F.lit("12.5"))))
+    ).otherwise(F.create_map(F.lit("OTHER"), F.lit("1")))
+    out = spark.read.parquet(f"{d}/pages.parquet").select("page_id", accuracy.truth(h).alias("t"))
+    return out.select("page_id", "t.source", r6("t.roll").alias("roll"))
+
+
+@query("f29_pixel_angles", t.with_sql(t.IMAGE_SQL, f"SELECT star, {s6('degrees(atan2(u - 32, 200.0))')} AS ax, {s6('degrees(atan2(v - 32, 200.0))')} AS ay FROM lamp"))
+def f29_angles(spark, d):
+    ax, ay = camera.pixel_to_angles(Camera(200.0, 32.0, 32.0, 64, 64), F.col("u"), F.col("v"))
+    return t.image_stars(spark, d).select("star", r6(ax).alias("ax"), r6(ay).alias("ay"))
+
+
+@query("f31_f32_f33_cameras", f"SELECT p_partkey, {s6('1 / tan(radians(s))', 3)} AS focal_scale, {s6('512 / 2.0 / tan(radians(s * 512) / 2)', 3)} AS focal_field, {s6('greatest(2 * s * 512 / 512, 0.003)')} AS tolerance FROM (SELECT p_partkey, p_size / 10000 AS s FROM part)")
+def f31_cameras(spark, d):
+    s = F.col("p_size") / 10000
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", r6(camera.focal_of_scale(s), 3).alias("focal_scale"), r6(camera.focal_of_field(s, F.lit(512), F.lit(512)), 3).alias("focal_field"), r6(camera.wcs_tolerance(s * 512, F.lit(512), F.lit(512))).alias("tolerance"))
+
+
+@query("f27_f28_k7_records")
+def f27_records(spark, d):
+    out = solved(spark, d).withColumn("q", F.struct(*[F.col(k) for k in geometry.Q]))
+    record = accuracy.attitude_record(F.col("q"), F.col("n_observations"), F.col("residual"), F.lit("triangle"), F.lit(None).cast("double"))
+    return out.withColumn("record", record).select("frame_id", F.to_json("record").alias("json"), accuracy.report(F.col("record")).alias("report"))
+
+
+@query("f36_log_tags", "SELECT conv_id, turn, CASE WHEN contains(text, '✓') OR contains(text, 'SUCCESS') THEN 'ok' WHEN contains(text, '✗') OR contains(text, 'Error') OR contains(text, 'FAILED') THEN 'err' WHEN starts_with(text, '─') OR starts_with(text, '=') THEN 'hdr' ELSE '' END AS tag FROM conversations")
+def f36_tags(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", accuracy.log_tag(F.col("text")).alias("tag"))
