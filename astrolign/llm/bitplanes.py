@@ -14,10 +14,14 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -27,9 +31,18 @@ from pyspark.sql import functions as F
 from astrolign.llm.common import id_and_text, new_path, partitions, staged
 
 MAGIC = b"BPS1"
-#: What some library counts as white space, besides the blanks before which a run of other characters always ends a match.
-_UNIT = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_ODD_SPACE = frozenset(map(chr, [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: White space besides the blank, tab and line ends, as any library counts it.
+_ODD = "".join(map(chr, [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_ODD = re.compile(f"[{_ODD}]")
+_FOREIGN = re.compile("[^\x00-\u024f]")
+#: How byte-level vocabularies write each byte: itself where it prints, else the next letter from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def goes_whole(text: str) -> bool:
+    """Odd white space, or a blank after white space, at the start or at the end."""
+    return bool(text[:1] == " " or text[-1:] == " " or "  " in text or "\n " in text or "\t " in text or "\r " in text or _ODD.search(text))
 
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -103,30 +116,65 @@ def decode_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file. Between a character that isn't white space and an ASCII blank every match ends, so a blank with the characters up to
-    the next one is encoded once and kept; texts with other white space go to the library whole."""
+    """Ids of whole texts by a tokenizer file. Between a character that isn't white space and a blank every match ends, so what lies between two blanks is encoded
+    once, with the blank before it, and kept; texts with other white space, or with blanks side by side, go to the library whole."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.kept = most, {}
+        self.most, self.kept, self.matched = most, {}, {}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def match(self, name: str) -> bytes:
+        """Ids of one match, by the library's model."""
+        plain = name.replace(" ", _BYTE_NAMES[32]) if name.isascii() and name.isprintable() else name.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(plain)]).tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        """Keeps the ids of each part with a blank before it. Parts of Latin letters, which any version of the pattern cuts alike, are cut here, and the library's
+        model encodes each distinct match once; it takes all others whole."""
+        kept, matched = self.kept, self.matched
+        rest = [p for p in parts if _FOREIGN.search(p)] if _FOREIGN.search("".join(parts)) else []
+        odd = set(rest)
+        several = []
+        for p in parts:
+            if p in odd:
+                continue
+            if p.isalpha():
+                kept[p] = self.match(" " + p)
+            else:
+                several.append(p)
+        for p in several:
+            cut = self.pattern.findall(" " + p)
+            for m in cut:
+                if m not in matched:
+                    matched[m] = kept.get(m[1:]) if m[0] == " " and m[1:].isalpha() else None
+                    matched[m] = matched[m] or self.match(m)
+            kept[p] = b"".join([matched[m] for m in cut])
+        kept.update(zip(rest, [x.tobytes() for x in self.library([" " + p for p in rest])], strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        units = [None if not _ODD_SPACE.isdisjoint(t) else _UNIT.findall(t) for t in texts]
-        missing = list({u for own in units if own for u in own if u not in self.kept})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.kept.update(zip(part, [x.tobytes() for x in self.library(part)], strict=True))
-        whole = iter(self.library([t for t, own in zip(texts, units, strict=True) if own is None]))
-        return [next(whole) if own is None else np.frombuffer(b"".join(map(self.kept.__getitem__, own)), "<u4") for own in units]
+        for memo in (self.kept, self.matched):
+            if len(memo) > self.most:
+                memo.clear()
+        split = [None if goes_whole(t) else t.split(" ") for t in texts]
+        self.learn(list(set().union(*[p[1:] for p in split if p]).difference(self.kept)))
+        whole = iter(self.library([t for t, p in zip(texts, split, strict=True) if p is None]))
+        firsts = iter(self.library([p[0] for p in split if p]))
+        get = self.kept.__getitem__
+        return [next(whole) if p is None else np.frombuffer(next(firsts).tobytes() + b"".join(map(get, p[1:])), "<u4") for p in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: later tasks find the words of earlier ones."""
+    return Encoder(path)
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, files: int | None = None, **layout) -> DataFrame:
@@ -142,14 +190,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, files:
     out = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         end = np.array([end_id], "<u4")
 
         def rows() -> Iterator[tuple[int, int | None, np.ndarray]]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
                     ids, texts_, own = [c.to_pylist() for c in batch.slice(at, 200).columns]
-                    for p, i, x in zip(own, ids, encoder.encode([t or "" for t in texts_]), strict=True):
+                    for p, i, x in zip(own, ids, own_encoder.encode([t or "" for t in texts_]), strict=True):
                         yield p, i, np.concatenate([x, end])
 
         source = rows()
