@@ -17,6 +17,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -182,44 +183,31 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, files:
     Task attempts write files of their own names; only those that the returned rows name count, so a lost executor's leftovers do no harm."""
     spark = docs.sparkSession
     n = files or partitions(spark)
-    texts = id_and_text(docs)
-    # Ranges by quantiles of the id column alone: sampling by repartitionByRange would read the texts twice.
-    cuts = texts.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = texts.withColumn("part", F.coalesce(part, F.lit(0))).repartition(n, "part").sortWithinPartitions("part", "doc_id")
+    dealt = id_and_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")  # a file for each range of ids
     out = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_encoder = encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end, task = np.array([end_id], "<u4"), TaskContext.get()
 
-        def rows() -> Iterator[tuple[int, int | None, np.ndarray]]:
+        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
-                    ids, texts_, own = [c.to_pylist() for c in batch.slice(at, 200).columns]
-                    for p, i, x in zip(own, ids, own_encoder.encode([t or "" for t in texts_]), strict=True):
-                        yield p, i, np.concatenate([x, end])
+                    ids, texts = (c.to_pylist() for c in batch.slice(at, 200).columns)
+                    for i, x in zip(ids, encoder(tokenizer).encode([t or "" for t in texts]), strict=True):
+                        yield i, np.concatenate([x, end])
 
         source = rows()
-        row = next(source, None)
+        first = next(source, None)
+        if first is None:
+            return
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
-        while row:
-            own, following = row[0], []
-
-            def of_part(row=row, own=own, following=following) -> Iterator[tuple[int | None, np.ndarray]]:
-                while row and row[0] == own:
-                    yield row[1:]
-                    row = next(source, None)
-                following.append(row)
-
-            name = f"{root}/part-{own:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.bps"
-            with where.open_output_stream(name, compression=None) as stream:
-                n_docs, n_ids = encode_file(of_part(), stream, **layout)
-            row = following[0]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, own, n_docs, n_ids), out, strict=True)], schema=out)
-
-    return staged(dealt.select("doc_id", "text", "part").mapInArrow(run, "file string, part int, n_docs long, n_ids long"), "bitplane-files")
+        name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bps"
+        with where.open_output_stream(name, compression=None) as stream:
+            n_docs, n_ids = encode_file(chain([first], source), stream, **layout)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, task.partitionId(), n_docs, n_ids), out, strict=True)], schema=out)
+
+    return staged(dealt.mapInArrow(run, "file string, part int, n_docs long, n_ids long"), "bitplane-files")
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
