@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.llm import bitplanes, byte_bpe, media, minhash, mixing, pii, secrets, substring_dedup, topk, toxicity
+from astrolign.llm import bitplanes, byte_bpe, media, minhash, mixing, oracles, pii, secrets, substring_dedup, topk, toxicity
 from astrolign.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,4 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk": topk.TOP_K_SQL, "op7_mixing": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_minhash": oracles.NEAR_DUPLICATES,
+    "op6_topk": topk.TOP_K_SQL,
+    "op7_mixing": mixing.mix_sql(),
+}
