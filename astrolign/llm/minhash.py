@@ -81,7 +81,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sides = pairs.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("words_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("words").alias("words_b")), "b")
+    # Merge joins at every size: pairs have no bound that would let them be broadcast.
+    own = sets.select("rep", "words").hint("merge")
+    sides = pairs.join(own.withColumnsRenamed({"rep": "a", "words": "words_a"}), "a").join(own.withColumnsRenamed({"rep": "b", "words": "words_b"}), "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,15 +171,16 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, bands: int =
     leaders = buckets.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("leader"))
     buckets = staged(buckets.join(leaders, "key").where("rep <> leader"), "members")
     tested = staged(buckets.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), "pairs")
-    links = staged(verified(tested, sets, n, percent), "links")
+    # Words travel once to the documents that are in pairs at all; what follows reads only these.
+    paired = tested.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    words = staged(sets.select("rep", "words").hint("merge").join(paired, "rep", "left_semi"), "words")
+    links = staged(verified(tested, words, n, percent), "links")
     roots = components(links)
     left = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     open_keys = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n")
     left = staged(left.join(open_keys, "key"), "left")
     few = left.where(F.col("n") <= small)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND x.root <> y.root")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    # From here on only the words of documents that are left travel, not those of all.
-    words = staged(sets.select("rep", "words").join(left.select("rep").distinct(), "rep", "left_semi"), "words")
     more = staged(verified(pairs.join(tested, ["a", "b"], "left_anti"), words, n, percent), "links")
     many = left.where(F.col("n") > small).join(words, "rep")
     blocks = staged(linked_in_blocks(many.select("key", "rep", "root", "words"), n, percent), "links")
