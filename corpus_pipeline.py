@@ -12,20 +12,30 @@ from astrolign.llm.queries import RANKS
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to 4 MB and 1000 rows at most: what a Python worker and its JVM side hold at once, and keep from stage to stage,
+    then has a bound that neither long texts nor many rows move."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that score their language's threshold or more."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group."""
+    small_batches(spark)
     groups = minhash.near_duplicates(docs)
     return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; no document goes."""
+    small_batches(spark)
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -36,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
+    small_batches(spark)
     out = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
