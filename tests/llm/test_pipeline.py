@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_minhash import brute
 
 from astrolign.llm import byte_bpe, minhash, secrets
 
@@ -45,3 +46,19 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     enc = byte_bpe.encoding(corpus_pipeline.RANKS)
     texts = {r.doc_id: r.text for r in safe.collect()}
     assert all(r.n_tokens == len(enc.encode_ordinary(texts[r.doc_id])) for r in out)
+
+
+def test_near_duplicate_stage_drops_edited_copies_like_brute_force_on_two_words(spark, tmp_path):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(400)}" for _ in range(100)]
+        edited = list(base)
+        for at in (10, 30, 50, 70, 90):
+            edited[at] = "edit"
+        texts += [" ".join(base), " ".join(edited), " ".join(f"w{rng.randrange(400)}" for _ in range(100))]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).collect())
+    assert got == [r[0] for r in brute(docs) if r[3]] == [i for i in range(24) if i % 3 != 1]
+    assert len([r for r in brute(docs, n=5) if r[3]]) == 24
