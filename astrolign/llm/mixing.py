@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source's mean repetition rate is target * weight / (rows of the source). A hash of seed and doc_id gives a uniform number, the inverse of the
-Poisson distribution turns it into a count, each row is exploded by its count, and all copies are ordered by a hash.
+Poisson distribution turns it into a count, each row is exploded by its count, and all copies are ordered by a hash. A rate beyond PART, where exp(-rate) runs
+out of a double's range, is the sum of equal parts below it, each with a uniform number of its own: sums of Poisson counts are Poisson counts, so no rate is refused (a row's copies
+are numbered by 32-bit integers).
 A null source is a source of its own, a null doc_id hashes as the empty string; rows that repeat a doc_id get the same count; empty tables give empty tables.
 """
 
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 
 from astrolign.llm.common import partitions
 
+#: The largest rate that one table inverts: exp(-700) still is a normal double.
+PART = 700.0
+#: Copies of a row that one array holds.
+RUN = 10_000
+
 
 def uniform(*parts):
     """Column: 52 bits of an md5 as a number from 0 to 1 (1 excluded)."""
@@ -28,9 +35,9 @@ def poisson_table(rate):
     return F.aggregate(F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")), start, step, lambda acc: acc["c"])
 
 
-def rates(docs: DataFrame, power: float = 0.5, target: float = 1.0, weights: dict[str, float] | None = None, source: str = "source", most: float = 500.0) -> DataFrame:
-    """source, n_docs, rate, cumulative. Weights: given by source (others get none), or rows ** power. target: size of the mix, as a multiple of all rows.
-    A rate above `most` is refused: replication by hundreds is a fault in the weights."""
+def rates(docs: DataFrame, power: float = 0.5, target: float = 1.0, weights: dict[str, float] | None = None, source: str = "source", most: float | None = None) -> DataFrame:
+    """source, n_docs, rate, parts, cumulative (of rate / parts). Weights: given by source (others get none), or rows ** power. target: size of the mix, as a
+    multiple of all rows. A rate above `most`, if given, is refused."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"))
     weight = F.pow(F.col("n_docs").cast("double"), F.lit(power))
     if weights is not None:
@@ -38,20 +45,27 @@ def rates(docs: DataFrame, power: float = 0.5, target: float = 1.0, weights: dic
     counts = counts.withColumn("weight", weight)
     total = counts.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
     rate = F.when(F.col("all_weight") > 0, F.col("all_docs") * F.lit(float(target)) * F.col("weight") / F.col("all_weight") / F.col("n_docs")).otherwise(F.lit(0.0))
-    rate = F.when(rate <= most, rate).otherwise(F.raise_error(F.lit(f"a source would be repeated more than {most} times")).cast("double"))
-    return counts.crossJoin(F.broadcast(total)).select("source", "n_docs", rate.alias("rate")).withColumn("cumulative", poisson_table(F.col("rate")))
+    if most is not None:
+        rate = F.when(rate <= most, rate).otherwise(F.raise_error(F.lit(f"a source would be repeated more than {most} times")).cast("double"))
+    out = counts.crossJoin(F.broadcast(total)).select("source", "n_docs", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    return out.withColumn("cumulative", poisson_table(F.col("rate") / F.col("parts")))
 
 
 def mix(docs: DataFrame, seed: str = "mix", source: str = "source", doc_id: str = "doc_id", broadcast_sources: int = 10_000, **options) -> DataFrame:
     """All columns of docs, replica (from 0) and shuffle_key, in the order of shuffle_key within partitions that it deals out: a global shuffle.
     The rates are broadcast if there are at most broadcast_sources of them, else joined by a shuffle that splits skewed sources."""
     taken = {c.lower() for c in docs.columns}
-    table = rates(docs, source=source, **options).select(F.col("source").alias("__source"), F.col("cumulative").alias("__cumulative")).cache()
+    table = rates(docs, source=source, **options).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulative").alias("__cumulative")).cache()
     few = table.limit(broadcast_sources + 1).count() <= broadcast_sources
     joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("__source")))
-    count = F.size(F.filter("__cumulative", lambda c: c <= uniform(F.lit(seed), F.col(doc_id))))
+    inverse = lambda u: F.size(F.filter("__cumulative", lambda c: c <= u))
+    first, u = inverse(uniform(F.lit(seed), F.col(doc_id))), lambda j: uniform(F.concat(F.lit(f"{seed}+"), j.cast("string")), F.col(doc_id))
+    others = F.aggregate(F.transform(F.sequence(F.lit(2), "__parts"), u), F.lit(0), lambda n, x: n + inverse(x))
+    joined = joined.withColumn("__count", first + F.when(F.col("__parts") > 1, others).otherwise(F.lit(0))).where("__count > 0")
+    # Exploded in two steps, so that no array holds all copies of a row.
+    joined = joined.withColumn("__from", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__count") - 1, F.lit(0)), F.lit(RUN))))
     replica, key = ("replica" if "replica" not in taken else "__replica"), ("shuffle_key" if "shuffle_key" not in taken else "__shuffle_key")
-    out = joined.withColumn("__count", count).where("__count > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias(replica))
+    out = joined.select(*docs.columns, F.explode(F.sequence("__from", F.least(F.col("__from") + (RUN - 1), F.col("__count") - 1))).alias(replica))
     out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(replica).cast("string")).cast("binary")))
     return out.repartition(partitions(docs.sparkSession), key).sortWithinPartitions(key)
 

@@ -1,8 +1,10 @@
 import math
+import statistics
 
 import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from astrolign.llm import mixing
 
@@ -46,3 +48,20 @@ def test_clashing_columns_empty_tables_and_faulty_weights(spark):
     assert mixing.mix(frame, weights={}).collect() == []
     with pytest.raises(PySparkException):
         mixing.mix(spark.createDataFrame(rows(), SCHEMA), weights={"s1": 1.0}, most=2.0).collect()
+
+
+def test_rates_beyond_one_table_are_sums_of_parts(spark):
+    frame = spark.createDataFrame([(i, "t", "en", "rare" if i < 40 else "large", 1) for i in range(60_000)], SCHEMA).coalesce(4)
+    out = mixing.mix(frame, weights={"rare": 1.0}).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.countDistinct("replica").alias("k"), F.min("replica").alias("low"), F.max("replica").alias("high")).collect()
+    assert {r.doc_id for r in out} == set(range(40)) and all((r.low, r.high, r.k) == (0, r.n - 1, r.n) for r in out)
+    counts = [r.n for r in out]
+    assert abs(statistics.mean(counts) - 1500) < 5 * math.sqrt(1500 / 40) and 0.4 * 1500 < statistics.variance(counts) < 2.2 * 1500
+
+
+def test_default_weights_refuse_no_rate_and_equal_sql_while_it_inverts(spark):
+    frame = spark.createDataFrame([(i, "t", "en", "rare" if i == 7 else "large", 1) for i in range(1201)], SCHEMA)
+    documents = frame.toPandas()  # noqa: F841
+    assert sorted(map(repr, map(tuple, mixing.mix(frame, power=0.0).collect()))) == sorted(map(repr, duckdb.sql(mixing.mix_sql(power=0.0)).fetchall()))
+    one = spark.createDataFrame([(i, "t", "en", "rare" if i == 7 else "large", 1) for i in range(50_000)], SCHEMA)
+    n = mixing.mix(one, power=0.0).where("source = 'rare'").agg(F.count("*"), F.countDistinct("replica")).first()
+    assert n[0] == n[1] and abs(n[0] - 25_000) < 6 * math.sqrt(25_000)
