@@ -3,6 +3,8 @@ sources are mixed to target weights, and the rest is encoded as byte-level BPE."
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
 
 
+def with_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs and `row`, a number of each row of its own: its doc_id, or one above all doc_ids where there is none, or where an earlier row has the doc_id for another
+    text. Rows that repeat both doc_id and text become one. Tables without such rows cost a count of their doc_ids."""
+    docs = docs.select(*COLUMNS)
+    counts = common.staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1"), "repeated")
+    if counts.isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    repeated = counts.where("doc_id IS NOT NULL").select("doc_id")
+    odd = docs.where("doc_id IS NULL").union(docs.join(repeated, "doc_id", "left_semi").select(*COLUMNS))
+    odd = common.staged(odd.withColumn("at", F.monotonically_increasing_id()), "odd-rows")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(map(tuple, odd.groupBy(part.alias("part")).count().collect()))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    starts = accumulate((n for _, n in sizes), initial=0 if top is None else top + 1)
+    starts = spark.createDataFrame([(p, x) for (p, _), x in zip(sizes, starts, strict=False)], "part long, start long")
+    behind = F.when(F.col("doc_id").isNull(), F.lit(sum(n for _, n in sizes))).otherwise(F.lit(0))  # rows without a doc_id come last
+    odd = common.staged(odd.withColumn("part", part).join(F.broadcast(starts), "part").select(*COLUMNS, (F.col("start") + place + behind).alias("number")), "odd-rows")
+    texts = odd.where("doc_id IS NOT NULL").groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.min("number").alias("number"))
+    heads = texts.groupBy("doc_id").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("head"))
+    named = odd.where("doc_id IS NOT NULL").join(texts.select("number").join(heads, "number", "left"), "number")
+    named = named.select(*COLUMNS, F.when(F.col("head"), F.col("doc_id")).otherwise(F.col("number")).alias("row"))
+    rest = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").alias("row"))
+    return rest.union(common.staged(named.union(odd.where("doc_id IS NULL").select(*COLUMNS, F.col("number").alias("row"))), "odd-rows"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group. Documents of a group share, as a chain of pairs, 80 % of their two-word shingles, as in op5_minhash:
-    that is what a copy with one word in twenty edited still does, while its five-word shingles don't."""
+    that is what a copy with one word in twenty edited still does, while its five-word shingles don't.
+    A document without a doc_id counts as one behind all others; rows that repeat a doc_id count as documents of their own if their texts differ, else as one."""
     small_batches(spark)
-    groups = minhash.near_duplicates(docs, n=2)
-    return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    docs = with_rows(spark, docs)
+    groups = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), n=2)
+    return docs.join(groups.where("kept").select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

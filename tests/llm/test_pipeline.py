@@ -62,3 +62,15 @@ def test_near_duplicate_stage_drops_edited_copies_like_brute_force_on_two_words(
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).collect())
     assert got == [r[0] for r in brute(docs) if r[3]] == [i for i in range(24) if i % 3 != 1]
     assert len([r for r in brute(docs, n=5) if r[3]]) == 24
+
+
+def test_near_duplicate_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(5))
+    docs = [(1, a), (1, a), (1, a), (2, b), (2, c), (9, a + " more"), (None, d), (None, d + " more"), (None, b), (None, ""), (5, ""), (5, ""), (6, None), (6, None), (7, e)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame.repartition(parts), str(tmp_path)).collect()]
+        nameless = [t for i, t in out if i is None and t]
+        assert len(nameless) <= 1 and set(nameless) <= {d, d + " more"} and nameless
+        assert sorted(map(repr, ((i, t) for i, t in out if i is not None or not t))) == sorted(map(repr, [(1, a), (2, b), (2, c), (None, ""), (5, ""), (6, None), (7, e)]))
