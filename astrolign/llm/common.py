@@ -4,31 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run without ASCII white space. bytes.split() cuts at exactly these characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
 _own_dirs: dict[str, str] = {}
+#: Paths of the tables that this process has staged and not removed, by application.
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset and gets a temporary one."""
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +41,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, whatever is staged within it: only for tables that no later job reads."""
+    paths = _staged.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while len(paths) > before:
+            path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (a dot is written as two underscores) that hold for the jobs that run within."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,13 +82,8 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_texts(df: DataFrame, rows: Callable[[list, list], list], schema: str, out: pa.Schema) -> DataFrame:
-    """Applies rows(ids, texts) to batches; it gives the columns of `out`. A null text counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows(ids, texts), out, strict=True)], schema=out)
-
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+def refuse_unlike_rows(docs: DataFrame, digest: str) -> None:
+    """Raises an error if rows that share a doc_id differ in the column `digest`."""
+    unlike = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id").first()
+    if unlike:
+        raise ValueError(f"rows with the doc_id {unlike.doc_id} have different texts; give each text an id of its own")
