@@ -5,7 +5,8 @@ ones, ...) or bit planes, each plane is compressed with zstandard on its own. Be
 index (doc_id and number of ids of each document) and a footer with the place of both, so that a reader fetches only the chunks it needs.
 
 Layout, little-endian: b"BPS1", chunks, JSON index compressed with zstandard, its length (8 bytes), b"BPS1".
-Documents are in ascending order of doc_id, those without one first; rows that repeat a doc_id stay side by side. Null texts count as empty.
+Documents are in ascending order of doc_id, those without one first; rows that repeat a doc_id stay side by side, in the order of their texts. Null texts count as empty; very long texts are
+encoded whole. The literal of an added token, as <|endoftext|>, becomes that token, as the library has it. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -118,14 +119,14 @@ def decode_file(source) -> Iterator[tuple[int | None, np.ndarray]]:
 
 class Encoder:
     """Ids of whole texts by a tokenizer file. Between a character that isn't white space and a blank every match ends, so what lies between two blanks is encoded
-    once, with the blank before it, and kept; texts with other white space, or with blanks side by side, go to the library whole."""
+    once, with the blank before it, and kept; texts with other white space, with blanks side by side, or that hold an added token's literal go to the library whole."""
 
     def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.kept, self.matched = most, {}, {}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
@@ -164,7 +165,7 @@ class Encoder:
         for memo in (self.kept, self.matched):
             if len(memo) > self.most:
                 memo.clear()
-        split = [None if goes_whole(t) else t.split(" ") for t in texts]
+        split = [None if goes_whole(t) or any(x in t for x in self.added) else t.split(" ") for t in texts]
         self.learn(list(set().union(*[p[1:] for p in split if p]).difference(self.kept)))
         whole = iter(self.library([t for t, p in zip(texts, split, strict=True) if p is None]))
         firsts = iter(self.library([p[0] for p in split if p]))
@@ -182,8 +183,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, files:
     """Writes the files under `folder` (a URI that every executor reaches) and returns file, part, n_docs, n_ids of each.
     Task attempts write files of their own names; only those that the returned rows name count, so a lost executor's leftovers do no harm."""
     spark = docs.sparkSession
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"files of bit planes need a folder that pyarrow reaches, unlike {folder}") from e
     n = files or partitions(spark)
-    dealt = id_and_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")  # a file for each range of ids
+    dealt = id_and_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")  # a file for each range of ids
     out = pa.schema([("file", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
