@@ -4,13 +4,16 @@ An Aho-Corasick automaton finds the magic bytes of all formats in one pass, a va
 are corrected and embedded media are carved out. Four formats also store a payload of bytes losslessly as 8-bit samples: PNG, BMP and PGM images 64
 samples wide, and WAV sound.
 
-A null text or column counts as empty. Bytes in which nothing is found have the type "unknown" and no items. Every row gives a row; only the named columns are read.
+A null text or column counts as empty. Bytes in which nothing is found have the type "unknown" and no items. Every row gives a row, repeated rows and a null doc_id too; only the named
+columns are read, so that others can have any name; an empty table gives an empty one. Very long media are read whole: false starts share what is known of the bytes behind them
+(the next end mark, places from which no chain of segments ends), so that many of them don't make many passes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -88,22 +91,61 @@ STORES: dict[str, tuple[Callable, Callable]] = {"image/png": (to_png, from_png),
 # --- Validators: the length of the medium that starts at `at`, or None ---------------------------------------------------------------------------
 
 
-def png(d: bytes, at: int) -> int | None:
-    end = at + 8
-    first = True
-    while end + 12 <= len(d):
-        size, kind = struct.unpack_from(">I4s", d, end)
-        if end + 12 + size > len(d) or first and (kind, size) != (b"IHDR", 13):
-            return None
-        if struct.unpack_from(">I", d, end + 8 + size)[0] != zlib.crc32(memoryview(d)[end + 4 : end + 8 + size]):
+class Bytes(bytes):
+    """Bytes to search, with what validators have learnt of them so far."""
+
+    def __init__(self, *_):
+        self.dead: dict[str, set[int]] = {}
+        self.marks: dict[bytes, list[int]] = {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of `mark` from `at` on, or -1; all places are found once."""
+        if mark not in self.marks:
+            places, k = [], self.find(mark)
+            while k >= 0:
+                places.append(k)
+                k = self.find(mark, k + 1)
+            self.marks[mark] = places
+        places = self.marks[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def chain(self, kind: str, at: int, step: Callable[[int], int]) -> int:
+        """Follows step(place) -> next place until it gives -1 (no such medium) or less than -1 (the end is at its complement). Places from which the chain fails are remembered."""
+        dead, seen = self.dead.setdefault(kind, set()), []
+        while at >= 0 and at not in dead:
+            seen.append(at)
+            at = step(at)
+        if at < -1:
+            return ~at
+        dead.update(seen)
+        return -1
+
+
+def png(d: Bytes, at: int) -> int | None:
+    if d[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+
+    def step(k: int) -> int:
+        if k + 12 > len(d):
+            return -1
+        size, kind = struct.unpack_from(">I4s", d, k)
+        end = k + 12 + size
+        return -1 if end > len(d) or not kind.isalpha() else ~end if kind == b"IEND" else end
+
+    end = d.chain("png", at + 8, step)
+    k, walked = at + 8, [at + 8]
+    while k < end:  # the frame of chunks is whole: now their checksums
+        size = struct.unpack_from(">I", d, k)[0]
+        if struct.unpack_from(">I", d, k + 8 + size)[0] != zlib.crc32(memoryview(d)[k + 4 : k + 8 + size]):
+            d.dead["png"].update(walked)
             return None
-        first, end = False, end + 12 + size
-        if kind == b"IEND":
-            return end - at
-    return None
+        k += 12 + size
+        walked.append(k)
+    return end - at if end > 0 else None
 
 
-def bmp(d: bytes, at: int) -> int | None:
+def bmp(d: Bytes, at: int) -> int | None:
     if at + 54 > len(d):
         return None
     size, r1, r2, offset, header, width, height, deep, bits = struct.unpack_from("<IHHIIiiHH", d, at + 2)
@@ -112,7 +154,7 @@ def bmp(d: bytes, at: int) -> int | None:
     return size if fits and size <= len(d) - at and offset + row * abs(height) <= size else None
 
 
-def pgm(d: bytes, at: int) -> int | None:
+def pgm(d: Bytes, at: int) -> int | None:
     parts = d[at : at + 40].split(b"\n", 3)
     if len(parts) < 4 or parts[0] != b"P5" or parts[2] != b"255":
         return None
@@ -123,7 +165,7 @@ def pgm(d: bytes, at: int) -> int | None:
     return total if int(size[0]) * int(size[1]) and total <= len(d) - at else None
 
 
-def riff(d: bytes, at: int) -> int | None:
+def riff(d: Bytes, at: int) -> int | None:
     if at + 12 > len(d) or d[at + 8 : at + 12] != b"WAVE":
         return None
     total = struct.unpack_from("<I", d, at + 4)[0] + 8
@@ -135,51 +177,62 @@ def riff(d: bytes, at: int) -> int | None:
     return total if {b"fmt ", b"data"} <= kinds and end - at - 1 <= total <= end - at else None
 
 
-def gif(d: bytes, at: int) -> int | None:
+def gif(d: Bytes, at: int) -> int | None:
     if at + 13 > len(d):
         return None
-    end = at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 128 else 0)
-    try:
-        while d[end] != 0x3B:
-            if d[end] == 0x21:
-                end += 2
-            elif d[end] == 0x2C:
-                end += 11 + (3 << ((d[end + 9] & 7) + 1) if d[end + 9] & 128 else 0)
-            else:
-                return None
-            while d[end]:
-                end += d[end] + 1
-            end += 1
-    except IndexError:
-        return None
-    return end + 1 - at
 
-
-def jpeg(d: bytes, at: int) -> int | None:
-    end = at + 2
-    while end + 4 <= len(d) and d[end] == 0xFF:
-        kind, size = d[end + 1], struct.unpack_from(">H", d, end + 2)[0]
+    def blocks(k: int) -> int:  # data blocks up to the one of size 0
+        return -1 if k >= len(d) else k + d[k] + 1 if d[k] else ~(k + 1)
+
+    def step(k: int) -> int:
+        if k >= len(d):
+            return -1
+        if d[k] == 0x3B:
+            return ~(k + 1)
+        if d[k] == 0x21:
+            return d.chain("gif blocks", k + 2, blocks)
+        if d[k] == 0x2C and k + 10 <= len(d):
+            return d.chain("gif blocks", k + 11 + (3 << ((d[k + 9] & 7) + 1) if d[k + 9] & 128 else 0), blocks)
+        return -1
+
+    end = d.chain("gif", at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 128 else 0), step)
+    return end - at if end > 0 else None
+
+
+def jpeg(d: Bytes, at: int) -> int | None:
+    def step(k: int) -> int:
+        if k + 4 > len(d) or d[k] != 0xFF:
+            return -1
+        kind, size = d[k + 1], struct.unpack_from(">H", d, k + 2)[0]
         if kind == 0xDA:
-            last = d.find(b"\xff\xd9", end + 2 + size)
-            return last + 2 - at if last >= 0 else None
-        if size < 2 or not 0xC0 <= kind <= 0xFE:
-            return None
-        end += 2 + size
-    return None
+            last = d.next(b"\xff\xd9", k + 2 + size)
+            return ~(last + 2) if last >= 0 else -1
+        return -1 if size < 2 or not 0xC0 <= kind <= 0xFE else k + 2 + size
+
+    end = d.chain("jpeg", at + 2, step)
+    return end - at if end > 0 else None
 
 
-def gzip(d: bytes, at: int) -> int | None:
-    open_ = zlib.decompressobj(31)
+def gzip(d: Bytes, at: int, piece: int = 1 << 16) -> int | None:
+    """Inflates piece by piece and drops what comes out, so that memory stays the same however much that is."""
+    opened, view, k = zlib.decompressobj(31), memoryview(d), at
     try:
-        open_.decompress(d[at:])
+        while not opened.eof and (k < len(d) or opened.unconsumed_tail):
+            data = opened.unconsumed_tail or view[k : k + piece]
+            k += 0 if opened.unconsumed_tail else len(data)
+            opened.decompress(data, piece)
+        if not opened.eof:
+            opened.flush()  # what the last piece left, a few symbols at most
     except zlib.error:
         return None
-    return len(d) - at - len(open_.unused_data) if open_.eof else None
+    return k - len(opened.unused_data) - at if opened.eof else None
 
 
-def pdf(d: bytes, at: int) -> int | None:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d[at + 5 : at + 6].isdigit() and d.find(b"startxref", at, end) >= 0 else None
+def pdf(d: Bytes, at: int) -> int | None:
+    if not d[at + 5 : at + 6].isdigit():
+        return None
+    end, start = d.next(b"%%EOF", at), d.next(b"startxref", at)
+    return end + 5 - at if 0 <= start <= end - len(b"startxref") else None
 
 
 #: Magic bytes, type, validator.
@@ -200,7 +253,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of the media in `data` that don't lie within earlier ones, in order."""
-    found, free = [], 0
+    data, found, free = Bytes(data), [], 0
     hits = ((last + 1 - len(FORMATS[k][0]), k) for last, k in automaton().iter(data.decode("latin-1")))
     for start, k in sorted(hits):
         if start >= free and (size := FORMATS[k][2](data, start)):
@@ -227,8 +280,8 @@ def payload_of(text: str | None) -> bytes:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary), declared_type of each text: its payload in the format that its checksum picks. The declared type is always one and the same,
-    as in columns whose types can't be trusted."""
+    """doc_id, n_bytes, media (binary), declared_type of each text: its payload in the format that its checksum picks. The declared type is the one that other bits of the checksum pick, so mostly wrong,
+    as in columns whose types can't be trusted; it plays no part in reading back."""
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("declared_type", pa.string())])
     kinds = list(STORES)
 
@@ -238,7 +291,8 @@ def stored(docs: DataFrame) -> DataFrame:
                 part, rows = batch.slice(at, 500), []
                 for text in part.column(1).to_pylist():
                     payload = payload_of(text)
-                    rows.append((len((text or "").encode()), STORES[kinds[zlib.crc32(payload) % len(kinds)]][0](payload), "image/jpeg"))
+                    crc = zlib.crc32(payload)
+                    rows.append((len((text or "").encode()), STORES[kinds[crc % len(kinds)]][0](payload), kinds[(crc >> 8) % len(kinds)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(out)[1:], strict=True)]], schema=out)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, declared_type string")
@@ -264,8 +318,9 @@ def carved(media: DataFrame) -> DataFrame:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, actual_type, media, payload (binary) and feature of stored media, decoded by the type that was found."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("actual_type", pa.string()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string())])
+    """doc_id, n_bytes, actual_type, media, corrected, items, payload (binary) and feature of sniffed stored media, decoded by the type that was found."""
+    item = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("actual_type", pa.string()), ("media", pa.binary()), ("corrected", pa.bool_()), ("items", item), ("payload", pa.binary()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,5 +329,5 @@ def read_back(media: DataFrame) -> DataFrame:
                 own = [STORES[k][1](d) if k in STORES else None for k, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary()), pa.array([None if p is None else f"type={k};{features(p)}" for k, p in zip(part.column(2).to_pylist(), own, strict=True)], pa.string())], schema=out)
 
-    return media.select("doc_id", "n_bytes", "actual_type", "media").mapInArrow(run, "doc_id long, n_bytes long, actual_type string, media binary, payload binary, feature string")
-
+    items = "items array<struct<type:string,start:long,length:long>>"
+    return media.select("doc_id", "n_bytes", "actual_type", "media", "corrected", "items").mapInArrow(run, f"doc_id long, n_bytes long, actual_type string, media binary, corrected boolean, {items}, payload binary, feature string")

@@ -58,9 +58,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = media.read_back(media.sniffed(media.stored(documents(spark, sf_dir))))
     payload, n = F.col("payload"), F.length("payload")
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["type"], x["start"].cast("string"), x["length"].cast("string"))), ",")
     return back.select(
         "doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "actual_type", "corrected", items.alias("items"),
     )
 
 
