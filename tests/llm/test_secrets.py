@@ -1,4 +1,7 @@
 import re
+import time
+
+import pytest
 
 from astrolign.llm import secrets
 
@@ -49,3 +52,55 @@ def test_redaction():
 def test_redaction_keeps_columns_and_nulls(spark):
     frame = spark.createDataFrame([(1, None, "a"), (2, "passwd: abcdefgh", "b")], "doc_id long, text string, lang string")
     assert sorted(map(tuple, secrets.redact(frame).collect())) == [(1, None, "a"), (2, "[SECRET]", "b")]
+
+
+S = "q8Zk2LmP0xW4rT7v"
+
+
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        (f'password: str = "{S}"', S), (f'cfg["api_key"] = "{S}"', S), (f"connect(user='me', password='{S}')", S), (f'db.password += "{S}"', S), (f"<password> {S} </password>", S), (f"login --token={S} --x=1", S),
+        (f'auth_token = """{S}"""', S), (f"secret_key: |\n  {S}\nother: 5", S), (f"secret = <<END\n{S}\nEND\nx = 1", S), (f'SECRET = base64.b64decode("{S}")', S), (f'dsn = "Server=s1;Password={S};Pool=4"', S),
+        (f"# old_password = '{S}'", S), (f"password = {S}  # rotate", S), (f'PART = "{S}"\npassword = PART + "x1"', S), (f'PART = "{S}"\npassword = f"pre-{{PART}}"', S), (f'PART = "{S}"\npassword = "%s-1" % PART', S), (f'PART = "{S}"\ntoken = "{{}}".format(PART)', S),
+        (f'def f():\n    K = "{S}"\n    secret_key = K\n', S), (f'let K = `{S}`;\nif (x) {{\n  const authToken = K;\n}}', S), (f"'client_secret' => '{S}',", S), (f'api_key ?= "{S}"', S), (f'token = "q8Zk2LmP" "0xW4rT7v"', 'q8Zk2LmP" "0xW4rT7v'),
+        (f"url = http://host/x?token={S}", S), (f'password = "q8\\"Zk2LmP0x"', 'q8\\"Zk2LmP0x'), (f"export A={S}; export API_KEY=$A", S), (f"A={S}\nAPI_KEY=${{A}}\n", S),
+    ],
+)
+def test_syntaxes(text, literal):
+    assert literal in found(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password = os.environ["DB_PASSWORD_NAME"]', 'password = os.getenv("PRODUCTION_Db_Passw0rd")', f"# K = '{S}'\nsecret_key = K", f'def f():\n    K = "{S}"\ndef g():\n    secret_key = K\n', f'{{ const K = "{S}"; }}\nsecretKey = K', "the password: it is written on the wall",
+        "token == other_token_Value9", f'colour: "{S}"', 'password = "<your password here>"', f'/* K = "{S}" */\nsecret_key = K', "key: value\nmonkey = 'Bananas4everyone'", 'token: str = ""',
+    ],
+)
+def test_what_is_no_secret(text):
+    assert found(text) == []
+
+
+HOSTILE = [
+    "token=", "a=1&", 'token="', "token='\\'", "a = ", "secret: |\n", "token = <<A ", "token = <<A\n", "secret:", "{", "}{", "password   ", " " * 7 + ":", "token: a[", '"secret" : "x" + ', "x = x + 'a'\ntoken = x\n", "/*", "<a>", "<token>", "token = f(", 'token = f("', "token = " + "'" * 3, "a:b,",
+    "token = t{}\n", "  " * 3 + "\n token = 'aB3dE5fG7'\n", "key = <<K{}\n", "AKIA", "0123456789abcdef", "é: ", "token \t", 'a="{}{{x}}"\n', "新=",
+]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_a_megabyte_of_anything_takes_linear_time(unit):
+    n = 1_000_000 // len(unit)
+    text = "".join(unit.replace("{}", str(k)) for k in range(n)) if "{}" in unit else unit * n
+    text = "secret key = x " + text
+    start = time.process_time()
+    secrets.spans(text)
+    # The lexer sees about a million characters in a second or two; what is quadratic would take minutes.
+    assert time.process_time() - start < 8
+
+
+def test_spans_of_blanks_are_passed_once():
+    text = "token" + " " * 300_000 + "= " + " " * 300_000 + "'" + " " * 300_000 + "x: " + " " * 100_000
+    start = time.process_time()
+    secrets.spans(text)
+    assert time.process_time() - start < 2
