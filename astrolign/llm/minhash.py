@@ -3,8 +3,10 @@
 Two permutations of a hashed coordinate space make the whole signature: the first one scatters a document's shingles, the second one, shifted
 circularly by 1, 2, ..., gives one minimum for each shift. Bands of the signature find candidates, full sets confirm them.
 Words are runs without ASCII white space with A-Z lowered, a document's set holds its distinct shingles of n words; a shorter text's whole sequence counts
-as one shingle. A text without words, or null, has an empty set and links with nothing. Rows that repeat a doc_id must repeat its text; they give one row.
-Rows without a doc_id take no part and give none.
+as one shingle. A text without words, or null, has an empty set and links with nothing. Rows that repeat a doc_id give one row; if their texts differ in their sets, an error says so.
+Rows without a doc_id take no part and give none. Very long texts count whole; columns other than the id and the text can have any name; an empty table gives an empty one.
+
+What is counted for each key is written before it is joined to the key's rows: both sides of such a join are then plain shuffles, and Spark splits a bucket that holds a large share of all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolign.llm.common import id_and_text, staged
+from astrolign.llm.common import id_and_text, refuse_unlike_rows, staged
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The coordinate space of the permutations: a prime, far more coordinates than a document has shingles.
@@ -108,9 +110,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = staged(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = staged(small.where("u <> v").distinct(), "edges")
         n, agreed = new.count(), new.join(edges, ["u", "v"], "left_semi").count()
@@ -124,10 +126,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def linked_in_blocks(members: DataFrame, n: int, percent: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) between rows (key, rep, root, words) of one key and different roots. A key's rows are dealt into blocks of about `block`, and each
+    """Links (a, b) between rows (key, n: rows of the key, rep, root, words) of one key and different roots. A key's rows are dealt into blocks of about `block`, and each
     pair of blocks is one group, where one row after the other is held against all others; only links come out."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root", "words")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -154,7 +155,7 @@ def linked_in_blocks(members: DataFrame, n: int, percent: int, block: int = 1024
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     A pair at the threshold of 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8. Equal sets meet by their digest and count once from there on.
@@ -162,13 +163,14 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, bands: int =
     other members still fall into several components then compare all pairs of different components: as pairs in buckets of up to `small`, in blocks
     beyond. So no pair that shares a bucket is left out, but those that are linked anyhow."""
     every = staged(signatures(docs, n, bands, rows), "signatures")
+    refuse_unlike_rows(every, "digest")
     full = every.where("n_shingles > 0")
     sets = staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("words").alias("words")), "sets")
     keyed = sets.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     buckets = staged(keyed.join(shared, "key"), "buckets")
     degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
-    leaders = buckets.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("leader"))
+    leaders = staged(buckets.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("leader")), "leaders")
     buckets = staged(buckets.join(leaders, "key").where("rep <> leader"), "members")
     tested = staged(buckets.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), "pairs")
     # Words travel once to the documents that are in pairs at all; what follows reads only these.
@@ -176,14 +178,14 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, bands: int =
     words = staged(sets.select("rep", "words").hint("merge").join(paired, "rep", "left_semi"), "words")
     links = staged(verified(tested, words, n, percent), "links")
     roots = components(links)
-    left = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_keys = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n")
+    left = staged(buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    open_keys = staged(left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n"), "open")
     left = staged(left.join(open_keys, "key"), "left")
     few = left.where(F.col("n") <= small)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.rep < y.rep AND x.root <> y.root")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = staged(verified(pairs.join(tested, ["a", "b"], "left_anti"), words, n, percent), "links")
     many = left.where(F.col("n") > small).join(words, "rep")
-    blocks = staged(linked_in_blocks(many.select("key", "rep", "root", "words"), n, percent), "links")
+    blocks = staged(linked_in_blocks(many.select("key", "n", "rep", "root", "words"), n, percent), "links")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(blocks))
     members = full.select("doc_id", "digest").distinct().join(sets.select("digest", "rep"), "digest").select("doc_id", "rep")
     members = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from astrolign.llm import minhash
 
 SCHEMA = "doc_id long, text string, rep string, keys string, n_shingles int"
@@ -48,13 +50,19 @@ def corpus(seed=3):
 
 def test_near_duplicates_are_those_of_brute_force(spark):
     docs = corpus()
-    assert run(spark, docs) == brute(docs)
-    assert run(spark, docs, small=2) == brute(docs)  # blocks instead of pairs
+    assert run(spark, docs, n=2) == brute(docs)
+    assert run(spark, docs, n=2, small=2) == brute(docs)  # blocks instead of pairs
+    assert run(spark, docs) == brute(docs, n=5)  # five words unless said otherwise
 
 
 def test_repeated_rows_give_one_row_and_null_ids_none(spark):
     docs = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "a b c d")]
-    assert run(spark, docs) == [(1, 3, 1, True), (2, 3, 1, False)]
+    assert run(spark, docs, n=2) == [(1, 3, 1, True), (2, 3, 1, False)]
+
+
+def test_unlike_texts_of_one_id_are_refused(spark):
+    with pytest.raises(ValueError, match="doc_id 1"):
+        run(spark, [(1, "a b c d"), (1, "a b c e")])
 
 
 def test_empty_table(spark):
