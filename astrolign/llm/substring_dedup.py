@@ -4,8 +4,11 @@ A window is `size` consecutive words. Its minimiser is the smallest hash among i
 super-k-mer and travel as one string to the bucket of that minimiser, so equal windows meet there. A bucket sorts its windows by hash, compares
 neighbours word by word, and so knows the smallest doc_id of each window exactly.
 
-Words are runs without ASCII white space. Null texts have none. Rows that repeat a doc_id must repeat its text. Rows without a doc_id neither remove
-words elsewhere nor lose any.
+A batch first looks at its own documents: where it holds a super-k-mer more than once, only the occurrences in the smallest doc_id travel; the words of all others are covered by that
+document whatever lies elsewhere, and their runs go straight to the result. So a passage that a third of all documents share reaches its bucket once for each batch of FLUSH characters.
+
+Words are runs without ASCII white space. Null texts have none. Rows that repeat a doc_id and its text lose the same words; if their texts differ, an error says so. Rows without a doc_id neither remove
+words elsewhere nor lose any. Very long texts count whole; other columns can have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolign.llm.common import id_and_text, partitions
+from astrolign.llm.common import id_and_text, partitions, refuse_unlike_rows
 
 FLUSH = 8_000_000
+#: Without words: runs that are settled, with their lengths in place of super-k-mers.
 _BLOB = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("kmers", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 _BLOB_SQL = "bucket int, words binary, kmers binary, docs binary, starts binary"
 
@@ -69,7 +73,7 @@ def super_kmers(words: list[list[bytes]], size: int, mer: int, hashes) -> tuple[
 
 
 def blobs(docs: DataFrame, size: int, mer: int, buckets: int) -> DataFrame:
-    """Rows for each batch and bucket: distinct super-k-mers, and where they occur."""
+    """Rows for each batch and bucket: distinct super-k-mers, and where they occur in the batch's smallest doc_id that has them; and a row for each batch's settled runs."""
 
     def pack(ids: list[int], words: list[list[bytes]], hashes) -> pa.RecordBatch:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -82,14 +86,29 @@ def blobs(docs: DataFrame, size: int, mer: int, buckets: int) -> DataFrame:
         bucket = (minimiser % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-        own, docs_, columns = np.array(ids, np.int64)[doc], doc.tolist(), ([], [], [], [], [])
+        own, docs_, columns, settled = np.array(ids, np.int64)[doc], doc.tolist(), ([], [], [], [], []), []
+
+        def put(*row) -> None:
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[a:b]
             seen: dict[bytes, int] = {}
-            kmers = [seen.setdefault(joined[docs_[k]][start[k] : end[k]], len(seen)) for k in at.tolist()]
-            row = int(bucket[at[0]]), compress(b"\n".join(seen)), _packed(np.array(kmers), compress), _packed(own[at], compress), _packed(first[at], compress)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
+            kmers = np.array([seen.setdefault(joined[docs_[k]][start[k] : end[k]], len(seen)) for k in at.tolist()])
+            if len(seen) < len(at):
+                least = np.full(len(seen), np.iinfo(np.int64).max)
+                np.minimum.at(least, kmers, own[at])
+                covered = own[at] > least[kmers]
+                settled.append(at[covered])
+                at, kmers = at[~covered], kmers[~covered]
+            put(int(bucket[at[0]]), compress(b"\n".join(seen)), _packed(kmers, compress), _packed(own[at], compress), _packed(first[at], compress))
+        if settled and len(at := np.sort(np.concatenate(settled))):  # in the order of the texts: runs that touch become one
+            new = np.ones(len(at), bool)
+            new[1:] = (doc[at][1:] != doc[at][:-1]) | (first[at][1:] != (first + count)[at][:-1])
+            heads = np.flatnonzero(new)
+            last = at[np.append(heads[1:], len(at)) - 1]
+            put(int(own[at[0]] % buckets), None, _packed((first + count)[last] + size - 1 - first[at[heads]], compress), _packed(own[at[heads]], compress), _packed(first[at[heads]], compress))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOB, strict=True)], schema=_BLOB)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +191,18 @@ def repeats(docs: DataFrame, size: int = 13, mer: int = 3, buckets: int | None =
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(repeated_runs(rows, size), out, strict=True)], schema=out)
 
-        bucket, rows = None, []
+        bucket, rows, decompress = None, [], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for own, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if own != bucket and rows:
                     yield done()
                     rows = []
                 bucket = own
-                rows.append(row)
+                if row[0] is None:
+                    lengths, docs_, starts = (_unpacked(x, decompress) for x in row[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, starts, starts + lengths), out, strict=True)], schema=out)
+                else:
+                    rows.append(row)
         if rows:
             yield done()
 
@@ -189,6 +212,7 @@ def repeats(docs: DataFrame, size: int = 13, mer: int = 3, buckets: int | None =
 def deduplicate(docs: DataFrame, size: int = 13, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text: the words left, joined by one space) of every row."""
     texts = id_and_text(docs)
+    refuse_unlike_rows(texts.select("doc_id", F.xxhash64("text").alias("digest")), "digest")
     cuts = repeats(docs, size, **options).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     packed = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -208,8 +232,8 @@ def deduplicate(docs: DataFrame, size: int = 13, **options) -> DataFrame:
                     total = len(words)
                     if own:
                         gone = np.zeros(total + 1, np.int64)
-                        np.add.at(gone, [min(x["start"], total) for x in own], 1)
-                        np.add.at(gone, [min(x["end"], total) for x in own], -1)
+                        np.add.at(gone, [x["start"] for x in own], 1)
+                        np.add.at(gone, [x["end"] for x in own], -1)
                         words = [w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g]
                     for column, value in zip(rows, (total, total - len(words), b" ".join(words)), strict=True):
                         column.append(value)

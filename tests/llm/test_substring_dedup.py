@@ -50,3 +50,25 @@ def test_null_ids_and_repeated_rows_stay(spark):
 
 def test_empty_table(spark):
     assert substring_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_unlike_texts_of_one_id_are_refused(spark):
+    with pytest.raises(ValueError, match="doc_id 7"):
+        substring_dedup.deduplicate(spark.createDataFrame([(7, "a"), (7, "b"), (8, "a")], "doc_id long, text string"))
+
+
+def test_copies_settle_within_batches_and_across_them(spark):
+    """Hundreds of copies with their own ends, in batches of some and of all documents, in one and in many tasks."""
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(80)]
+    docs = []
+    for i in range(300):
+        cut = rng.randrange(0, 40)
+        docs.append((i * 11 % 307, " ".join([*[f"a{rng.randrange(9)}" for _ in range(rng.randrange(20))], *shared[cut:], *[f"b{rng.randrange(9)}" for _ in range(rng.randrange(20))], *shared[: 60 - cut]])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 13)
+    for parts in (1, 9):
+        assert sorted(tuple(r) for r in substring_dedup.deduplicate(frame.repartition(parts), buckets=5).collect()) == want
+    sent = substring_dedup.blobs(frame.coalesce(1), 13, 3, 5).where("words IS NOT NULL").collect()
+    occurrences = sum(len(substring_dedup._unpacked(r.docs, substring_dedup.zstandard.ZstdDecompressor().decompress)) for r in sent)
+    assert occurrences < 20 * 300  # of some 120 words a document
