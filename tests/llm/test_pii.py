@@ -1,4 +1,9 @@
+import random
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from astrolign.llm import pii
 
@@ -58,3 +63,65 @@ def test_rows_stay(spark):
 def test_em_trusts_labelers_that_agree():
     share, chance = pii.reliabilities([("email", (1, 1, 1, 1), 900), ("email", (-1, -1, -1, 1), 100)])
     assert pii.posterior((1, 1, 1, 1), share["email"], chance) > 0.9 > 0.1 > pii.posterior((-1, -1, -1, 1), share["email"], chance)
+
+
+def iban(rng, country="DE", n=18):
+    body = "".join(str(rng.randrange(10)) for _ in range(n))
+    rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def labelled(n=400, seed=8):
+    """Texts with added kinds planted, and what looks alike: (text, true spans)."""
+    rng = random.Random(seed)
+    filler = ["the meeting went on", "Der Zug kam an", "la casa es grande", "le chat dort encore", "New York was cold", "Great Britain voted", "Version two of it"]
+    out = []
+    for _ in range(n):
+        text, true = "", set()
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choice(filler) + rng.choice([". ", ", ", "; "])
+            pick = rng.randrange(8)
+            lead, item, good = {
+                0: ("signed by ", f"{rng.choice(pii.GIVEN)} {rng.choice(pii.SURNAMES + ['Quillfeather', 'Östberg', 'Abendroth'])}", True),
+                1: ("with ", f"{rng.choice(['Dr.', 'Mrs', 'Herr', 'Madame'])} {rng.choice(['Quillfeather', 'Östberg', *pii.SURNAMES])}", True),
+                2: ("IBAN: ", iban(rng), True),
+                3: ("Konto ", " ".join(re.findall(".{1,4}", iban(rng, "FR", 23))), True),
+                4: ("write to ", f"user{rng.randrange(99)} (at) {rng.choice(['gmail', 'posteo', 'acme-works'])} [dot] {rng.choice(['com', 'de', 'org'])}", True),
+                5: ("order no. ", f"DE{rng.randrange(10, 99)} " + " ".join(str(rng.randrange(1000, 9999)) for _ in range(4)), False),
+                6: ("serial ", f"XQ{rng.randrange(10, 99)}" + "".join(str(rng.randrange(10)) for _ in range(16)), False),
+                7: ("look ", "nothing (at) all . so", False),
+            }[pick]
+            text += lead
+            if good:
+                true.add((len(text), len(text) + len(item)))
+            text += item + ". "
+        out.append((text, true))
+    return out
+
+
+def test_added_spans_on_labelled_texts(spark):
+    data = labelled()
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    hits = found = wanted = 0
+    for r in pii.find(frame).collect():
+        own = {(x.start, x.end) for x in r.spans if x.kind in pii.ADDED}
+        true = data[r.doc_id][1]
+        hits, found, wanted = hits + len(own & true), found + len(own), wanted + len(true)
+    assert hits / found >= 0.95 and hits / wanted >= 0.95, (hits, found, wanted)
+
+
+@pytest.mark.parametrize("unit", ["DE89 ", "a@b.c ", "Dr. Anna Schmidt ", "1.2.3.4 ", "x (at) y "])
+def test_long_texts_full_of_candidates(spark, unit):
+    texts = [unit * (n // len(unit)) for n in (125_000, 500_000)]
+    seconds = []
+    for text in [texts[0], *texts]:
+        start = time.time()
+        pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).write.format("noop").mode("overwrite").save()
+        seconds.append(time.time() - start)
+    assert seconds[2] < 3 + 6 * seconds[1]
+
+
+def test_checksum_of_account_numbers(spark):
+    rng = random.Random(1)
+    rows = [(iban(rng, c, n), True) for c, n in (("DE", 18), ("FR", 23), ("GB", 18), ("ES", 20))] + [("DE89 3704 0044 0532 0130 00", True), ("DE89 3704 0044 0532 0130 01", False), ("GB82 WEST 1234 5698 7654 32", True), ("GB82 WEST 1234 5698 7654 33", False)]
+    assert all(r.ok == r.want for r in spark.createDataFrame(rows, "n string, want boolean").withColumn("ok", pii.iban_holds(F.col("n"))).collect())
