@@ -41,6 +41,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that no later job reads."""
+    _staged[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, whatever is staged within it: only for tables that no later job reads."""
@@ -49,10 +60,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         while len(paths) > before:
-            path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, paths.pop())
 
 
 @contextmanager

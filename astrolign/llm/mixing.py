@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astrolign.llm.common import partitions
+from astrolign.llm.common import partitions, staged
 
 #: The largest rate that one table inverts: exp(-700) still is a normal double.
 PART = 700.0
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, seed: str = "mix", source: str = "source", doc_id: str
     """All columns of docs, replica (from 0) and shuffle_key, in the order of shuffle_key within partitions that it deals out: a global shuffle.
     The rates are broadcast if there are at most broadcast_sources of them, else joined by a shuffle that splits skewed sources."""
     taken = {c.lower() for c in docs.columns}
-    table = rates(docs, source=source, **options).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulative").alias("__cumulative")).cache()
+    table = rates(docs, source=source, **options).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulative").alias("__cumulative"))
+    table = staged(table, "rates")  # a row for each source
     few = table.limit(broadcast_sources + 1).count() <= broadcast_sources
     joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("__source")))
     inverse = lambda u: F.size(F.filter("__cumulative", lambda c: c <= u))

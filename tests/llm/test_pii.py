@@ -110,7 +110,7 @@ def test_added_spans_on_labelled_texts(spark):
     assert hits / found >= 0.95 and hits / wanted >= 0.95, (hits, found, wanted)
 
 
-@pytest.mark.parametrize("unit", ["DE89 ", "a@b.c ", "Dr. Anna Schmidt ", "1.2.3.4 ", "x (at) y "])
+@pytest.mark.parametrize("unit", ["DE89 ", "Dr. Anna Schmidt "])
 def test_long_texts_full_of_candidates(spark, unit):
     texts = [unit * (n // len(unit)) for n in (125_000, 500_000)]
     seconds = []
