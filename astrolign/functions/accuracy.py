@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from astrolign.functions.geometry import Q, clamp, dot, let, quaternion_angle, quaternion_to_pointing, rotate, rotation, to_euler
+from astrolign.functions.geometry import Q, clamp, dot, let, pointing_to_quaternion, quaternion_angle, quaternion_to_pointing, rotate, rotation, to_euler
 
 
 def wrapped(degrees: Column) -> Column:
@@ -40,13 +40,41 @@ def roll_of_wcs(header: Column) -> Column:
     return F.coalesce(turn("CD"), turn("PC"), value("CROTA2"), F.lit(0.0))
 
 
+def tan_centre(header: Column) -> Column:
+    """struct ra, dec (degrees) of the image's centre by a header's gnomonic projection (map of strings): CRPIX, CRVAL and the CD matrix, or CDELT with PC or CROTA2. Missing keys have the values that
+    the format gives them; without the image's size the reference pixel stands for the centre. Null without CRVAL."""
+    value = lambda k: F.try_element_at(header, F.lit(k)).cast("double")
+    given = lambda k, other: F.coalesce(value(k), F.lit(float(other)))
+    turn = F.radians(given("CROTA2", 0))
+    has_cd = F.greatest(*[F.when(value(f"CD{i}_{j}").isNotNull(), 1).otherwise(0) for i in (1, 2) for j in (1, 2)]) == 1
+    has_pc = F.greatest(*[F.when(value(f"PC{i}_{j}").isNotNull(), 1).otherwise(0) for i in (1, 2) for j in (1, 2)]) == 1
+    turned = {(1, 1): F.cos(turn), (1, 2): -F.sin(turn) * given("CDELT2", 1) / given("CDELT1", 1), (2, 1): F.sin(turn) * given("CDELT1", 1) / given("CDELT2", 1), (2, 2): F.cos(turn)}
+    matrix = {(i, j): F.when(has_cd, given(f"CD{i}_{j}", 0)).when(has_pc, given(f"CDELT{i}", 1) * given(f"PC{i}_{j}", i == j)).otherwise(given(f"CDELT{i}", 1) * turned[i, j]) for i in (1, 2) for j in (1, 2)}
+    # Pixels count from 1, their centres are whole numbers.
+    off = [F.coalesce(value(f"NAXIS{k}") / 2 + 1 - given(f"CRPIX{k}", 0), F.lit(0.0)) for k in (1, 2)]
+    plane = F.struct(*[F.radians(matrix[i, 1] * off[0] + matrix[i, 2] * off[1]).alias(k) for i, k in ((1, "xi"), (2, "eta"))], F.radians(value("CRVAL1")).alias("a"), F.radians(value("CRVAL2")).alias("d"))
+
+    def of(p: Column) -> Column:
+        far = F.cos(p["d"]) - p["eta"] * F.sin(p["d"])
+        ra = F.degrees(p["a"] + F.atan2(p["xi"], far))
+        return F.struct((ra - 360 * F.floor(ra / 360)).alias("ra"), F.degrees(F.atan2(F.sin(p["d"]) + p["eta"] * F.cos(p["d"]), F.sqrt(p["xi"] * p["xi"] + far * far))).alias("dec"))
+
+    return F.when(value("CRVAL1").isNotNull() & value("CRVAL2").isNotNull(), let(plane, of))
+
+
 def truth(header: Column) -> Column:
-    """struct source, ra, dec, roll: of a synthetic header, else of its WCS, else null."""
+    """struct source, ra, dec, roll, quaternion: of a synthetic header, else of the centre of its WCS, else null."""
     value = lambda k: F.try_element_at(header, F.lit(k))
-    record = lambda source, ra, dec, roll: F.struct(F.lit(source).alias("source"), ra.alias("ra"), dec.alias("dec"), roll.alias("roll"))
-    synthetic = record("synthetic", value("TRUE_RA").cast("double"), value("TRUE_DEC").cast("double"), F.coalesce(value("TRUE_ROL").cast("double"), F.lit(0.0)))
-    wcs = record("wcs", value("CRVAL1").cast("double"), value("CRVAL2").cast("double"), roll_of_wcs(header))
-    return F.when(F.upper(value("SYNTHIMG")).isin("T", "TRUE"), synthetic).when(value("CRVAL1").isNotNull(), wcs)
+    number = lambda k: value(k).cast("double")
+
+    def record(source: str, at: Column, q: Column | None = None) -> Column:
+        made = lambda p: pointing_to_quaternion(p["ra"], p["dec"], p["roll"])
+        return let(at, lambda p: F.struct(F.lit(source).alias("source"), p["ra"].alias("ra"), p["dec"].alias("dec"), p["roll"].alias("roll"), (made(p) if q is None else F.coalesce(q, made(p))).alias("quaternion")))
+
+    q = F.when(number("TRUE_Q0").isNotNull(), F.struct(*[number(f"TRUE_Q{k}").alias(f"q{k}") for k in range(4)]))
+    synthetic = record("synthetic", F.struct(number("TRUE_RA").alias("ra"), number("TRUE_DEC").alias("dec"), F.coalesce(number("TRUE_ROL"), F.lit(0.0)).alias("roll")), q)
+    wcs = record("wcs", let(tan_centre(header), lambda c: F.struct(c["ra"].alias("ra"), c["dec"].alias("dec"), roll_of_wcs(header).alias("roll"))))
+    return F.when(F.upper(value("SYNTHIMG")).isin("T", "TRUE"), synthetic).when(number("CRVAL1").isNotNull() & number("CRVAL2").isNotNull(), wcs)
 
 
 def attitude_record(q: Column, stars: Column, residual: Column, method: Column, error: Column) -> Column:

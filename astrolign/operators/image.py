@@ -21,8 +21,9 @@ def subtract_dark(pixels: DataFrame, dark: DataFrame) -> DataFrame:
 
 
 def flatten(pixels: DataFrame, flat: DataFrame) -> DataFrame:
-    """Divided by the flat field (row, col, flat) over its mean, 0.1 at least."""
-    scaled = flat.crossJoin(F.broadcast(flat.agg(F.avg("flat").alias("mean")))).select("row", "col", F.greatest(F.col("flat") / F.col("mean"), F.lit(0.1)).alias("gain"))
+    """Divided by the flat field (row, col, flat) over its mean, 0.1 at least. The mean is of decimals, which sum up to the same number in any order."""
+    mean = flat.agg((F.sum(F.col("flat").cast("decimal(28,12)")).cast("double") / F.count("flat")).alias("mean"))
+    scaled = flat.crossJoin(F.broadcast(mean)).select("row", "col", F.greatest(F.col("flat") / F.col("mean"), F.lit(0.1)).alias("gain"))
     return pixels.join(scaled, ["row", "col"]).select(*PIXEL, (F.col("value") / F.col("gain")).alias("value"))
 
 

@@ -3,53 +3,166 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from astrolign.functions.geometry import dot
+from astrolign.functions.geometry import dot, radec_to_vector
 
 
 def vec(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}.{k}") for k in ("x", "y", "z")}
 
 
-def within_angle(stars: DataFrame, least: float | None, most: float, cells: float | None = None) -> DataFrame:
+def _cells(v: dict[str, Column], side: float) -> list[Column]:
+    return [F.floor((v[k] + 1) / side).cast("int").alias(f"c{k}") for k in "xyz"]
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """A row for the row's own cube cell (cx, cy, cz) and each of its 26 neighbours."""
+    for k in "xyz":
+        df = df.withColumn("shift", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("shift")).drop("shift")
+    return df
+
+
+def _side(degrees: float, least: float = 2 / 1000) -> float:
+    """Width of cells such that directions within the angle lie in one cell or in neighbours."""
+    return max(2 * math.sin(math.radians(min(degrees, 180.0)) / 2) * (1 + 1e-9), least)
+
+
+def within_angle(stars: DataFrame, least: float | None, most: float, salt: int | None = None) -> DataFrame:
     """a, b, ang: pairs of stars (hip, ra_deg, dec_deg, x, y, z) with a < b by hip whose angle lies between the bounds, both included.
 
     The condition compares the dot product with the cosines of the bounds; the arc cosine is taken only of pairs that passed. Stars meet by an equality of cube cells
-    of the chord length of `most`: one star goes to its own cell, the other one to that and its 26 neighbours, so no pair is compared that lies further apart than two cells, and
-    no side has to fit one task."""
-    chord = 2 * math.sin(math.radians(min(most, 180.0)) / 2) * (1 + 1e-9)
-    side = max(chord, 2 / 1000) if cells is None else cells
-    own = [F.floor((F.col(k) + 1) / side).cast("int") for k in ("x", "y", "z")]
-    base = stars.select("hip", "x", "y", "z", *[c.alias(f"c{k}") for k, c in zip("xyz", own, strict=True)])
-    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    near = base
-    for k in "xyz":
-        near = near.withColumn("shift", shift).withColumn(f"c{k}", F.col(f"c{k}") + F.col("shift")).drop("shift")
+    of the chord length of `most`: one star goes to its own cell, the other one to that and its 26 neighbours, so no pair is compared that lies further apart than two cells. Wide angles make few
+    cells, so that each is dealt into `salt` shares of its stars (as many as there are shuffle partitions for each 64 unless given), and no task has to take a whole dense cell; the other side goes to all shares."""
+    salt = salt or max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
+    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most)))
+    near = _neighbours(base).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else _neighbours(base).withColumn("share", F.lit(0))
+    base = base.withColumn("share", F.pmod(F.xxhash64("hip"), F.lit(salt)).cast("int"))
     product = dot(vec("s"), vec("t"))
     bounds = product >= math.cos(math.radians(most))
     if least is not None:
         bounds &= product <= math.cos(math.radians(least))
-    equal = F.expr("s.cx = t.cx AND s.cy = t.cy AND s.cz = t.cz AND s.hip < t.hip")
+    equal = F.expr("s.cx = t.cx AND s.cy = t.cy AND s.cz = t.cz AND s.share = t.share AND s.hip < t.hip")
     kept = base.alias("s").join(near.alias("t"), equal & bounds).select(F.col("s.hip").alias("a"), F.col("t.hip").alias("b"), product.alias("d"))
     return kept.select("a", "b", F.degrees(F.acos(F.greatest(F.least("d", F.lit(1.0)), F.lit(-1.0)))).alias("ang"))
 
 
+LISTS = "hips array<long>, sizes array<int>, angles array<double>"
+
+
+def angle_lists(stars: DataFrame, least: float | None, most: float, block: int = 256, salt: int | None = None) -> DataFrame:
+    """hips, sizes, angles: blocks of stars (hip, x, y, z) with the angles from each to all others within the bounds, sorted, one star's behind the other's. Stars without any are left out.
+    Cells and shares are those of within_angle(); a group is a share of a cell against a share of the cell's surroundings, so that a star has a list for each of the latter shares. Counts over lists add up."""
+    salt = salt or max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
+    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most)))
+    share, all_shares = F.pmod(F.xxhash64("hip"), F.lit(salt)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    own = base.withColumn("sa", share).withColumn("sb", all_shares)
+    keys = ["cx", "cy", "cz", "sa", "sb"]
+    near = _neighbours(base).withColumn("sb", share).withColumn("sa", all_shares)
+    near = near.select(*[F.col(k).alias(f"{k}_") for k in keys], *[F.col(k).alias(f"{k}_") for k in ("hip", "x", "y", "z")])
+    low, high = math.cos(math.radians(most)), math.cos(math.radians(least)) if least is not None else math.inf
+    out = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.list_(pa.float64()))])
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # a side without rows comes without columns
+            return out.empty_table()
+        (hips, *a), (others, *b) = ([table[f"{c}{end}"].to_numpy() for c in ("hip", "x", "y", "z")] for table, end in ((left, ""), (right, "_")))
+        rows = []
+        for at in range(0, len(hips), block):
+            some, sizes, angles = hips[at : at + block], [], []
+            for k, hip in enumerate(some):
+                d = a[0][at + k] * b[0] + a[1][at + k] * b[1] + a[2][at + k] * b[2]
+                d = d[(d >= low) & (d <= high) & (others != hip)]
+                sizes.append(len(d))
+                angles.append(np.sort(np.degrees(np.arccos(np.clip(d, -1, 1)))))
+            rows.append((some, np.array(sizes, np.int32), np.concatenate(angles)))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+    found = own.groupBy(*keys).cogroup(near.groupBy(*[f"{k}_" for k in keys])).applyInArrow(one, LISTS)
+    return found if salt == 1 else _once(found, block)
+
+
+def _once(lists: DataFrame, block: int) -> DataFrame:
+    """Lists of stars that have several, joined to one for each star."""
+    out = pa.schema([("hip", pa.int64()), ("own", pa.list_(pa.float64()))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hips, sizes, angles = (batch.column(c)[row].values for c in range(3))
+                offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([hips, pa.ListArray.from_arrays(pa.array(offsets), angles)], schema=out)
+
+    each = lists.mapInArrow(split, "hip long, own array<double>").groupBy("hip").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"))
+    n = max(1, -(-lists.select(F.explode("hips").alias("hip")).distinct().count() // block))
+    packed = each.groupBy(F.pmod(F.xxhash64("hip"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("hip", "own")).alias("x"))
+    return packed.select(F.col("x.hip").alias("hips"), F.transform("x.own", lambda a: F.size(a)).alias("sizes"), F.flatten("x.own").alias("angles"))
+
+
+def within_cone(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFrame:
+    """Columns of frames (frame_id, ra, dec, ...) and of stars (x, y, z, ...; no names in common) for each star within the angle of a frame's direction, and cosine: of the angle between them.
+    Stars stay in their own cube cell, frames go to theirs and its neighbours: an equality join, whatever the sizes."""
+    axis = radec_to_vector(F.col("ra"), F.col("dec"))
+    side = _side(degrees)
+    asked = _neighbours(frames.select("*", F.struct(*[axis[k].alias(k) for k in "xyz"]).alias("axis"), *_cells(axis, side)))
+    held = stars.select("*", *_cells({k: F.col(k) for k in "xyz"}, side))
+    product = dot({k: F.col(f"axis.{k}") for k in "xyz"}, {k: F.col(k) for k in "xyz"})
+    joined = asked.join(held, ["cx", "cy", "cz"]).withColumn("cosine", product).where(F.col("cosine") >= math.cos(math.radians(min(degrees, 180.0))))
+    return joined.drop("cx", "cy", "cz", "axis")
+
+
+def cone_search(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFrame:
+    """frame_id, hip, sep (degrees) of the stars whose angle from a frame's direction is `degrees` at most. Cells and cosine leave a margin; the angle itself decides."""
+    found = within_cone(frames, stars.select("hip", "x", "y", "z"), min(180.0, degrees * (1 + 1e-6) + 1e-6))
+    return found.select("frame_id", "hip", F.degrees(F.acos(F.greatest(F.least("cosine", F.lit(1.0)), F.lit(-1.0)))).alias("sep")).where(F.col("sep") <= degrees)
+
+
 def with_bucket(pairs: DataFrame, tolerance: float, column: str = "ang") -> DataFrame:
     return pairs.withColumn("bucket", F.floor(F.col(column) / tolerance))
 
 
-def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float) -> DataFrame:
-    """left x right with |left_key - right_key| <= tolerance, as an equality of buckets of that width: each left row looks in its own bucket and both
-    neighbours. right may bring its `bucket` column. Columns of both sides must differ in name, but for bucket."""
-    keyed = right if "bucket" in right.columns else with_bucket(right, tolerance, right_key)
-    probes = left.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(left_key) / tolerance) - 1, F.floor(F.col(left_key) / tolerance) + 1)))
-    return probes.join(keyed, "bucket").where(F.abs(F.col(left_key) - F.col(right_key)) <= tolerance).drop("bucket")
+def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tolerance: float, width: float | None = None, own: str | None = None) -> DataFrame:
+    """left x right with |left_key - right_key| <= tolerance, as an equality of buckets: each left row looks in all buckets that its band touches. right may bring its `bucket` column, of width `width`
+    (the tolerance unless given); a left column named by `own` holds tolerances of their own. Columns of both sides must differ in name, but for bucket."""
+    width = width or tolerance
+    keyed = right if "bucket" in right.columns else with_bucket(right, width, right_key)
+    reach = F.col(own) if own else F.lit(tolerance)
+    first, last = (F.floor(F.col(left_key) / width + sign * (reach / width + 1e-6)) for sign in (-1, 1))
+    probes = left.withColumn("bucket", F.explode(F.sequence(first, last)))
+    return probes.join(keyed, "bucket").where(F.abs(F.col(left_key) - F.col(right_key)) <= reach).drop("bucket")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = 256, block: int = 1024) -> DataFrame:
+    """query, vector (ids), rank (from 0) of the k vectors (vector: id, v: array) nearest to each query (query: id, q: array), ties to the smaller id. A stated set of queries is held against all vectors:
+    both are packed into blocks, each query block meets each vector block by the block's number, and only the best k of each meeting come out. Distances are sums of squared differences
+    in order, the same for equal vectors wherever they lie."""
+    n_blocks, n_chunks = (max(1, -(-df.count() // size)) for df, size in ((vectors, block), (queries, chunk)))
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
+    held = vectors.groupBy(deal("vector", n_blocks).alias("block")).agg(F.collect_list(F.struct("vector", "v")).alias("vectors"))
+    asked = queries.groupBy(deal("query", n_chunks).alias("chunk")).agg(F.collect_list(F.struct("query", "q")).alias("queries"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    out = pa.schema([("query", pa.string() if queries.schema["query"].dataType.simpleString() == "string" else pa.int64()), ("vector", pa.int64()), ("distance", pa.float64())])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked_, held_ in zip(batch.column(0), batch.column(1), strict=True):
+                rows = asked_.as_py()
+                other = sorted(((r["vector"], r["v"]) for r in held_.as_py()), key=lambda r: r[0])
+                ids, v = np.array([i for i, _ in other]), np.array([x for _, x in other], float)
+                best = []
+                for r in rows:
+                    distance = np.zeros(len(v))
+                    for column, value in zip(v.T, r["q"], strict=True):
+                        distance += (column - value) ** 2
+                    near = np.argsort(distance, kind="stable")[:k]
+                    best += [(r["query"], int(ids[j]), float(distance[j])) for j in near]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*best, strict=True), out, strict=True)], schema=out)
 
-def nearest(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, distance: Column, k: int, on: Column) -> DataFrame:
-    """For each query the k nearest candidates that meet `on`, ranked from 0 by distance, ties by candidate. Spark keeps k rows of each group before the shuffle."""
-    joined = queries.join(candidates, on).withColumn("distance", distance)
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("distance", candidate)) - 1).where(F.col("rank") < k)
+    query_type = queries.schema["query"].dataType.simpleString()
+    found = asked.join(held, "block").select("queries", "vectors").mapInArrow(meet, f"query {query_type}, vector long, distance double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vector")) - 1).where(F.col("rank") < k).drop("distance")

@@ -13,6 +13,7 @@ from astrolign.functions import accuracy, camera, geometry, photometry
 from astrolign.operators import attitude, graph, image, joins, reports, voting
 from astrolign.plans import pipelines
 from astrolign.sources import catalogue
+from astrolign.sources.shared import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,16 +56,19 @@ def s5_clean(spark, d):
     return rounded(catalogue.cleaned(raw), "ra_deg", "vmag")
 
 
-_KNOWN = "SELECT s_suppkey AS hip, 360.0::DOUBLE * ((k * k * 1000003 + k * 7919 + 17) % 1048573) / 1048573 + s_suppkey % 3 * 0.7 AS ra_deg, degrees(asin(2.0::DOUBLE * ((k * k * 999983 + k * 104729 + 91) % 1048573) / 1048573 - 1)) AS dec_deg FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier)"
+_RA, _DEC = catalogue.placed_sql("k")
+_FIVE = " UNION ALL ".join(f"SELECT {h} AS hip, {ra}::DOUBLE AS ra_deg, {dec}::DOUBLE AS dec_deg" for h, _, ra, dec, _ in catalogue.KNOWN)
+_KNOWN = f"SELECT k AS hip, {_RA} + k % 3 * 0.7 AS ra_deg, {_DEC} AS dec_deg FROM (SELECT s_suppkey AS k FROM supplier) UNION ALL {_FIVE}"
 
 
 @query("s6_j10_known_stars", t.with_sql(t.CATALOGUE_SQL, f"known AS ({_KNOWN})", "SELECT k.hip, CASE WHEN c.hip IS NULL THEN 'missing' WHEN abs(c.ra_deg - k.ra_deg) > 1 OR abs(c.dec_deg - k.dec_deg) > 1 THEN 'off' ELSE 'ok' END AS status FROM known k LEFT JOIN cat c USING (hip)"))
 def s6_known(spark, d):
+    """The five known stars, and one for each supplier, a third of which lie off by more than a degree."""
     k = F.col("s_suppkey")
-    known = spark.read.parquet(f"{d}/supplier.parquet").select(
-        k.alias("hip"), (360 * F.pmod(k * k * 1000003 + k * 7919 + 17, F.lit(1048573)) / 1048573 + k % 3 * 0.7).alias("ra_deg"), F.degrees(F.asin(2 * F.pmod(k * k * 999983 + k * 104729 + 91, F.lit(1048573)) / 1048573 - 1)).alias("dec_deg")
-    )
-    return catalogue.check_known(t.catalogue(spark, d), known)
+    ra, dec = catalogue.placed(k)
+    more = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("hip"), (ra + k % 3 * 0.7).alias("ra_deg"), dec.alias("dec_deg"))
+    stars = t.catalogue(spark, d)
+    return catalogue.check_known(stars).union(catalogue.check_known(stars, more))
 
 
 @query("s13_off_galactic_plane", t.with_sql(t.CATALOGUE_SQL, "lat AS (SELECT hip, sin(radians(dec_deg)) * sin(radians(27.12825)) + cos(radians(dec_deg)) * cos(radians(27.12825)) * cos(radians(ra_deg) - radians(192.85948)) AS s FROM cat)", f"SELECT hip, {s6('degrees(asin(s))')} AS b FROM lat WHERE abs(degrees(asin(s))) > 15"))
@@ -79,29 +83,24 @@ def s14_names(spark, d):
     return pages.orderBy("name")
 
 
-@query("p3_cone_search", t.with_sql(t.CATALOGUE_SQL, t.FRAMES_SQL, f"SELECT frame_id, hip, {s6('sep', 4)} AS sep FROM (SELECT frame_id, hip, degrees(acos(greatest(-1.0, least(1.0, cos(radians(dec))*cos(radians(ra))*x + cos(radians(dec))*sin(radians(ra))*y + sin(radians(dec))*z)))) AS sep FROM frames, cat) WHERE sep <= 12"))
+@query("p3_cone_search", t.with_sql(t.MANY_SQL, f"SELECT frame_id, hip, {s6('sep', 4)} AS sep FROM (SELECT frame_id, hip, degrees(acos(greatest(-1.0, least(1.0, r20*x + r21*y + r22*z)))) AS sep FROM rot, cat) WHERE sep <= 12"))
 def p3_cone(spark, d):
-    axis = geometry.radec_to_vector(F.col("ra"), F.col("dec"))
-    sep = geometry.separation_acos(axis, {k: F.col(k) for k in "xyz"})
-    return t.frames(spark, d).join(t.catalogue(spark, d), F.lit(True)).select("frame_id", "hip", sep.alias("sep")).where("sep <= 12").select("frame_id", "hip", r6("sep", 4).alias("sep"))
+    return rounded(joins.cone_search(t.many_frames(spark, d), t.catalogue(spark, d), 12.0), "sep", n=4)
 
 
-_PROJECT = f"""flat AS (SELECT frame_id, c.hip, r20*x + r21*y + r22*z AS bz, (r00*x + r01*y + r02*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS px, (r10*x + r11*y + r12*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS py FROM rot, cat c),
+_PROJECT = f"""flat AS (SELECT frame_id, c.hip, r20*x + r21*y + r22*z AS bz, (r00*x + r01*y + r02*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS px, (r10*x + r11*y + r12*z) / nullif(r20*x + r21*y + r22*z, 0) * {CAM.focal!r}::DOUBLE AS py FROM rot, cat c WHERE r20*x + r21*y + r22*z > 0.9),
 bent AS (SELECT *, 1 + -1e-7::DOUBLE * (px*px + py*py) + 1e-13::DOUBLE * pow(px*px + py*py, 2) AS f FROM flat),
-proj AS (SELECT frame_id, hip, bz, CASE WHEN bz > 0 THEN px * f + 512 END AS u, CASE WHEN bz > 0 THEN py * f + 512 END AS v FROM bent)"""
+proj AS (SELECT frame_id, hip, bz, px * f + 512 AS u, py * f + 512 AS v FROM bent)"""
 
 
-@query("p4_visible_stars", t.with_sql(t.SKY_SQL, _PROJECT, f"SELECT frame_id, hip AS star, {s6('u', 4)} AS u, {s6('v', 4)} AS v FROM proj WHERE u >= 0 AND u < 1024 AND v >= 0 AND v < 1024"))
+@query("p4_visible_stars", t.with_sql(t.MANY_SQL, _PROJECT, f"SELECT frame_id, hip AS star, {s6('u', 4)} AS u, {s6('v', 4)} AS v FROM proj WHERE u >= 0 AND u < 1024 AND v >= 0 AND v < 1024"))
 def p4_visible(spark, d):
-    return rounded(pipelines.visible(t.frames(spark, d), t.catalogue(spark, d)).select("frame_id", "star", "u", "v"), "u", "v", n=4)
+    return rounded(pipelines.visible(t.many_frames(spark, d), t.catalogue(spark, d)).select("frame_id", "star", "u", "v"), "u", "v", n=4)
 
 
-@query("p5_f15_f16_project", t.with_sql(t.SKY_SQL, _PROJECT, f"SELECT frame_id, hip, bz > 0 AND coalesce(u >= 0 AND u < 1024 AND v >= 0 AND v < 1024, false) AS on_sensor FROM proj WHERE bz > 0"))
+@query("p5_f15_f16_project", t.with_sql(t.MANY_SQL, _PROJECT, f"SELECT frame_id, hip, {s6('u', 4)} AS u, {s6('v', 4)} AS v, u >= 0 AND u < 1024 AND v >= 0 AND v < 1024 AS on_sensor FROM proj WHERE bz >= cos(radians(18.0))"))
 def p5_project(spark, d):
-    f = t.frames(spark, d).withColumn("m", geometry.pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll")))
-    turned = f.join(t.catalogue(spark, d).alias("c"), F.lit(True)).select("frame_id", "hip", *[v.alias(f"b{k}") for k, v in geometry.rotate(F.col("m"), joins.vec("c")).items()])
-    turned = turned.where("bz > 0").withColumn("p", camera.vector_to_pixel(CAM, {k: F.col(f"b{k}") for k in "xyz"}))
-    return turned.select("frame_id", "hip", camera.on_sensor(CAM, F.col("p.u"), F.col("p.v")).alias("on_sensor"))
+    return pipelines.projected(t.many_frames(spark, d), t.catalogue(spark, d), degrees=18.0).select("frame_id", "hip", r6("p.u", 4).alias("u"), r6("p.v", 4).alias("v"), "on_sensor")
 
 
 @query("p6_j13_dark", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("greatest(value - dark, 0)")} AS value FROM px JOIN fixed USING (r, c)'))
@@ -109,7 +108,7 @@ def p6_dark(spark, d):
     return rounded(image.subtract_dark(t.pixels(spark, d), t.field_frame(spark, d).select("row", "col", "dark")), "value")
 
 
-@query("p7_flat", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value / greatest(flat / (SELECT avg(flat) FROM fixed), 0.1)")} AS value FROM px JOIN fixed USING (r, c)'))
+@query("p7_flat", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value / greatest(flat / (SELECT sum(flat::DECIMAL(28, 12))::DOUBLE / count(flat) FROM fixed), 0.1)")} AS value FROM px JOIN fixed USING (r, c)'))
 def p7_flat(spark, d):
     return rounded(image.flatten(t.pixels(spark, d), t.field_frame(spark, d).select("row", "col", "flat")), "value")
 
@@ -192,9 +191,11 @@ def a18_stats(spark, d):
 
 # --- Pairs, votes, identification ----------------------------------------------------------------------------------------------------------------
 
-@query("j1_catalogue_pairs", t.with_sql(t.CATALOGUE_SQL, t.PAIRS_SQL, f"SELECT a, b, {s6('ang', 5)} AS ang, floor(ang / 0.01)::BIGINT AS bucket FROM pair"))
+# Pairs, hits and votes number millions: these queries make all of them and return sums by bucket, pair and star that any missing or wrong row changes.
+@query("j1_catalogue_pairs", t.with_sql(t.CATALOGUE_SQL, t.PAIRS_SQL, f"SELECT floor(ang / 0.01)::BIGINT AS bucket, count(*) AS n, sum(a)::BIGINT AS sum_a, sum(b)::BIGINT AS sum_b, sum(a * b % 1000003)::BIGINT AS mixed, {s6('min(ang)', 5)} AS least, {s6('max(ang)', 5)} AS most FROM pair GROUP BY ALL"))
 def j1_pairs(spark, d):
-    return rounded(t.pairs(spark, d).select("a", "b", "ang", "bucket"), "ang", n=5)
+    out = t.pairs(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.sum(F.col("a") * F.col("b") % 1000003).alias("mixed"), F.min("ang").alias("least"), F.max("ang").alias("most"))
+    return rounded(out, "least", "most", n=5)
 
 
 @query("j3_p12_w3_observed_pairs", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, i, j, {s6('obs', 5)} AS obs FROM obs"))
@@ -207,18 +208,24 @@ def hits(spark, d):
     return voting.hits(voting.observed_pairs(voting.selected(t.sky_stars(spark, d))), t.pairs(spark, d))
 
 
-@query("j2_band_join", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT frame_id, i, j, a, b FROM hit"))
+def star_votes(spark, d, **options):
+    return voting.star_votes(voting.observed_pairs(voting.selected(t.sky_stars(spark, d))), t.lists(spark, d), **options)
+
+
+@query("j2_band_join", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT frame_id, i, j, count(*) AS n, sum(a)::BIGINT AS sum_a, sum(b)::BIGINT AS sum_b, sum(a * b % 1000003)::BIGINT AS mixed FROM hit GROUP BY ALL"))
 def j2_band(spark, d):
-    return hits(spark, d).select("frame_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a", "b")
+    out = hits(spark, d).groupBy("frame_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    return out.agg(F.count("*").alias("n"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.sum(F.col("a") * F.col("b") % 1000003).alias("mixed"))
 
 
-@query("a1_u1_votes", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT * FROM counted"))
+@query("a1_u1_votes", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "SELECT frame_id, star_index, count(*) AS n, sum(votes)::BIGINT AS votes, max(votes) AS most, sum(votes * (hip % 1000003))::BIGINT AS mixed FROM counted GROUP BY ALL"))
 def a1_votes(spark, d):
-    return voting.votes(hits(spark, d)).withColumn("star_index", F.col("star_index").cast("long"))
+    out = star_votes(spark, d).groupBy("frame_id", F.col("star_index").cast("long").alias("star_index"))
+    return out.agg(F.count("*").alias("n"), F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.sum(F.col("votes") * (F.col("hip") % 1000003)).alias("mixed"))
 
 
 def chosen(spark, d):
-    return voting.candidates(voting.votes(hits(spark, d)))
+    return voting.candidates(star_votes(spark, d, most=2))
 
 
 @query("w4_candidates", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, votes, {s6('least(ratio, 1e9)')} AS ratio FROM cand"))
@@ -227,7 +234,7 @@ def w4_candidates(spark, d):
 
 
 def scored(spark, d):
-    return voting.consistency(chosen(spark, d), voting.selected(t.sky_stars(spark, d)), t.catalogue(spark, d))
+    return voting.consistency(staged(chosen(spark, d), "candidates"), voting.selected(t.sky_stars(spark, d)), t.catalogue(spark, d))
 
 
 @query("j4_a3_consistency", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, {s6('confidence')} AS confidence FROM scored"))
@@ -236,7 +243,7 @@ def j4_consistency(spark, d):
 
 
 def matched(spark, d):
-    return voting.identify(t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d))
+    return voting.identify(t.sky_stars(spark, d), t.catalogue(spark, d), t.lists(spark, d))
 
 
 @query(FLAGSHIP, t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, votes, {s6('confidence')} AS confidence FROM matched"))
@@ -299,9 +306,13 @@ def a15_confidence(spark, d):
     return rounded(reports.mean_confidence(matched(spark, d)), "confidence_percent")
 
 
-@query("j12_match_table")
+_J12 = ", ".join(f"round(round_even({c}, {n}), {n}) + 0.0 AS {name}" for c, n, name in (("ra_deg", 3, "ra"), ("dec_deg", 3, "dec"), ("vmag", 2, "mag"), ("confidence", 3, "confidence")))
+
+
+@query("j12_match_table", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, {_J12} FROM matched JOIN cat USING (hip)"))
 def j12_table(spark, d):
-    return reports.match_table(matched(spark, d), t.catalogue(spark, d))
+    out = reports.match_table(matched(spark, d), t.catalogue(spark, d)).withColumn("star_index", F.col("star_index").cast("long"))
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("ra", "dec", "mag", "confidence")})
 
 
 @query("u3_fallback", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, "good AS (SELECT frame_id FROM matched GROUP BY frame_id HAVING count(*) >= 3)", "SELECT frame_id, star_index, hip, 'triangle' AS method FROM matched SEMI JOIN good USING (frame_id) UNION ALL SELECT frame_id, star_index, star, 'gnn' FROM used ANTI JOIN good USING (frame_id)"))
@@ -325,7 +336,7 @@ _EDGES = "ranked AS (SELECT s.patch, s.node AS src, t.node AS dst, sqrt(pow(s.px
 
 
 def members(spark, d):
-    cat = t.catalogue(spark, d)
+    cat = t.patch_stars(spark, d)
     return cat, graph.neighbourhoods(cat)
 
 
@@ -333,27 +344,27 @@ def nodes(spark, d):
     return graph.patches(*members(spark, d))
 
 
-@query("j8_neighbourhoods", t.with_sql(t.CATALOGUE_SQL, _NEAR, "SELECT patch, hip FROM members"))
+@query("j8_neighbourhoods", t.with_sql(t.PATCH_SQL, _NEAR, "SELECT patch, hip FROM members"))
 def j8_neighbourhoods(spark, d):
     return members(spark, d)[1].select("patch", "hip")
 
 
-@query("f30_tangent_plane", t.with_sql(t.CATALOGUE_SQL, _NEAR, f"SELECT patch, node, {s6('px')} AS px, {s6('py')} AS py FROM nodes"))
+@query("f30_tangent_plane", t.with_sql(t.PATCH_SQL, _NEAR, f"SELECT patch, node, {s6('px')} AS px, {s6('py')} AS py FROM nodes"))
 def f30_tangent(spark, d):
     return rounded(nodes(spark, d).select("patch", "node", "px", "py"), "px", "py")
 
 
-@query("j9_knn_edges", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, "SELECT patch, src, dst FROM ranked WHERE rn <= 6"))
+@query("j9_knn_edges", t.with_sql(t.PATCH_SQL, _NEAR, _EDGES, "SELECT patch, src, dst FROM ranked WHERE rn <= 6"))
 def j9_edges(spark, d):
     return graph.knn_edges(nodes(spark, d))
 
 
-@query("w7_a20_node_features", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, "low AS (SELECT patch, min(mag) AS low FROM nodes GROUP BY patch)", f"SELECT patch, src AS node, {s6('(any_value(mag) - any_value(low)) / 3')} AS mag_norm, " + ", ".join(f"{s6(f'coalesce(max(d) FILTER (WHERE rn = {k}) / 15, 1.0)')} AS d{k}" for k in range(1, 6)) + " FROM ranked JOIN low USING (patch) GROUP BY patch, src"))
+@query("w7_a20_node_features", t.with_sql(t.PATCH_SQL, _NEAR, _EDGES, "low AS (SELECT patch, min(mag) AS low FROM nodes GROUP BY patch)", f"SELECT patch, src AS node, {s6('(any_value(mag) - any_value(low)) / 3')} AS mag_norm, " + ", ".join(f"{s6(f'coalesce(max(d) FILTER (WHERE rn = {k}) / 15, 1.0)')} AS d{k}" for k in range(1, 6)) + " FROM ranked JOIN low USING (patch) GROUP BY patch, src"))
 def w7_features(spark, d):
     return rounded(graph.node_features(nodes(spark, d)), "mag_norm", *[f"d{k}" for k in range(1, 6)])
 
 
-@query("a19_neighbour_mean", t.with_sql(t.CATALOGUE_SQL, _NEAR, _EDGES, f"SELECT n.patch, n.node, {s6('coalesce(avg(s.mag), 0)')} AS mean_mag FROM nodes n LEFT JOIN ranked e ON e.patch = n.patch AND e.dst = n.node AND rn <= 6 LEFT JOIN nodes s ON s.patch = n.patch AND s.node = e.src GROUP BY ALL"))
+@query("a19_neighbour_mean", t.with_sql(t.PATCH_SQL, _NEAR, _EDGES, f"SELECT n.patch, n.node, {s6('coalesce(avg(s.mag), 0)')} AS mean_mag FROM nodes n LEFT JOIN ranked e ON e.patch = n.patch AND e.dst = n.node AND rn <= 6 LEFT JOIN nodes s ON s.patch = n.patch AND s.node = e.src GROUP BY ALL"))
 def a19_mean(spark, d):
     own = nodes(spark, d)
     return rounded(graph.neighbour_mean(own.select("patch", "node", "mag"), graph.knn_edges(own), ["mag"]), "mean_mag")
@@ -452,14 +463,28 @@ def k17_sky(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", r6(ra).alias("ra"), r6(dec).alias("dec"))
 
 
-@query("u4_validation_records")
+# Noiseless directions give the true attitude: errors of less than a twentieth of an arc second.
+_GOOD = "good AS (SELECT frame_id, count(*)::INT AS n FROM matched GROUP BY frame_id HAVING count(*) >= 3)"
+_SEEN = "det AS (SELECT frame_id, count(*)::INT AS n FROM stars GROUP BY frame_id)"
+_ZERO = ", ".join(f"CASE WHEN g.n IS NOT NULL THEN 0.0::DOUBLE END AS {c}" for c in ("angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec"))
+
+
+@query("u4_validation_records", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, _GOOD, _SEEN, f"SELECT printf('frame_%04d.fits', f.frame_id) AS filename, coalesce(d.n, 0)::INT AS n_detected, coalesce(g.n, 0)::INT AS n_matched, CASE WHEN g.n IS NULL THEN 'triangle_failed' ELSE 'triangle' END AS method, g.n IS NOT NULL AS success, {_ZERO} FROM frames f LEFT JOIN det d USING (frame_id) LEFT JOIN good g USING (frame_id)"))
 def u4_records(spark, d):
-    return pipelines.validate(t.frames(spark, d), t.sky_stars(spark, d), pipelines.solve(t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d)))
+    out = pipelines.validate(t.frames(spark, d), t.sky_stars(spark, d), pipelines.solve(t.sky_stars(spark, d), t.catalogue(spark, d), t.lists(spark, d)))
+    return rounded(out, "angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec", n=1)
+
+
+_LEVELS = """lv AS (SELECT unnest([0.0, 0.2, 0.4])::DOUBLE AS occlusion),
+placed_ AS (SELECT s.*, occlusion, count(*) OVER (PARTITION BY frame_id, occlusion) AS n2, row_number() OVER (PARTITION BY frame_id, occlusion ORDER BY md5('occlusion:' || frame_id || ':' || occlusion || ':' || star), star) AS p FROM seen s, lv),
+stay AS (SELECT * FROM placed_ WHERE p <= n2 - floor(n2 * occlusion)),
+levels AS (SELECT frame_id * 1000 + round(occlusion * 100)::BIGINT AS frame_id, frame_id AS frame, occlusion, star, bx, by_, bz, mag, snr FROM stay)"""
 
 
-@query("s12_occlusion_sweep")
+@query("s12_occlusion_sweep", t.with_sql(t.SEEN_SQL, _LEVELS, t.STARS_SQL.replace("FROM seen", "FROM levels"), t.PAIRS_SQL, t.VOTES_SQL, _GOOD, _SEEN, "total AS (SELECT frame_id, count(*)::INT AS n FROM seen GROUP BY frame_id)", "SELECT printf('frame_%04d.fits', f.frame_id) AS filename, occlusion, coalesce(a.n, 0)::INT AS n_total_stars, coalesce(d.n, 0)::INT AS n_kept_stars, g.n IS NOT NULL AS triangle_success, CASE WHEN g.n IS NOT NULL THEN 0.0::DOUBLE END AS triangle_error_arcsec, coalesce(g.n, 0)::INT AS triangle_n_matched FROM frames f CROSS JOIN lv LEFT JOIN total a USING (frame_id) LEFT JOIN det d ON d.frame_id = f.frame_id * 1000 + round(occlusion * 100)::BIGINT LEFT JOIN good g ON g.frame_id = f.frame_id * 1000 + round(occlusion * 100)::BIGINT"))
 def occlusion_sweep(spark, d):
-    return pipelines.occlusion_sweep(t.frames(spark, d), t.sky_stars(spark, d), t.catalogue(spark, d), t.pairs(spark, d), [0.0, 0.2, 0.4])
+    out = pipelines.occlusion_sweep(t.frames(spark, d), t.sky_stars(spark, d), t.catalogue(spark, d), t.lists(spark, d), [0.0, 0.2, 0.4])
+    return rounded(out, "triangle_error_arcsec", n=1)
 
 
 # --- Functions -----------------------------------------------------------------------------------------------------------------------------------
@@ -535,26 +560,35 @@ def f19_flux(spark, d):
     return t.catalogue(spark, d).select("hip", r6(photometry.magnitude_to_flux(F.col("vmag"), 5e5, 0.5)).alias("flux"))
 
 
-@query("f23_f25_f26_accuracy", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('36.0 * cos(radians(dec))', 3)} AS ra_error_arcsec, 18.0::DOUBLE AS dec_error_arcsec, CASE WHEN frame_id > 0 THEN {s6('0.001 / (2 * frame_id)', 9)} ELSE 1e-6::DOUBLE END AS variance FROM frames"))
+@query("f23_f25_f26_accuracy", t.with_sql(t.MANY_FRAMES_SQL, f"SELECT frame_id, {s6('36.0 * cos(radians(dec))', 3)} AS ra_error_arcsec, 18.0::DOUBLE AS dec_error_arcsec, CASE WHEN frame_id > 0 THEN {s6('0.001 / (2 * frame_id)', 9)} ELSE 1e-6::DOUBLE END AS variance FROM frames"))
 def f23_accuracy(spark, d):
     q, p = (geometry.pointing_to_quaternion(F.col("ra") + a, F.col("dec") + b, F.col("roll")) for a, b in ((0.01, 0.005), (0.0, 0.0)))
     e = F.col("e")
-    frames = t.frames(spark, d).withColumns({"q": q, "p": p}).withColumn("e", accuracy.pointing_error(F.col("q"), F.col("p"), F.col("ra"), F.col("dec")))
+    frames = t.many_frames(spark, d).withColumns({"q": q, "p": p}).withColumn("e", accuracy.pointing_error(F.col("q"), F.col("p"), F.col("ra"), F.col("dec")))
     variance = accuracy.axis_variance(F.lit(0.001), F.col("frame_id"))
     return frames.select("frame_id", r6(e["ra_error_arcsec"], 3).alias("ra_error_arcsec"), r6(e["dec_error_arcsec"], 3).alias("dec_error_arcsec"), r6(variance, 9).alias("variance"))
 
 
-@query("f24_p13_truth", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'synthetic' WHEN page_id % 3 = 1 THEN 'wcs' END AS source, CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE WHEN page_id % 3 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 45.0::DOUBLE ELSE 12.5::DOUBLE END END AS roll FROM pages")
+# A third of the headers are synthetic, a third hold a gnomonic projection (CD matrix, or scales with a rotation), a third neither.
+_WCS = """w AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1e-3 ELSE 2e-3 * cos(radians(12.5)) END AS c11, CASE WHEN page_id % 2 = 0 THEN 1e-3 ELSE -2e-3 * sin(radians(12.5)) END AS c12,
+    CASE WHEN page_id % 2 = 0 THEN -1e-3 ELSE 2e-3 * sin(radians(12.5)) END AS c21, CASE WHEN page_id % 2 = 0 THEN 1e-3 ELSE 2e-3 * cos(radians(12.5)) END AS c22, page_id % 360 AS a, page_id * 7 % 170 - 85 AS d, 257 - page_id % 500 AS ox, 129 - 40 AS oy FROM pages WHERE page_id % 3 = 1),
+p AS (SELECT *, radians(c11 * ox + c12 * oy) AS xi, radians(c21 * ox + c22 * oy) AS eta, radians(a) AS ra0, radians(d) AS dec0 FROM w),
+c AS (SELECT page_id, (degrees(ra0 + atan2(xi, cos(dec0) - eta * sin(dec0))) + 360) % 360 AS ra, degrees(atan2(sin(dec0) + eta * cos(dec0), sqrt(xi * xi + pow(cos(dec0) - eta * sin(dec0), 2)))) AS dec FROM p)"""
+
+
+@query("f24_p13_truth", f"WITH {_WCS} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'synthetic' WHEN page_id % 3 = 1 THEN 'wcs' END AS source, CASE WHEN page_id % 3 = 0 THEN {s6('page_id % 360')} WHEN page_id % 3 = 1 THEN {s6('ra', 5)} END AS ra, CASE WHEN page_id % 3 = 0 THEN {s6('page_id % 90')} WHEN page_id % 3 = 1 THEN {s6('dec', 5)} END AS dec, CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE WHEN page_id % 3 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 45.0::DOUBLE ELSE 12.5::DOUBLE END END AS roll, CASE WHEN page_id % 3 < 2 THEN 1.0::DOUBLE END AS length FROM pages LEFT JOIN c USING (page_id)")
 def p13_truth(spark, d):
     n = F.col("page_id")
-    h = F.when(n % 3 == 0, F.create_map(F.lit("SYNTHIMG"), F.lit("T"), F.lit("TRUE_RA"), F.lit("1"), F.lit("TRUE_DEC"), F.lit("2"), F.lit("TRUE_ROL"), F.lit("5"))).when(
-        n % 3 == 1, F.map_concat(F.create_map(F.lit("CRVAL1"), F.lit("1"), F.lit("CRVAL2"), F.lit("2")), F.when(n % 2 == 0, F.create_map(F.lit("CD1_1"), F.lit("1e-3"), F.lit("CD1_2"), F.lit("1e-3"))).otherwise(F.create_map(F.lit("CROTA2"), F.lit("12.5"))))
-    ).otherwise(F.create_map(F.lit("OTHER"), F.lit("1")))
+    keys = lambda **own: F.create_map(*[x for k, v in own.items() for x in (F.lit(k), F.col("page_id").cast("string") if v is None else v.cast("string") if hasattr(v, "cast") else F.lit(str(v)))])
+    wcs = keys(NAXIS1=512, NAXIS2=256, CRPIX1=n % 500, CRPIX2=40, CRVAL1=n % 360, CRVAL2=n * 7 % 170 - 85)
+    turned = F.when(n % 2 == 0, keys(CD1_1="1e-3", CD1_2="1e-3", CD2_1="-1e-3", CD2_2="1e-3")).otherwise(keys(CDELT1="2e-3", CDELT2="2e-3", CROTA2="12.5"))
+    h = F.when(n % 3 == 0, keys(SYNTHIMG="T", TRUE_RA=n % 360, TRUE_DEC=n % 90, TRUE_ROL=5)).when(n % 3 == 1, F.map_concat(wcs, turned)).otherwise(keys(OTHER=1))
     out = spark.read.parquet(f"{d}/pages.parquet").select("page_id", accuracy.truth(h).alias("t"))
-    return out.select("page_id", "t.source", r6("t.roll").alias("roll"))
+    q = F.col("t.quaternion")
+    return out.select("page_id", "t.source", r6("t.ra", 5).alias("ra"), r6("t.dec", 5).alias("dec"), r6("t.roll").alias("roll"), r6(F.sqrt(sum((q[k] * q[k] for k in geometry.Q[1:]), q["q0"] * q["q0"]))).alias("length"))
 
 
-@query("f29_pixel_angles", t.with_sql(t.IMAGE_SQL, f"SELECT star, {s6('degrees(atan2(u - 32, 200.0))')} AS ax, {s6('degrees(atan2(v - 32, 200.0))')} AS ay FROM lamp"))
+@query("f29_pixel_angles", t.with_sql(t.IMAGE_SQL, f"SELECT star, {s6('degrees(atan2(u - 32, 200.0))')} AS ax, {s6('-degrees(atan2(v - 32, 200.0))')} AS ay FROM lamp"))
 def f29_angles(spark, d):
     ax, ay = camera.pixel_to_angles(Camera(200.0, 32.0, 32.0, 64, 64), F.col("u"), F.col("v"))
     return t.image_stars(spark, d).select("star", r6(ax).alias("ax"), r6(ay).alias("ay"))
@@ -566,11 +600,19 @@ def f31_cameras(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", r6(camera.focal_of_scale(s), 3).alias("focal_scale"), r6(camera.focal_of_field(s, F.lit(512), F.lit(512)), 3).alias("focal_field"), r6(camera.wcs_tolerance(s * 512, F.lit(512), F.lit(512))).alias("tolerance"))
 
 
-@query("f27_f28_k7_records")
+@query("f27_f28_k7_records", t.with_sql(t.SKY_SQL, "SELECT frame_id, round(ra, 3) + 0.0 AS ra, round(dec, 3) + 0.0 AS dec, count(*) AS n_stars_used, 'triangle' AS method, 3 AS axes, true AS reported FROM used JOIN frames USING (frame_id) GROUP BY ALL"))
 def f27_records(spark, d):
+    """Fields of the record's JSON to three digits (noiseless directions have the frame's attitude), and whether the report says the same."""
     out = solved(spark, d).withColumn("q", F.struct(*[F.col(k) for k in geometry.Q]))
     record = accuracy.attitude_record(F.col("q"), F.col("n_observations"), F.col("residual"), F.lit("triangle"), F.lit(None).cast("double"))
-    return out.withColumn("record", record).select("frame_id", F.to_json("record").alias("json"), accuracy.report(F.col("record")).alias("report"))
+    out = out.withColumn("record", record).select("frame_id", F.to_json("record").alias("json"), accuracy.report(F.col("record")).alias("report"))
+    field = lambda path: F.get_json_object("json", f"$.{path}")
+    head = F.regexp_extract_all("report", F.lit(r"(?:ra|dec)=(-?[0-9.]+)"), F.lit(1))
+    return out.select(
+        "frame_id", r6(field("boresight.ra_deg").cast("double"), 3).alias("ra"), r6(field("boresight.dec_deg").cast("double"), 3).alias("dec"), field("n_stars_used").cast("long").alias("n_stars_used"), field("method").alias("method"),
+        F.size(F.from_json(field("covariance"), "array<array<double>>")).alias("axes"),
+        ((F.abs(head[0].cast("double") - field("boresight.ra_deg").cast("double")) < 6e-5) & (F.abs(head[1].cast("double") - field("boresight.dec_deg").cast("double")) < 6e-5)).alias("reported"),
+    )
 
 
 @query("f36_log_tags", "SELECT conv_id, turn, CASE WHEN contains(text, '✓') OR contains(text, 'SUCCESS') THEN 'ok' WHEN contains(text, '✗') OR contains(text, 'Error') OR contains(text, 'FAILED') THEN 'err' WHEN starts_with(text, '─') OR starts_with(text, '=') THEN 'hdr' ELSE '' END AS tag FROM conversations")

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.functions.camera import focal_of_scale
+from astrolign.config import Camera
+from astrolign.functions.camera import focal_of_field, focal_of_scale, wcs_tolerance
 
 BLOCK = 2880
 _KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -83,25 +84,56 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(frames: DataFrame, key: str = "path") -> DataFrame:
-    """frame_id, row, col, value of each frame's data."""
-    out = pa.schema([("frame_id", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64())])
+    """frame_id (the key's values), row, col, value of each frame's data."""
+    kind = frames.schema[key].dataType.simpleString()
+    kind = kind if kind == "bigint" else "string"
+    out = pa.schema([("frame_id", pa.int64() if kind == "bigint" else pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, width, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 value = np.frombuffer(data, "<f8")
                 place = np.arange(len(value))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value)), pa.array((place // width).astype(np.int32)), pa.array((place % width).astype(np.int32)), pa.array(value)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), out.field(0).type), pa.array((place // width).astype(np.int32)), pa.array((place % width).astype(np.int32)), pa.array(value)], schema=out)
 
-    return frames.where("data IS NOT NULL").select(F.col(key).cast("string"), "width", "data").mapInArrow(run, "frame_id string, row int, col int, value double")
+    return frames.where("data IS NOT NULL").select(F.col(key).cast(kind), "width", "data").mapInArrow(run, f"frame_id {kind}, row int, col int, value double")
 
 
-def cameras(frames: DataFrame) -> DataFrame:
-    """frame_id, focal, cx, cy of each frame's header: of a synthetic one its own values, else by the plate scale; null without either."""
+def _scale(header: Column, first: str, second: str) -> Column:
+    return F.abs(F.coalesce(*[F.try_element_at(header, F.lit(k)).cast("double") for k in (first, second)]))
+
+
+def cameras(frames: DataFrame, key: str = "path", default: Camera = Camera()) -> DataFrame:
+    """frame_id, focal, cx, cy, width, height, k1, k2, tolerance of each frame: a synthetic image has the default camera or what its header says, one with a plate scale a camera of that scale without
+    distortion and a tolerance of two pixels, any other the default one. A null tolerance stands for the settings' own."""
+    h = lambda k: F.try_element_at("header", F.lit(k)).cast("double")
+    made = F.coalesce(F.upper(F.try_element_at("header", F.lit("SYNTHIMG"))).isin("T", "TRUE"), F.lit(False))
+    focal = focal_of_scale(_scale(F.col("header"), "CD1_1", "CDELT1"))
+    real = ~made & focal.isNotNull()
+    pick = lambda synthetic, wcs, other: F.when(made, F.coalesce(synthetic, F.lit(float(other)))).when(real, wcs).otherwise(F.lit(float(other)))
+    w, t = F.col("width").cast("double"), F.col("height").cast("double")
+    own = frames.where("data IS NOT NULL").select(
+        F.col(key).alias("frame_id"), pick(h("FOCAL_L"), focal, default.focal).alias("focal"), pick(h("CX"), w / 2, default.cx).alias("cx"), pick(h("CY"), t / 2, default.cy).alias("cy"), "width", "height",
+        F.when(real, 0.0).otherwise(default.k1).alias("k1"), F.when(real, 0.0).otherwise(default.k2).alias("k2"), real.alias("real"),
+    )
+    fov = 2 * F.degrees(F.atan2(F.col("width") / 2, F.col("focal")))
+    return own.withColumn("tolerance", F.when(F.col("real"), wcs_tolerance(fov, F.col("width"), F.col("height")))).drop("real")
+
+
+def viewer_cameras(frames: DataFrame, key: str = "path", default: Camera = Camera()) -> DataFrame:
+    """frame_id, focal, cx, cy, width, height, k1, k2, fov, least_angle, most_angle as a viewer takes them: the focal length by the whole field, the reference pixel as the centre, and pairs from two
+    pixels to 1.2 fields, 20 degrees at most. Without a plate scale the default camera, and null angles for the settings' own."""
     h = lambda k: F.try_element_at("header", F.lit(k)).cast("double")
-    made = F.upper(F.try_element_at("header", F.lit("SYNTHIMG"))) == "T"
-    scale = F.abs(F.coalesce(h("CD1_1"), h("CDELT1")))
-    return frames.select(F.col("path").alias("frame_id"), F.when(made, h("FOCAL_L")).otherwise(focal_of_scale(scale)).alias("focal"), F.when(made, h("CX")).otherwise(F.col("width") / 2).alias("cx"), F.when(made, h("CY")).otherwise(F.col("height") / 2).alias("cy"))
+    scale = _scale(F.col("header"), "CDELT1", "CD1_1")
+    w, t = F.col("width").cast("double"), F.col("height").cast("double")
+    focal, fov = focal_of_field(scale, w, t), scale * F.greatest(w, t)
+    real = F.coalesce(scale > 0, F.lit(False))
+    pick = lambda wcs, other: F.when(real, wcs).otherwise(F.lit(float(other)))
+    return frames.where("data IS NOT NULL").select(
+        F.col(key).alias("frame_id"), pick(focal, default.focal).alias("focal"), pick(F.coalesce(h("CRPIX1"), w / 2), default.cx).alias("cx"), pick(F.coalesce(h("CRPIX2"), t / 2), default.cy).alias("cy"),
+        "width", "height", pick(F.lit(0.0), default.k1).alias("k1"), pick(F.lit(0.0), default.k2).alias("k2"), pick(fov, default.fov).alias("fov"),
+        F.when(real, 2 * scale).alias("least_angle"), F.when(real, F.least(1.2 * fov, F.lit(20.0))).alias("most_angle"),
+    )
 
 
 def write(frames: DataFrame, folder: str) -> DataFrame:
@@ -110,7 +142,7 @@ def write(frames: DataFrame, folder: str) -> DataFrame:
     out = pa.schema([("name", pa.string()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        from pyarrow import fs  # the folder has a scheme that pyarrow knows, as folders of images do
 
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)

@@ -1,45 +1,59 @@
 """Sky data that the registered queries derive from the driver's tables, in Spark and in DuckDB SQL alike.
 
-customer: catalogue stars; nation: camera directions; events and supplier: 64 x 64 pixel images with noise and stars; embeddings: star embeddings."""
+orders: catalogue stars; customer: a tenth as many, for graphs of neighbourhoods; nation: camera directions whose stars are identified; supplier: camera directions that only look;
+events and supplier: 64 x 64 pixel images with noise and stars; embeddings: star embeddings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from astrolign.functions.geometry import pointing_matrix, rotate
 from astrolign.operators import image, voting
-from astrolign.operators.joins import vec
+from astrolign.operators.joins import LISTS, within_cone
 from astrolign.plans import pipelines
-from astrolign.sources.catalogue import CATALOGUE_SQL, FRAMES_SQL, frames_from_nations, from_customers
+from astrolign.sources import catalogue as sources
+from astrolign.sources.catalogue import CATALOGUE_SQL, FRAMES_SQL, MANY_FRAMES_SQL, PATCH_SQL
+from astrolign.sources.shared import kept
 
 SIDE = 64
 #: Degrees around a frame's direction within which its stars count as detected.
-FIELD = 20.0
+FIELD = 10.0
 
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return from_customers(spark, d)
+    return sources.from_orders(spark, d)
+
+
+def patch_stars(spark: SparkSession, d: str) -> DataFrame:
+    return sources.from_customers(spark, d)
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    return frames_from_nations(spark, d)
+    return sources.frames_from_nations(spark, d)
+
+
+def many_frames(spark: SparkSession, d: str) -> DataFrame:
+    return sources.frames_from_suppliers(spark, d)
 
 
 def sky_stars(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, star, star_index, x, y, z (body), mag, snr: the catalogue's stars around each frame's direction."""
-    from astrolign.functions.geometry import dot, pointing_matrix, radec_to_vector, rotate
-
-    f = frames(spark, d)
-    axis = radec_to_vector(F.col("ra"), F.col("dec"))
-    f = f.withColumns({f"a{k}": v for k, v in axis.items()} | {"m": pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll"))})
-    near = dot({k: F.col(f"a{k}") for k in "xyz"}, vec("c")) >= F.cos(F.radians(F.lit(FIELD)))
-    body = rotate(F.col("m"), vec("c"))
-    stars = f.join(catalogue(spark, d).alias("c"), near).select("frame_id", F.col("c.hip").alias("star"), *[v.alias(k) for k, v in body.items()], F.col("c.vmag").alias("mag"), (20 - F.col("c.vmag")).alias("snr"), F.col("c.hip").alias("label"))
-    return voting.ranked(stars)
+    turned = frames(spark, d).withColumn("m", pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll")))
+    near = within_cone(turned, catalogue(spark, d), FIELD)
+    body = rotate(F.col("m"), {k: F.col(k) for k in "xyz"})
+    return voting.ranked(near.select("frame_id", F.col("hip").alias("star"), *[v.alias(k) for k, v in body.items()], F.col("vmag").alias("mag"), (20 - F.col("vmag")).alias("snr"), F.col("hip").alias("label")))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.build_pairs(catalogue(spark, d))
+    """The pair table: written when the first query asks for it, read by all. The frames ask for so many angles that every bucket is read, so it is stored as it comes, without a shuffle."""
+    return sources.read_pairs(spark, kept(spark, "pairs", d, lambda path: sources.write_pairs(pipelines.build_pairs(catalogue(spark, d)), path, by_bucket=False)))
+
+
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's lists of angles, written when the first query asks for them."""
+    path = kept(spark, "lists", d, lambda path: pipelines.build_lists(catalogue(spark, d)).write.parquet(path))
+    return spark.read.schema(LISTS).parquet(path)
 
 
 def image_stars(spark: SparkSession, d: str) -> DataFrame:
@@ -70,18 +84,25 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
     return image.mask(p, image.noise(p), Detection(sigma=2.0))
 
 
-SKY_SQL = f"""{CATALOGUE_SQL},
-{FRAMES_SQL},
-axes AS (SELECT *, cos(radians(dec)) * cos(radians(ra)) AS zx, cos(radians(dec)) * sin(radians(ra)) AS zy, sin(radians(dec)) AS zz FROM frames),
+ROTATION_SQL = """axes AS (SELECT *, cos(radians(dec)) * cos(radians(ra)) AS zx, cos(radians(dec)) * sin(radians(ra)) AS zy, sin(radians(dec)) AS zz FROM frames),
 ups AS (SELECT *, CASE WHEN abs(zz) > 0.999 THEN 0.0 ELSE -zy END AS ux, CASE WHEN abs(zz) > 0.999 THEN -zz ELSE zx END AS uy, CASE WHEN abs(zz) > 0.999 THEN zy ELSE 0.0 END AS uz FROM axes),
 xs AS (SELECT *, ux / sqrt(ux*ux + uy*uy + uz*uz) AS xx, uy / sqrt(ux*ux + uy*uy + uz*uz) AS xy, uz / sqrt(ux*ux + uy*uy + uz*uz) AS xz FROM ups),
 ys AS (SELECT *, zy*xz - zz*xy AS yx, zz*xx - zx*xz AS yy, zx*xy - zy*xx AS yz, cos(radians(roll)) AS co, sin(radians(roll)) AS si FROM xs),
-rot AS (SELECT frame_id, ra, dec, roll, co*xx - si*yx AS r00, co*xy - si*yy AS r01, co*xz - si*yz AS r02, si*xx + co*yx AS r10, si*xy + co*yy AS r11, si*xz + co*yz AS r12, zx AS r20, zy AS r21, zz AS r22 FROM ys),
+rot AS (SELECT frame_id, ra, dec, roll, co*xx - si*yx AS r00, co*xy - si*yy AS r01, co*xz - si*yz AS r02, si*xx + co*yx AS r10, si*xy + co*yy AS r11, si*xz + co*yz AS r12, zx AS r20, zy AS r21, zz AS r22 FROM ys)"""
+
+SEEN_SQL = f"""{CATALOGUE_SQL},
+{FRAMES_SQL},
+{ROTATION_SQL},
 seen AS (SELECT f.frame_id, c.hip AS star, r00*x + r01*y + r02*z AS bx, r10*x + r11*y + r12*z AS by_, r20*x + r21*y + r22*z AS bz, c.vmag AS mag, 20 - c.vmag AS snr
-    FROM rot f JOIN cat c ON r20*x + r21*y + r22*z >= cos(radians({FIELD}))),
-stars AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY mag, star) - 1 AS star_index, count(*) OVER (PARTITION BY frame_id) AS n FROM seen),
+    FROM rot f JOIN cat c ON r20*x + r21*y + r22*z >= cos(radians({FIELD})))"""
+
+STARS_SQL = """stars AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY mag, star) - 1 AS star_index, count(*) OVER (PARTITION BY frame_id) AS n FROM seen),
 used AS (SELECT * FROM stars WHERE n >= 4 AND star_index < 15)"""
 
+SKY_SQL = f"{SEEN_SQL},\n{STARS_SQL}"
+
+MANY_SQL = f"{CATALOGUE_SQL},\n{MANY_FRAMES_SQL},\n{ROTATION_SQL}"
+
 PAIRS_SQL = """pair AS (SELECT a, b, degrees(acos(greatest(-1.0, least(1.0, d)))) AS ang FROM (SELECT s.hip AS a, t.hip AS b, s.x*t.x + s.y*t.y + s.z*t.z AS d FROM cat s JOIN cat t ON s.hip < t.hip)
     WHERE d BETWEEN cos(radians(20.0)) AND cos(radians(0.1)))"""
 
@@ -93,7 +114,8 @@ def angle_sql(a: str, b: str, names: tuple[str, str, str] = ("bx", "by_", "bz"))
 
 
 VOTES_SQL = f"""obs AS (SELECT s.frame_id, s.star_index AS i, t.star_index AS j, {angle_sql("s", "t")} AS obs FROM used s JOIN used t ON s.frame_id = t.frame_id AND s.star_index < t.star_index),
-hit AS (SELECT frame_id, i, j, a, b FROM obs JOIN pair ON abs(obs - ang) <= 0.01),
+probe AS (SELECT *, unnest(range(floor(obs / 0.01)::BIGINT - 1, floor(obs / 0.01)::BIGINT + 2)) AS bucket FROM obs),
+hit AS (SELECT frame_id, i, j, a, b, obs - ang AS off FROM probe JOIN (SELECT *, floor(ang / 0.01)::BIGINT AS bucket FROM pair) USING (bucket) WHERE abs(obs - ang) <= 0.01),
 spoken AS (SELECT frame_id, i AS star_index, a AS hip FROM hit UNION ALL SELECT frame_id, j, b FROM hit UNION ALL SELECT frame_id, i, b FROM hit UNION ALL SELECT frame_id, j, a FROM hit),
 counted AS (SELECT frame_id, star_index, hip, count(*) AS votes FROM spoken GROUP BY ALL),
 led AS (SELECT *, row_number() OVER w AS rn, lead(votes) OVER w AS second FROM counted WINDOW w AS (PARTITION BY frame_id, star_index ORDER BY votes DESC, hip)),

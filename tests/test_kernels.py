@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from astrolign.config import Camera
-from astrolign.functions import camera, geometry
-from astrolign.operators import attitude, graph, image, joins, reports
+from astrolign.functions import accuracy, camera, geometry
+from astrolign.operators import attitude, graph, image, joins, reports, voting
 from astrolign.plans import pipelines
 from astrolign.sources import catalogue, fits
 from astrolign.streaming import frames
@@ -120,3 +120,153 @@ def test_stream_of_files(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def sky(spark, n=400, seed=6):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, float(np.degrees(np.arctan2(y, x)) % 360), float(np.degrees(np.arcsin(z))), float(rng.uniform(1, 6))) for i, (x, y, z) in enumerate(v)]
+    return catalogue.with_vectors(spark.createDataFrame(rows, "hip long, ra_deg double, dec_deg double, vmag double"))
+
+
+def test_votes_from_lists_are_those_of_hits(spark):
+    stars = sky(spark).cache()
+    observed = spark.createDataFrame([(f, i, j, 0.5 + 0.031 * (7 * f + 3 * i + j), 0.01 + 0.3 * (f % 2)) for f in range(5) for i in range(6) for j in range(i + 1, 6)], "frame_id long, i int, j int, obs double, tolerance double")
+    pairs = pipelines.build_pairs(stars).cache()
+    exact = observed.union(pairs.orderBy("a", "b").limit(30).selectExpr("9L", "0", "1", "ang + 0.01", "0.01D"))  # on the edge of the tolerance
+    for own in (exact, exact.drop("tolerance")):
+        want = sorted(map(tuple, voting.votes(voting.hits(own, pairs)).collect()))
+        for lists in (pipelines.build_lists(stars), joins.angle_lists(stars, 0.1, 20.0, block=7, salt=3)):
+            assert sorted(map(tuple, voting.star_votes(own, lists).collect())) == want
+        lists = pipelines.build_lists(stars)
+        for options in ({}, {"chunk": 2}, {"few": 0, "chunk": 1}):
+            some = voting.star_votes(own, lists, most=2, **options)
+            assert sorted(map(tuple, voting.candidates(some).collect())) == sorted(map(tuple, voting.candidates(voting.votes(voting.hits(own, pairs))).collect()))
+
+
+def test_counts_at_the_edges_of_tolerances():
+    rng = np.random.default_rng(5)
+    angles = np.sort(np.round(rng.uniform(0, 3, 500), 2))
+    at, tolerance = np.round(rng.uniform(-1, 4, 2000), 2), np.full(2000, 0.01)
+    assert (voting.within(angles, at, tolerance) == [(np.abs(x - angles) <= 0.01).sum() for x in at]).all()
+
+
+def test_salted_pairs_are_all_pairs(spark):
+    stars = sky(spark, 300)
+    one, more = (sorted((r.a, r.b) for r in joins.within_angle(stars, 0.1, 20.0, salt=k).collect()) for k in (1, 5))
+    rows = stars.collect()
+    low, high = np.cos(np.radians(20.0)), np.cos(np.radians(0.1))
+    assert one == more == sorted((s.hip, t.hip) for s in rows for t in rows if s.hip < t.hip and low <= s.x * t.x + s.y * t.y + s.z * t.z <= high)
+
+
+def test_no_nested_loops_in_joins_by_angle(spark):
+    stars, frames = sky(spark), spark.createDataFrame([(1, 10.0, 20.0, 5.0), (2, 100.0, -89.9, 0.0)], "frame_id long, ra double, dec double, roll double")
+    for df in (pipelines.visible(frames, stars), joins.cone_search(frames, stars, 12.0), pipelines.projected(frames, stars), joins.within_angle(stars, None, 15.0), graph.knn_edges(graph.patches(stars, graph.neighbourhoods(stars)))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rows, axis = stars.collect(), {r.frame_id: r for r in frames.collect()}
+    found = {(r.frame_id, r.hip) for r in joins.cone_search(frames, stars, 12.0).collect()}
+    at = {k: (np.cos(np.radians(r.dec)) * np.cos(np.radians(r.ra)), np.cos(np.radians(r.dec)) * np.sin(np.radians(r.ra)), np.sin(np.radians(r.dec))) for k, r in axis.items()}
+    assert found == {(k, s.hip) for k, (x, y, z) in at.items() for s in rows if np.degrees(np.arccos(x * s.x + y * s.y + z * s.z)) <= 12}
+
+
+def test_field_radius_holds_the_sensor():
+    for c in (Camera(), Camera(600.0, 64.0, 64.0, 128, 128, 0.0, 0.0), Camera(300.0, 10.0, 500.0, 640, 480, 1e-7, 0.0)):
+        u, v = np.meshgrid(np.linspace(0, c.width, 30), np.linspace(0, c.height, 30))
+        x, y = u - c.cx, v - c.cy
+        a, b = x.copy(), y.copy()
+        for _ in range(50):
+            r2 = a * a + b * b
+            f = 1 + c.k1 * r2 + c.k2 * r2 * r2
+            a, b = x / f, y / f
+        assert np.degrees(np.arctan(np.hypot(a, b).max() / c.focal)) < camera.field_radius(c) <= 90
+
+
+def test_patch_kernels_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    px, py, mag = rng.integers(0, 9, 40).astype(float), rng.integers(0, 9, 40).astype(float), rng.uniform(1, 5, 40)
+    d = np.sqrt((px[:, None] - px) ** 2 + (py[:, None] - py) ** 2)
+    src, dst = graph.edges_of(px, py)
+    near = [sorted((d[i, j], j) for j in range(40) if j != i) for i in range(40)]
+    assert list(zip(src.tolist(), dst.tolist(), strict=True)) == [(i, j) for i in range(40) for _, j in near[i][:6]]
+    want = np.array([[(mag[i] - mag.min()) / 3, *[x / 15 for x, _ in near[i][:5]]] for i in range(40)])
+    assert np.allclose(graph.features_of(px, py, mag), want)
+    assert graph.features_of(px[:3], py[:3], mag[:3])[:, 3:].min() == 1 and len(graph.edges_of(px[:1], py[:1])[0]) == 0
+
+
+def test_second_identification_takes_over(spark, tmp_path):
+    """Frames whose pairs are off fail pair voting; the graph network names their stars if its index holds them."""
+    w = graph.weights(3)
+    graph.save_weights(w, f"{tmp_path}/w.npz")
+    back = graph.load_weights(spark, f"{tmp_path}/w.npz")
+    assert all((back[k] == w[k]).all() for k in w)
+    stars = sky(spark, 900).cache()
+    frames = spark.createDataFrame([(1, 83.0, -1.0, 20.0), (2, 200.0, 40.0, 0.0)], "frame_id long, ra double, dec double, roll double")
+    seen = pipelines.visible(frames, stars).withColumn("label", F.col("star")).withColumn("snr", F.lit(9.0))
+    ranked = voting.ranked(seen).withColumn("x", F.when(F.col("frame_id") == 2, F.col("x") * 1.05).otherwise(F.col("x")))
+    # The index holds what the network makes of the frames' own stars, so that each one's nearest embedding is its own.
+    index = graph.star_embeddings(ranked, w).join(ranked.select("frame_id", "star_index", "star"), ["frame_id", "star_index"]).select(F.col("star").alias("hip"), F.col("q").alias("embedding"))
+    index.write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    first = voting.identify(ranked, stars, pipelines.build_lists(stars))
+    found = pipelines.matched(ranked, stars, pipelines.build_lists(stars), index=index, weights=back).collect()
+    assert {(r.frame_id, r.method) for r in found} >= {(1, "triangle")}
+    forced = pipelines.matched(ranked.where("frame_id = 1"), stars, pipelines.build_lists(stars), index=index, weights=back, force_gnn=True).collect()
+    truth = {(r.frame_id, r.star_index): r.star for r in ranked.collect()}
+    assert forced and all(r.method == "gnn" and truth[r.frame_id, r.star_index] == r.hip for r in forced)
+    assert first.count() and all(r.confidence > 0 for r in forced)
+
+
+def test_isolated_stars_have_zero_vectors(spark):
+    stars = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 2.0), (1, 1, 0.5, 0.0, 0.9, 3.0), (2, 0, 0.0, 0.0, 1.0, 1.0), (2, 1, 0.01, 0.0, 1.0, 1.0), (2, 2, 0.0, 0.01, 1.0, 2.0), (2, 3, 0.01, 0.01, 1.0, 2.0)], "frame_id long, star_index int, x double, y double, z double, mag double")
+    rows = graph.star_embeddings(stars, graph.weights()).collect()
+    assert {(r.frame_id, any(r.q)) for r in rows} == {(1, False), (2, True)} and len(rows) == 6
+
+
+def test_image_centre_of_a_gnomonic_header(spark):
+    """Against a projection of the centre back to the plane."""
+    rows = [{"NAXIS1": "512", "NAXIS2": "256", "CRPIX1": "10", "CRPIX2": "400.5", "CRVAL1": "359.9", "CRVAL2": "-62", "CD1_1": "-2e-3", "CD1_2": "5e-4", "CD2_1": "4e-4", "CD2_2": "2e-3"}, {"NAXIS1": "100", "NAXIS2": "100", "CRPIX1": "51", "CRPIX2": "51", "CRVAL1": "12", "CRVAL2": "80"}, {"CRVAL1": "7"}, {}]
+    frame = spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "i int, header map<string,string>").select("i", accuracy.truth(F.col("header")).alias("t"))
+    got = {r.i: r.t for r in frame.collect()}
+    assert got[2] is None and got[3] is None and np.allclose((got[1].ra, got[1].dec), (12, 80))
+    ra, dec = np.radians(got[0].ra - 359.9), np.radians(got[0].dec)
+    d0 = np.radians(-62)
+    c = np.sin(d0) * np.sin(dec) + np.cos(d0) * np.cos(dec) * np.cos(ra)
+    plane = np.degrees([np.cos(dec) * np.sin(ra) / c, (np.cos(d0) * np.sin(dec) - np.sin(d0) * np.cos(dec) * np.cos(ra)) / c])
+    assert np.allclose(plane, np.array([[-2e-3, 5e-4], [4e-4, 2e-3]]) @ [257 - 10, 129 - 400.5], atol=1e-9)
+
+
+def test_cameras_of_headers(spark):
+    rows = [("a", 512, 256, b"x", {"CD1_1": "-0.002", "CRPIX1": "200", "CRPIX2": "100"}), ("b", 64, 64, b"x", {"SYNTHIMG": "T", "FOCAL_L": "300", "CX": "30"}), ("c", 10, 10, b"x", {}), ("d", 10, 10, None, {})]
+    frame = spark.createDataFrame(rows, "path string, width int, height int, data binary, header map<string,string>")
+    own = {r.frame_id: r for r in fits.cameras(frame).collect()}
+    f = 1 / np.tan(np.radians(0.002))
+    assert set(own) == {"a", "b", "c"} and np.isclose(own["a"].focal, f) and (own["a"].cx, own["a"].cy, own["a"].k1) == (256, 128, 0)
+    assert np.isclose(own["a"].tolerance, max(2 * 2 * np.degrees(np.arctan(256 / f)) / 512, 0.003)) and own["b"].tolerance is None
+    assert (own["b"].focal, own["b"].cx, own["b"].cy) == (300, 30, Camera().cy) and own["c"].focal == Camera().focal
+    seen = {r.frame_id: r for r in fits.viewer_cameras(frame).collect()}
+    assert np.isclose(seen["a"].focal, 256 / np.tan(np.radians(0.002 * 512 / 2))) and (seen["a"].cx, seen["a"].cy) == (200, 100)
+    assert np.isclose(seen["a"].most_angle, 1.2 * 1.024) and np.isclose(seen["a"].least_angle, 0.004) and seen["c"].most_angle is None
+
+
+def test_from_files_to_attitudes(spark, tmp_path):
+    """Images of two sizes and headers, written as files: one with the truth in its header, one that can't be read, one without stars."""
+    rng = np.random.default_rng(4)
+    cam = Camera(focal=600.0, cx=64.0, cy=64.0, width=128, height=128)
+    stars = spark.createDataFrame([(i, float(83 + rng.uniform(-5, 5)), float(-1 + rng.uniform(-5, 5)), float(rng.uniform(1, 3))) for i in range(14)], "hip long, ra_deg double, dec_deg double, vmag double")
+    cat = catalogue.with_vectors(stars).cache()
+    frame = spark.createDataFrame([(0, 83.0, -1.0, 20.0)], "frame_id long, ra double, dec double, roll double")
+    seen = pipelines.visible(frame, cat, cam).withColumn("flux", F.pow(F.lit(10.0), 5 - 0.4 * F.col("mag")))
+    picture = np.zeros((128, 128))
+    for r in image.rendered(seen, 128, 128).collect():
+        picture[r.row, r.col] = r.value
+    header = {"SYNTHIMG": True, "FOCAL_L": 600.0, "CX": 64.0, "CY": 64.0, "TRUE_RA": 83.0, "TRUE_DEC": -1.0, "TRUE_ROL": 20.0}
+    (tmp_path / "b.fits").write_bytes(fits.encode(picture, header))
+    (tmp_path / "a.fits").write_bytes(b"nothing")
+    (tmp_path / "c.fits").write_bytes(fits.encode(np.zeros((64, 96)), {"CD1_1": -0.01, "CRVAL1": 10.0, "CRVAL2": 5.0, "CRPIX1": 48.0, "CRPIX2": 32.0}))
+    rows = {r.filename: r for r in pipelines.solve_files(spark, str(tmp_path), cat, pipelines.build_lists(cat)).collect()}
+    assert sorted(rows) == ["a.fits", "b.fits", "c.fits"] and [rows[k].success for k in sorted(rows)] == [False, True, False]
+    good = rows["b.fits"]
+    assert good.n_matched >= 3 and good.angular_error_arcsec < 60 and good.method == "triangle" and rows["a.fits"].n_detected == 0
