@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from astrolign import tables as t
@@ -12,8 +12,8 @@ from astrolign.config import Camera, Detection, Photometry
 from astrolign.functions import accuracy, camera, geometry, photometry
 from astrolign.operators import attitude, graph, image, joins, reports, voting
 from astrolign.plans import pipelines
-from astrolign.sources import catalogue
-from astrolign.sources.shared import staged
+from astrolign.sources import catalogue, fits
+from astrolign.sources.shared import kept, new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -277,11 +277,18 @@ def solved(spark, d):
     return attitude.solve(true_observations(spark, d))
 
 
-# Noiseless directions have one attitude: that of the frame.
-@query("k4_k5_k6_attitude", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('r00', 5)} AS r00, {s6('r01', 5)} AS r01, {s6('r12', 5)} AS r12, {s6('r22', 5)} AS r22, count(*) AS n FROM used JOIN rot USING (frame_id) GROUP BY ALL"))
+# Noiseless directions have one attitude, that of the frame. In frames of ten stars or more two of them have each other's direction, which the consensus has to leave out.
+_MANY = "(SELECT *, count(*) OVER (PARTITION BY frame_id) AS used FROM used)"
+
+
+@query("k4_k5_k6_attitude", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('r00', 5)} AS r00, {s6('r01', 5)} AS r01, {s6('r12', 5)} AS r12, {s6('r22', 5)} AS r22, count(*) AS n, CASE WHEN count(*) >= 10 THEN count(*) - 2 ELSE count(*) END AS kept FROM {_MANY} JOIN rot USING (frame_id) GROUP BY ALL"))
 def k5_attitude(spark, d):
-    out = solved(spark, d).withColumn("m", geometry.rotation(F.struct(*geometry.Q)))
-    return out.select("frame_id", *[r6(f"m.{k}", 5).alias(k) for k in ("r00", "r01", "r12", "r22")], F.col("n_total").cast("long").alias("n"))
+    o = true_observations(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("frame_id")))
+    swapped = F.when((F.col("n") >= 10) & F.col("star_index").isin(3, 7), 10 - F.col("star_index")).otherwise(F.col("star_index"))
+    body = o.select("frame_id", swapped.alias("star_index"), "bx", "by", "bz")
+    mixed = o.drop("bx", "by", "bz").join(body, ["frame_id", "star_index"])
+    out = attitude.solve(mixed.select("frame_id", "star_index", *attitude.OBSERVED)).withColumn("m", geometry.rotation(F.struct(*geometry.Q)))
+    return out.select("frame_id", *[r6(f"m.{k}", 5).alias(k) for k in ("r00", "r01", "r12", "r22")], F.col("n_total").cast("long").alias("n"), F.col("n_observations").cast("long").alias("kept"))
 
 
 @query("f22_a11_residuals", t.with_sql(t.SKY_SQL, _TRUE, f"SELECT frame_id, {s6('sqrt(avg(e * e))', 4)} AS rms_arcsec, {s6('sum(pow(e / 3600 / 57.2958, 2))')} AS total FROM (SELECT frame_id, degrees(acos(greatest(-1.0, least(1.0, bx*x + by_*y + bz*z)))) * 3600 AS e FROM obsd) GROUP BY frame_id"))
@@ -322,6 +329,15 @@ def u3_fallback(spark, d):
     return out.withColumn("star_index", F.col("star_index").cast("long"))
 
 
+@query("u3_m6_fallback")
+def u3_m6(spark, d):
+    """The whole chain: pair voting, and for frames that it fails the graph network's embeddings against the stored ones of the catalogue."""
+    w, stars, cat = graph.weights(), voting.selected(t.sky_stars(spark, d)), t.catalogue(spark, d)
+    path = kept(spark, "embeddings", d, lambda path: graph.catalogue_embeddings(cat, w).write.parquet(path))
+    index = spark.read.schema("hip long, embedding array<float>").parquet(path)
+    return pipelines.matched(stars, cat, t.lists(spark, d), index=index, weights=w).withColumn("star_index", F.col("star_index").cast("long"))
+
+
 @query("w8_five_brightest", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('vmag')} AS vmag FROM cat ORDER BY cat_idx LIMIT 5"))
 def w8_brightest(spark, d):
     return t.catalogue(spark, d).orderBy("vmag", "hip").limit(5).select("hip", r6("vmag").alias("vmag"))
@@ -487,6 +503,41 @@ def occlusion_sweep(spark, d):
     return rounded(out, "triangle_error_arcsec", n=1)
 
 
+# --- Files ---------------------------------------------------------------------------------------------------------------------------------------
+
+@query("s1_s10_image_files", t.with_sql(t.IMAGE_SQL, f'SELECT frame_id, p // 64 AS "row", p % 64 AS col, {s6("greatest(coalesce(value, 0), 0)")} AS value FROM (SELECT DISTINCT frame_id FROM px) CROSS JOIN (SELECT unnest(range(4096)) AS p) LEFT JOIN px ON px.frame_id = frame_id_ AND r = p // 64 AND c = p % 64'.replace("SELECT DISTINCT frame_id FROM px", "SELECT DISTINCT frame_id AS frame_id_ FROM px").replace("SELECT frame_id, p", "SELECT frame_id_ AS frame_id, p")))
+def s1_files(spark, d):
+    """Images written as files and read again: what has no pixel is 0, and so is what lies below."""
+    folder = new_path(spark, "images")
+    place = (F.col("row") * t.SIDE + F.col("col")).cast("int")
+    rows = t.pixels(spark, d).groupBy(F.format_string("%06d", "frame_id").alias("name")).agg(F.collect_list(F.struct(place.alias("at"), "value")).alias("own"))
+    frames = fits.from_places(rows.select("name", "own", F.lit(t.SIDE).alias("width"), F.lit(t.SIDE).alias("height"), F.create_map(F.lit("NOTE"), F.lit("made")).alias("header")))
+    fits.write(frames, folder).write.format("noop").mode("overwrite").save()
+    read = fits.names(fits.read(spark, folder)).withColumn("frame_id", F.regexp_extract("filename", "([0-9]+)", 1).cast("long"))
+    return rounded(fits.pixels(read, "frame_id"), "value")
+
+
+_REPORT = """SELECT printf('%08d_%d', l_orderkey, l_linenumber) AS filename, l_quantity::INT AS n_detected, l_linenumber AS n_matched, CASE WHEN l_linestatus = 'F' THEN 'triangle' ELSE 'triangle_failed' END AS method,
+    l_linestatus = 'F' AS success, CASE WHEN l_linestatus = 'F' THEN l_extendedprice / 500 END AS angular_error_arcsec, CASE WHEN l_linestatus = 'F' THEN l_discount * 10 END AS ra_error_arcsec, CASE WHEN l_linestatus = 'F' THEN l_tax * 10 END AS dec_error_arcsec,
+    CASE WHEN l_linestatus = 'F' THEN l_quantity / 7 END AS residual_arcsec FROM lineitem"""
+
+
+@query("s11_validation_csv", "SELECT filename, n_detected, n_matched, method, success, " + ", ".join(f"{s6(f'coalesce({c}, -1)')} AS {c}" for c in ("angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec")) + f" FROM ({_REPORT})")
+def s11_csv(spark, d):
+    """A report written as CSV and read again; NaN, for what is missing, shown as -1."""
+    done = F.col("l_linestatus") == "F"
+    number = lambda c, name: F.when(done, c).alias(name)
+    out = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.format_string("%08d_%d", "l_orderkey", "l_linenumber").alias("filename"), F.col("l_quantity").cast("int").alias("n_detected"), F.col("l_linenumber").cast("int").alias("n_matched"), F.when(done, "triangle").otherwise("triangle_failed").alias("method"), done.alias("success"),
+        number(F.col("l_extendedprice") / 500, "angular_error_arcsec"), number(F.col("l_discount") * 10, "ra_error_arcsec"), number(F.col("l_tax") * 10, "dec_error_arcsec"), number(F.col("l_quantity") / 7, "residual_arcsec"),
+    )
+    path = new_path(spark, "report")
+    reports.write_csv(out, reports.VALIDATION, path)
+    types = ["string", "int", "int", "string", "boolean", *["double"] * 4]
+    back = spark.read.schema(", ".join(f"{c} {k}" for c, k in zip(reports.VALIDATION, types, strict=True))).csv(path, header=True)
+    return rounded(back.na.fill(-1.0, reports.VALIDATION[5:]), *reports.VALIDATION[5:])
+
+
 # --- Functions -----------------------------------------------------------------------------------------------------------------------------------
 
 @query("f1_f2_radec", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('(degrees(atan2(y, x)) + 360) % 360', 5)} AS ra, {s6('degrees(asin(greatest(-1.0, least(1.0, z))))', 5)} AS dec FROM cat"))

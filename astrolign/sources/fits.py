@@ -156,6 +156,23 @@ def write(frames: DataFrame, folder: str) -> DataFrame:
     return frames.select("name", "width", "data", "header").mapInArrow(run, "name string, bytes long")
 
 
+def from_places(frames: DataFrame) -> DataFrame:
+    """name, width, data, header of frames (name, width, height, own: array of struct at, value; header): pixels that `own` lacks are 0. A frame is a row: a sensor bounds it."""
+    out = pa.schema([("name", pa.string()), ("width", pa.int32()), ("data", pa.binary()), ("header", pa.map_(pa.string(), pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                name, width, height, header = (batch.column(c)[k].as_py() for c in (0, 1, 2, 4))
+                image, own = np.zeros(width * height), batch.column(3)[k].values
+                image[own.field("at").to_numpy()] = own.field("value").to_numpy(zero_copy_only=False)
+                rows.append((name, width, image.astype("<f8").tobytes(), header))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    return frames.select("name", F.col("width").cast("int"), F.col("height").cast("int"), "own", "header").mapInArrow(run, "name string, width int, data binary, header map<string,string>")
+
+
 def names(listed: DataFrame, path: str = "path") -> DataFrame:
     """filename: what follows the last slash."""
     return listed.withColumn("filename", F.element_at(F.split(path, "/"), -1))
