@@ -21,10 +21,10 @@ def _cells(v: dict[str, Column], side: float) -> list[Column]:
     return [F.floor((v[k] + 1) / side).cast("int").alias(f"c{k}") for k in "xyz"]
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
-    """A row for the row's own cube cell (cx, cy, cz) and each of its 26 neighbours."""
+def _neighbours(df: DataFrame, reach: int = 1) -> DataFrame:
+    """A row for the row's own cube cell (cx, cy, cz) and each cell at most `reach` away on each axis."""
     for k in "xyz":
-        df = df.withColumn("shift", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("shift")).drop("shift")
+        df = df.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("shift")).drop("shift")
     return df
 
 
@@ -52,21 +52,21 @@ def within_angle(stars: DataFrame, least: float | None, most: float, salt: int |
     return kept.select("a", "b", F.degrees(F.acos(F.greatest(F.least("d", F.lit(1.0)), F.lit(-1.0)))).alias("ang"))
 
 
-LISTS = "hips array<long>, sizes array<int>, angles array<double>"
+LISTS = "hips array<long>, sizes array<int>, angles binary"
 
 
-def angle_lists(stars: DataFrame, least: float | None, most: float, block: int = 256, salt: int | None = None) -> DataFrame:
-    """hips, sizes, angles: blocks of stars (hip, x, y, z) with the angles from each to all others within the bounds, sorted, one star's behind the other's. Stars without any are left out.
-    Cells and shares are those of within_angle(); a group is a share of a cell against a share of the cell's surroundings, so that a star has a list for each of the latter shares. Counts over lists add up."""
+def angle_lists(stars: DataFrame, least: float | None, most: float, block: int = 16, salt: int | None = None, fine: int = 2) -> DataFrame:
+    """hips, sizes, angles: blocks of stars (hip, x, y, z) with the angles from each to all others within the bounds, sorted, one star's behind the other's, as little-endian doubles.
+    Cells are those of within_angle(), each cut into `fine` along each axis, so that what one group makes stays small; a group is a share of a cell against a share of the cell's surroundings."""
     salt = salt or max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
-    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most)))
+    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most) / fine))
     share, all_shares = F.pmod(F.xxhash64("hip"), F.lit(salt)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     own = base.withColumn("sa", share).withColumn("sb", all_shares)
     keys = ["cx", "cy", "cz", "sa", "sb"]
-    near = _neighbours(base).withColumn("sb", share).withColumn("sa", all_shares)
+    near = _neighbours(base, fine).withColumn("sb", share).withColumn("sa", all_shares)
     near = near.select(*[F.col(k).alias(f"{k}_") for k in keys], *[F.col(k).alias(f"{k}_") for k in ("hip", "x", "y", "z")])
     low, high = math.cos(math.radians(most)), math.cos(math.radians(least)) if least is not None else math.inf
-    out = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.list_(pa.float64()))])
+    out = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.binary())])
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:  # a side without rows comes without columns
@@ -80,7 +80,7 @@ def angle_lists(stars: DataFrame, least: float | None, most: float, block: int =
                 d = d[(d >= low) & (d <= high) & (others != hip)]
                 sizes.append(len(d))
                 angles.append(np.sort(np.degrees(np.arccos(np.clip(d, -1, 1)))))
-            rows.append((some, np.array(sizes, np.int32), np.concatenate(angles)))
+            rows.append((some, np.array(sizes, np.int32), np.concatenate(angles).astype("<f8").tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
     found = own.groupBy(*keys).cogroup(near.groupBy(*[f"{k}_" for k in keys])).applyInArrow(one, LISTS)
@@ -89,19 +89,25 @@ def angle_lists(stars: DataFrame, least: float | None, most: float, block: int =
 
 def _once(lists: DataFrame, block: int) -> DataFrame:
     """Lists of stars that have several, joined to one for each star."""
-    out = pa.schema([("hip", pa.int64()), ("own", pa.list_(pa.float64()))])
+    out = pa.schema([("hip", pa.int64()), ("own", pa.binary())])
+    blocks = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hips, sizes, angles = (batch.column(c)[row].values for c in range(3))
-                offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([hips, pa.ListArray.from_arrays(pa.array(offsets), angles)], schema=out)
-
-    each = lists.mapInArrow(split, "hip long, own array<double>").groupBy("hip").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"))
-    n = max(1, -(-lists.select(F.explode("hips").alias("hip")).distinct().count() // block))
-    packed = each.groupBy(F.pmod(F.xxhash64("hip"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("hip", "own")).alias("x"))
-    return packed.select(F.col("x.hip").alias("hips"), F.transform("x.own", lambda a: F.size(a)).alias("sizes"), F.flatten("x.own").alias("angles"))
+                hips, sizes, angles = (batch.column(c)[row] for c in range(3))
+                ends = np.cumsum(sizes.values.to_numpy()) * 8
+                data = angles.as_py()
+                yield pa.RecordBatch.from_arrays([hips.values, pa.array([data[b - 8 * n : b] for b, n in zip(ends.tolist(), sizes.as_py(), strict=True)], pa.binary())], schema=out)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                hips, parts = (c.to_pylist() for c in batch.slice(at, block).columns)
+                own = [np.sort(np.frombuffer(b"".join(x), "<f8")) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([hips], blocks.field(0).type), pa.array([[len(x) for x in own]], blocks.field(1).type), pa.array([np.concatenate(own).tobytes()], pa.binary())], schema=blocks)
+
+    return lists.mapInArrow(split, "hip long, own binary").groupBy("hip").agg(F.collect_list("own").alias("own")).mapInArrow(join, LISTS)
 
 
 def within_cone(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFrame:

@@ -52,7 +52,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue's lists of angles, written when the first query asks for them."""
-    path = kept(spark, "lists", d, lambda path: pipelines.build_lists(catalogue(spark, d)).write.parquet(path))
+    path = kept(spark, "lists", d, lambda path: pipelines.write_lists(pipelines.build_lists(catalogue(spark, d)), path))
     return spark.read.schema(LISTS).parquet(path)
 
 
