@@ -182,9 +182,15 @@ def repeated_runs(rows: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray,
 
 def repeats(docs: DataFrame, size: int = 13, mer: int = 3, buckets: int | None = None) -> DataFrame:
     """doc_id, start, end: runs of words (end exclusive) that windows of documents with smaller ids cover. Runs of a document can overlap.
-    buckets: as many that one bucket's windows fit a task's memory; 8 for each shuffle partition unless given."""
-    n = partitions(docs.sparkSession)
-    dealt = blobs(id_and_text(docs), size, mer, buckets or 8 * n).repartition(n, "bucket").sortWithinPartitions("bucket")
+    buckets: as many that one bucket's windows fit a task's memory; 8 for each shuffle partition unless given. They go to two tasks for each shuffle partition, to each as many."""
+    spark = docs.sparkSession
+    n = 2 * partitions(spark)
+    # Spark deals rows out by a hash of the key: for each task a key that goes there.
+    numbers = spark.range(0, 40 * n, 1, 1).select(F.col("id").cast("int").alias("key"))
+    keys = {r.task: r.key for r in numbers.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("task")).agg(F.min("key").alias("key")).collect()}
+    keys = F.array(*[F.lit(keys.get(k, -k)) for k in range(n)])
+    made = blobs(id_and_text(docs), size, mer, buckets or 4 * n).withColumn("key", F.get(keys, F.pmod("bucket", F.lit(n))))
+    dealt = made.repartition(n, "key").sortWithinPartitions("bucket").drop("key")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
