@@ -125,7 +125,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked_in_blocks(members: DataFrame, n: int, percent: int, block: int = 1024) -> DataFrame:
+def linked_in_blocks(members: DataFrame, n: int, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) between rows (key, n: rows of the key, rep, root, words) of one key and different roots. A key's rows are dealt into blocks of about `block`, and each
     pair of blocks is one group, where one row after the other is held against all others; only links come out."""
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
