@@ -65,3 +65,13 @@ def test_default_weights_refuse_no_rate_and_equal_sql_while_it_inverts(spark):
     one = spark.createDataFrame([(i, "t", "en", "rare" if i == 7 else "large", 1) for i in range(50_000)], SCHEMA)
     n = mixing.mix(one, power=0.0).where("source = 'rare'").agg(F.count("*"), F.countDistinct("replica")).first()
     assert n[0] == n[1] and abs(n[0] - 25_000) < 6 * math.sqrt(25_000)
+
+
+def test_null_and_repeated_ids_null_and_long_texts(spark):
+    """A null doc_id draws as an empty one does, rows that repeat an id draw alike, and texts play no part."""
+    data = [(None, None, None, "a", None), (None, "x" * 200_000, "en", "a", 1), (3, "", "en", "a", 0), (3, "other", "de", "a", 5), *[(i, "t", "en", "b", 1) for i in range(10, 40)]]
+    frame = spark.createDataFrame(data, SCHEMA)
+    out = [tuple(r) for r in mixing.mix(frame, weights={"a": 1.0, "b": 1.0}).collect()]
+    counts = {t: sum(r[0] == i and r[1] == t for r in out) for i, t in ((None, None), (None, "x" * 200_000), (3, ""), (3, "other"))}
+    assert counts[None] == counts["x" * 200_000] and counts[""] == counts["other"]
+    assert sorted({r[5] for r in out if r[1] == "other"}) == list(range(counts["other"]))
