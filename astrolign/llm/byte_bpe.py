@@ -1,7 +1,8 @@
 """Byte-level BPE with the tiktoken library: encoding to packed ids and decoding back to raw bytes.
 
 Null texts count as empty; repeated rows encode alike; only the id and the text column are read, so other columns can have any name.
-Long texts are cut where the pattern always ends a match (a character that isn't white space before an ASCII blank), so the ids are those of the whole text.
+Long texts are cut where the pattern always ends a match (a character that isn't white space before an ASCII blank), so the ids are those of the whole text. A long run of white space is one match of the
+pattern, but for its last character before a word; the pattern's look-ahead would keep a place to go back to for each of its characters, so such matches go to the library without the pattern.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 from astrolign.llm.common import id_and_text
 
 _CUT = re.compile(r"\S(?=[ \n\r\t])")
+#: Runs of what the pattern of the library takes as white space, possessively: without places to go back to.
+_BLANKS = regex.compile(r"(?<!\p{White_Space})\p{White_Space}{1000,}+")
 
 
 @lru_cache(maxsize=4)
@@ -29,19 +33,30 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, size: int) -> Iterator[str]:
-    """The text in pieces of at least `size` characters, cut at safe boundaries."""
+def pieces(text: str, size: int) -> Iterator[tuple[str, bool]]:
+    """The text in pieces, and whether a piece is one match of white space. Others have at least `size` characters, cut at safe boundaries, or end at such a match or with the text."""
+    at = 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))  # the last one goes with the word behind it, or is a match of its own
+        yield from ((piece, False) for piece in words(text[at : m.start()], size))
+        yield text[m.start() : end], True
+        at = end
+    yield from ((piece, False) for piece in words(text[at:], size))
+
+
+def words(text: str, size: int) -> Iterator[str]:
     at = 0
     while len(text) - at > size and (cut := _CUT.search(text, at + size)):
         yield text[at : cut.end()]
         at = cut.end()
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def encode_text(enc: tiktoken.Encoding, text: str, size: int = 50_000) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    return [i for piece, blank in pieces(text, size) for i in (enc._encode_single_piece(piece) if blank else enc.encode_ordinary(piece))]
 
 
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

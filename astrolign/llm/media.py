@@ -97,6 +97,7 @@ class Bytes(bytes):
     def __init__(self, *_):
         self.dead: dict[str, set[int]] = {}
         self.marks: dict[bytes, list[int]] = {}
+        self.riff: Chunks | None = None
 
     def next(self, mark: bytes, at: int) -> int:
         """The first place of `mark` from `at` on, or -1; all places are found once."""
@@ -122,6 +123,45 @@ class Bytes(bytes):
         return -1
 
 
+class Chunks:
+    """The RIFF chunks behind every place that can start a wave file. Each place leads to one later place, so they form trees with the last places as roots: a place's range of numbers holds those of all places that lead
+    to it, and sums of kinds along a path are differences of sums up to the root. So media that nest in each other by thousands are walked once."""
+
+    def __init__(self, d: Bytes):
+        self.then: dict[int, int] = {}
+        at = d.next(b"RIFF", 0)
+        while at >= 0:
+            k = at + 12
+            while d[at + 8 : k] == b"WAVE" and k not in self.then:
+                self.then[k] = k + 8 + (size := struct.unpack_from("<I", d, k + 4)[0]) + size % 2 if k + 8 <= len(d) else -1
+                k = self.then[k] if self.then[k] >= 0 else k
+            at = d.next(b"RIFF", at + 1)
+        places = sorted(self.then)
+        self.size = dict.fromkeys(places, 1)
+        for k in places:
+            if self.then[k] >= 0:
+                self.size[self.then[k]] += self.size[k]
+        self.number, free, self.sums = {}, {-1: 0}, {-1: (0, 0)}
+        for k in reversed(places):
+            then = self.then[k]
+            self.number[k] = free[then]
+            free[then] += self.size[k]
+            free[k] = self.number[k] + 1
+            self.sums[k] = tuple(n + (then >= 0 and d.startswith(kind, k)) for n, kind in zip(self.sums[then], (b"fmt ", b"data"), strict=True))
+
+    def leads(self, at: int, to: int) -> bool:
+        return to in self.number and self.number[to] <= self.number[at] < self.number[to] + self.size[to]
+
+    def between(self, at: int, end: int) -> set[bytes]:
+        """Which of the two chunks that a wave file needs lie between, if the chunks from `at` on end at `end`, or one behind it in the padding of the last."""
+        if not self.leads(at, end):
+            bare = self.then.get(end - 7) == end + 1 and self.leads(at, end - 7)  # the last header does not fit
+            if bare or not self.leads(at, end + 1):
+                return set()
+            end += 1
+        return {kind for kind, a, b in zip((b"fmt ", b"data"), self.sums[at], self.sums[end], strict=True) if a > b}
+
+
 def png(d: Bytes, at: int) -> int | None:
     if d[at + 8 : at + 16] != b"\0\0\0\rIHDR":
         return None
@@ -168,13 +208,12 @@ def pgm(d: Bytes, at: int) -> int | None:
 def riff(d: Bytes, at: int) -> int | None:
     if at + 12 > len(d) or d[at + 8 : at + 12] != b"WAVE":
         return None
-    total = struct.unpack_from("<I", d, at + 4)[0] + 8
-    end, kinds = at + 12, set()
-    while total <= len(d) - at and end + 8 <= at + total:
-        kind, size = struct.unpack_from("<4sI", d, end)
-        kinds.add(kind)
-        end += 8 + size + size % 2
-    return total if {b"fmt ", b"data"} <= kinds and end - at - 1 <= total <= end - at else None
+    end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
+    if end > len(d):
+        return None
+    if d.riff is None:
+        d.riff = Chunks(d)
+    return end - at if d.riff.between(at + 12, end) >= {b"fmt ", b"data"} else None
 
 
 def gif(d: Bytes, at: int) -> int | None:

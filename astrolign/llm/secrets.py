@@ -207,28 +207,26 @@ class Lexer:
 
     def joined(self, found: tuple[Value, int]) -> tuple[Value, int]:
         """With the strings and constants that stand side by side with a string or are joined to it."""
-        values, end = [found[0]], found[1]
+        own, known, end = [found[0]], [], found[1]
         while m := _JOIN.match(self.text, end, self.last):
             sign = m[0].strip()
             more = self.string(m.end())
             if more:
-                values.append(more[0])
+                own.append(more[0])
                 end = more[1]
                 continue
             name = _REFERENCE.match(self.text, m.end(), self.last) if sign else None
-            known = name and self.look_up(name[1] or name[2])
-            if not known:
+            value = name and self.look_up(name[1] or name[2])
+            if not value:
                 break
-            values.append(known)
+            known.append(value)
             end = name.end()
         if m := _FORMAT.match(self.text, end, self.last):
-            values += [v for name in m[1].split(",") if (v := self.look_up(name.strip()))]
-        if len(values) == 1:
-            return values[0], end
-        own = [v for v in values if found[0].start <= v.start and v.end <= end]
+            known += [v for name in m[1].split(",") if (v := self.look_up(name.strip()))]
+        if len(own) == 1 and not known:
+            return own[0], end
         text = "".join(v.text for v in own)
-        rest = tuple(p for v in own for p in v.parts) + tuple(v for v in values if v not in own)
-        return Value(text, own[0].start, own[-1].end, rest), end
+        return Value(text, own[0].start, own[-1].end, (*(p for v in own for p in v.parts), *known)), end
 
     def value(self, at: int, op: str, sensitive: bool) -> tuple[Value, int] | None:
         text = self.text

@@ -1,7 +1,10 @@
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from astrolign.llm import byte_bpe
 
@@ -13,7 +16,7 @@ def test_pieces_join_to_the_text_and_encode_alike():
     enc = byte_bpe.encoding(RANKS)
     for text in filter(None, TEXTS):
         for size in (1, 7, 100):
-            assert "".join(byte_bpe.pieces(text, size)) == text
+            assert "".join(piece for piece, _ in byte_bpe.pieces(text, size)) == text
         assert byte_bpe.encode_text(enc, text, 50) == enc.encode_ordinary(text)
 
 
@@ -34,3 +37,28 @@ def test_part_of_a_character_decodes_to_its_bytes():
     enc = byte_bpe.encoding(RANKS)
     ids = enc.encode_ordinary("🎉")
     assert enc.decode_bytes(ids[:1]) == "🎉".encode()[: len(enc.decode_bytes(ids[:1]))]
+
+
+def test_long_runs_of_white_space_encode_as_the_library_does():
+    """At lengths that the library itself can take: runs at the start, the middle and the end, before and behind words, marks and other blanks."""
+    enc, rng = byte_bpe.encoding(RANKS), random.Random(3)
+    blanks = [" ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "\u200b"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.choice([[rng.choice(blanks)], blanks[:4], blanks])
+            parts += [*rng.choices(kind, k=rng.choice([1, 2, 999, 1000, 1001, 3000])), *rng.choice([[], ["x"], ["'s"], [" word ", "9"], ["!"], ["\u00e9"]])]
+        text = "".join(parts)
+        assert byte_bpe.encode_text(enc, text, 50) == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \r\n\t\u3000", "a", "b ", " " * 999 + "x", "\u00e9!"])
+def test_five_million_characters_of_anything(spark, unit):
+    text = unit * (5_000_000 // len(unit))
+    start = time.time()
+    enc = byte_bpe.encoding(RANKS)
+    ids = byte_bpe.encode_text(enc, text)
+    assert enc.decode_bytes(ids) == text.encode() and time.time() - start < 30
+    if unit in (" ", "a"):
+        rows = byte_bpe.decode(byte_bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS), RANKS).collect()
+        assert [(r.doc_id, r.n_tokens, bytes(r.decoded) == text.encode()) for r in rows] == [(1, len(ids), True)]

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import math
+import random
 import struct
 import time
 import wave
@@ -104,12 +105,14 @@ def test_query_columns_of_the_stored_form(spark, tmp_path):
         assert own.pop("type") == want.pop("type") == r.actual_type and all(abs(float(own[k]) - v) < 1e-4 for k, v in want.items())
         assert r.corrected == (kind != stored[i].declared_type) and r.items.split(",")[0] == f"{kind}:0:{len(data)}"
     assert kinds == set(media.STORES) and {r.corrected for r in rows.values()} == {True, False}
-    assert queries.op3_media(spark, str(tmp_path)).where("false").count() == 0
+    frame.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    nothing = queries.op3_media(spark, f"{tmp_path}/none")
+    assert nothing.collect() == [] and nothing.schema == queries.op3_media(spark, str(tmp_path)).schema
 
 
 HOSTILE = {
     "pdf": b"%PDF-1 ", "pdf with an end far off": b"%PDF-1 ", "jpeg": b"\xff\xd8\xff\xe0\x00\x02", "jpeg in segments": b"\xff\xd8\xff\xe0\x00\x06\xff\xe0\x00\x02", "jpeg with scans": b"\xff\xd8\xff\xda\x00\x02",
-    "gif": b"GIF89a\x01\x00\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x10", "png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + b"\0" * 17, "bmp": b"BM", "pgm": b"P5\n64 1\n255\n", "gzip": b"\x1f\x8b\x08\0\0\0\0\0\0\xff", "riff": b"RIFF\x10\0\0\0WAVE",
+    "gif": b"GIF89a\x01\x00\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x10", "png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + b"\0" * 17, "bmp": b"BM", "pgm": b"P5\n64 1\n255\n", "gzip": b"\x1f\x8b\x08\0\0\0\0\0\0\xff", "riff": b"RIFF\x10\0\0\0WAVE", "riff in riff": b"JUNK\x0c\0\0\0RIFF\xf0\xff\x0e\0WAVE",
 }
 
 
@@ -121,6 +124,37 @@ def test_a_megabyte_of_false_starts_takes_linear_time(name):
     assert time.process_time() - start < 2
 
 
+def test_wave_files_within_wave_files_equal_a_plain_walk():
+    """Random chunks, true and false totals, odd sizes with and without padding: each start against a walk of its own."""
+    rng = random.Random(4)
+
+    def plain(d, at):
+        if at + 12 > len(d) or d[at + 8 : at + 12] != b"WAVE":
+            return None
+        total = struct.unpack_from("<I", d, at + 4)[0] + 8
+        end, kinds = at + 12, set()
+        while total <= len(d) - at and end + 8 <= at + total:
+            kind, size = struct.unpack_from("<4sI", d, end)
+            kinds.add(kind)
+            end += 8 + size + size % 2
+        return total if {b"fmt ", b"data"} <= kinds and end - at - 1 <= total <= end - at else None
+
+    found = 0
+    for _ in range(1500):
+        d = b""
+        for _ in range(rng.randrange(1, 14)):
+            size = rng.choice([0, 1, 2, 4, 12, 12, 13, 20, 32, 40])
+            d += rng.choice([b"fmt ", b"data", b"JUNK"]) + struct.pack("<I", size) + (bytes(rng.randrange(size + 1)) if rng.random() < 0.2 else b"")
+            if rng.random() < 0.5:
+                d += b"RIFF" + struct.pack("<I", rng.choice([12, 20, 28, 29, 32, 36, 44, 45, 60, 61, 68, 76, 84])) + b"WAVE"
+        data = media.Bytes(d)
+        for at in range(len(d)):
+            if d.startswith(b"RIFF", at):
+                assert media.riff(data, at) == plain(d, at)
+                found += plain(d, at) is not None
+    assert found > 50
+
+
 def test_packed_media_that_inflate_to_much_more_are_measured_in_pieces():
     data = gzip.compress(bytes(50_000_000)) + b"tail"
     assert media.sniff(data)[0] == ("application/gzip", 0, len(data) - 4)

@@ -84,7 +84,7 @@ def test_what_is_no_secret(text):
 
 HOSTILE = [
     "token=", "a=1&", 'token="', "token='\\'", "a = ", "secret: |\n", "token = <<A ", "token = <<A\n", "secret:", "{", "}{", "password   ", " " * 7 + ":", "token: a[", '"secret" : "x" + ', "x = x + 'a'\ntoken = x\n", "/*", "<a>", "<token>", "token = f(", 'token = f("', "token = " + "'" * 3, "a:b,",
-    "token = t{}\n", "  " * 3 + "\n token = 'aB3dE5fG7'\n", "key = <<K{}\n", "AKIA", "0123456789abcdef", "é: ", "token \t", 'a="{}{{x}}"\n', "新=",
+    "token = t{}\n", "  " * 3 + "\n token = 'aB3dE5fG7'\n", "key = <<K{}\n", "AKIA", "0123456789abcdef", "é: ", "token \t", 'a="{}{{x}}"\n', "新=", '"a" ', "'a' + ", "`a` . ",
 ]
 
 
@@ -99,6 +99,16 @@ def test_a_megabyte_of_anything_takes_linear_time(unit):
     assert time.process_time() - start < 8
 
 
+@pytest.mark.parametrize("unit", ['"a" ', "'aB3dE5fG7' + ", "x, "])
+def test_one_value_of_a_megabyte_takes_linear_time(unit):
+    """Strings side by side, joined strings, and a long list of names to format, as one sensitive value."""
+    head = "x = 'aB3dE5fG7'\ntoken = '{}'.format(" if unit == "x, " else "token = "
+    start = time.process_time()
+    found = secrets.spans(head + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 8
+    assert ("literal" in {kind for _, kind, _ in found}) == (unit != '"a" ')
+
+
 def test_spans_of_blanks_are_passed_once():
     text = "token" + " " * 300_000 + "= " + " " * 300_000 + "'" + " " * 300_000 + "x: " + " " * 100_000
     start = time.process_time()
