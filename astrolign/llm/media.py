@@ -131,8 +131,8 @@ class Chunks:
         self.then: dict[int, int] = {}
         at = d.next(b"RIFF", 0)
         while at >= 0:
-            k = at + 12
-            while d[at + 8 : k] == b"WAVE" and k not in self.then:
+            wave, k = d.startswith(b"WAVE", at + 8), at + 12
+            while wave and k not in self.then:
                 self.then[k] = k + 8 + (size := struct.unpack_from("<I", d, k + 4)[0]) + size % 2 if k + 8 <= len(d) else -1
                 k = self.then[k] if self.then[k] >= 0 else k
             at = d.next(b"RIFF", at + 1)
