@@ -140,7 +140,7 @@ def test_wave_files_within_wave_files_equal_a_plain_walk():
         return total if {b"fmt ", b"data"} <= kinds and end - at - 1 <= total <= end - at else None
 
     found = 0
-    for _ in range(1500):
+    for _ in range(8000):
         d = b""
         for _ in range(rng.randrange(1, 14)):
             size = rng.choice([0, 1, 2, 4, 12, 12, 13, 20, 32, 40])
@@ -152,7 +152,7 @@ def test_wave_files_within_wave_files_equal_a_plain_walk():
             if d.startswith(b"RIFF", at):
                 assert media.riff(data, at) == plain(d, at)
                 found += plain(d, at) is not None
-    assert found > 50
+    assert found > 20
 
 
 def test_packed_media_that_inflate_to_much_more_are_measured_in_pieces():
