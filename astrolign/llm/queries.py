@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolign.llm import bitplanes, byte_bpe, media, minhash, mixing, oracles, pii, secrets, substring_dedup, topk, toxicity
+from astrolign.llm import bitplanes, byte_bpe, decontamination, lexical_search, media, minhash, mixing, oracles, pii, secrets, spelling, substring_dedup, topk, toxicity
 from astrolign.llm.common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,6 +81,21 @@ def op8_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), TOKENIZER).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -92,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bitplanes": op8_bitplanes,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_decontamination": op11_decontamination,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +117,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash": oracles.NEAR_DUPLICATES,
     "op6_topk": topk.TOP_K_SQL,
     "op7_mixing": mixing.mix_sql(),
+    "op11_decontamination": oracles.CONTAMINATION,
+    "op12_ranked_search": oracles.RANKED,
+    "op13_spelling": oracles.SPELLING,
 }
