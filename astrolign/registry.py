@@ -12,7 +12,7 @@ from astrolign.config import Camera, Detection, Photometry
 from astrolign.functions import accuracy, camera, geometry, photometry
 from astrolign.operators import attitude, graph, image, joins, reports, voting
 from astrolign.plans import pipelines
-from astrolign.sources import catalogue, fits
+from astrolign.sources import catalogue, fits, fits_source
 from astrolign.sources.shared import kept, new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,6 +517,25 @@ def s1_files(spark, d):
     return rounded(fits.pixels(read, "frame_id"), "value")
 
 
+_HEADERS = f"""SELECT s_suppkey, 360.0::DOUBLE * (s_suppkey * 7919 % 1048573) / 1048573 AS ra, (s_suppkey % 150 - 75)::DOUBLE AS dec, s_suppkey % 90 AS turn, (1 + s_suppkey % 5) / 1000 * cos(radians(s_suppkey % 90)) AS scale FROM supplier"""
+
+
+@query("s2_header_scan", f"SELECT s_suppkey, 2880 AS bytes_read, 'wcs' AS source, {s6('ra', 5)} AS ra, {s6('dec', 5)} AS dec, {s6('turn', 5)} AS roll, {s6('1 / tan(radians(scale))', 3)} AS focal, {s6('greatest(2 * 2 * degrees(atan2(16.0, 1 / tan(radians(scale)))) / 32, 0.003)')} AS tolerance FROM ({_HEADERS})")
+def s2_headers(spark, d):
+    """An image for each supplier, written by the FITS sink; then the truth and the camera of each from a scan that reads headers alone: one block of a file that has three."""
+    folder, k = new_path(spark, "headers"), F.col("s_suppkey")
+    own = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (360.0 * (k * 7919 % 1048573) / 1048573).alias("ra"), (k % 150 - 75).alias("dec"), F.radians(k % 90).alias("turn"), ((1 + k % 5) / 1000).alias("scale"))
+    along, across = F.col("scale") * F.cos("turn"), F.col("scale") * F.sin("turn")
+    keys = {"CRVAL1": F.col("ra"), "CRVAL2": F.col("dec"), "CRPIX1": F.lit(17), "CRPIX2": F.lit(9), "CD1_1": along, "CD1_2": across, "CD2_1": -across, "CD2_2": along}
+    header = F.create_map(*[x for name, value in keys.items() for x in (F.lit(name), value.cast("string"))])
+    fits_source.save(own.select(F.format_string("s%08d", "s_suppkey").alias("name"), F.lit(32).alias("width"), F.lit(bytes(8 * 32 * 16)).alias("data"), header.alias("header")), folder)
+    read = fits.names(fits_source.scan(spark, folder, "path", "width", "height", "header", "bytes_read"))
+    read = staged(read.withColumn("s_suppkey", F.regexp_extract("filename", "([0-9]+)", 1).cast("long")), "headers")
+    cameras = fits.cameras(read, "s_suppkey").withColumnRenamed("frame_id", "s_suppkey")
+    out = read.select("s_suppkey", "bytes_read", accuracy.truth(F.col("header")).alias("t")).join(cameras, "s_suppkey")
+    return out.select("s_suppkey", F.col("bytes_read").cast("int").alias("bytes_read"), "t.source", r6("t.ra", 5).alias("ra"), r6("t.dec", 5).alias("dec"), r6("t.roll", 5).alias("roll"), r6("focal", 3).alias("focal"), r6("tolerance").alias("tolerance"))
+
+
 _REPORT = """SELECT printf('%08d_%d', l_orderkey, l_linenumber) AS filename, l_quantity::INT AS n_detected, l_linenumber AS n_matched, CASE WHEN l_linestatus = 'F' THEN 'triangle' ELSE 'triangle_failed' END AS method,
     l_linestatus = 'F' AS success, CASE WHEN l_linestatus = 'F' THEN l_extendedprice / 500 END AS angular_error_arcsec, CASE WHEN l_linestatus = 'F' THEN l_discount * 10 END AS ra_error_arcsec, CASE WHEN l_linestatus = 'F' THEN l_tax * 10 END AS dec_error_arcsec,
     CASE WHEN l_linestatus = 'F' THEN l_quantity / 7 END AS residual_arcsec FROM lineitem"""

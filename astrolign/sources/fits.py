@@ -35,14 +35,18 @@ def header_of(data: bytes, at: int) -> tuple[dict[str, str], int]:
     raise ValueError("the header has no end")
 
 
+def value_type(keys: dict[str, str]) -> tuple[list[int], np.dtype, int]:
+    """Lengths of the axes, type and number of the values behind a header."""
+    axes = [int(keys[f"NAXIS{k}"]) for k in range(1, int(keys.get("NAXIS", 0)) + 1)]
+    return axes, np.dtype(_KINDS[int(keys["BITPIX"])]), int(np.prod(axes)) if axes else 0
+
+
 def decode(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     """Header and image (float64, two axes)."""
     at = 0
     while at < len(data):
         keys, at = header_of(data, at)
-        axes = [int(keys[f"NAXIS{k}"]) for k in range(1, int(keys.get("NAXIS", 0)) + 1)]
-        kind = np.dtype(_KINDS[int(keys["BITPIX"])])
-        count = int(np.prod(axes)) if axes else 0
+        axes, kind, count = value_type(keys)
         if len(axes) >= 2 and count:
             image = np.frombuffer(data, kind, count, at).astype(np.float64).reshape(axes[::-1])
             image = image.reshape(-1, *image.shape[-2:])[0] * float(keys.get("BSCALE", 1)) + float(keys.get("BZERO", 0))
@@ -112,7 +116,7 @@ def cameras(frames: DataFrame, key: str = "path", default: Camera = Camera()) ->
     real = ~made & focal.isNotNull()
     pick = lambda synthetic, wcs, other: F.when(made, F.coalesce(synthetic, F.lit(float(other)))).when(real, wcs).otherwise(F.lit(float(other)))
     w, t = F.col("width").cast("double"), F.col("height").cast("double")
-    own = frames.where("data IS NOT NULL").select(
+    own = frames.where("width IS NOT NULL").select(
         F.col(key).alias("frame_id"), pick(h("FOCAL_L"), focal, default.focal).alias("focal"), pick(h("CX"), w / 2, default.cx).alias("cx"), pick(h("CY"), t / 2, default.cy).alias("cy"), "width", "height",
         F.when(real, 0.0).otherwise(default.k1).alias("k1"), F.when(real, 0.0).otherwise(default.k2).alias("k2"), real.alias("real"),
     )
@@ -129,7 +133,7 @@ def viewer_cameras(frames: DataFrame, key: str = "path", default: Camera = Camer
     focal, fov = focal_of_field(scale, w, t), scale * F.greatest(w, t)
     real = F.coalesce(scale > 0, F.lit(False))
     pick = lambda wcs, other: F.when(real, wcs).otherwise(F.lit(float(other)))
-    return frames.where("data IS NOT NULL").select(
+    return frames.where("width IS NOT NULL").select(
         F.col(key).alias("frame_id"), pick(focal, default.focal).alias("focal"), pick(F.coalesce(h("CRPIX1"), w / 2), default.cx).alias("cx"), pick(F.coalesce(h("CRPIX2"), t / 2), default.cy).alias("cy"),
         "width", "height", pick(F.lit(0.0), default.k1).alias("k1"), pick(F.lit(0.0), default.k2).alias("k2"), pick(fov, default.fov).alias("fov"),
         F.when(real, 2 * scale).alias("least_angle"), F.when(real, F.least(1.2 * fov, F.lit(20.0))).alias("most_angle"),
