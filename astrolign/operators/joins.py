@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolign.functions.geometry import dot, radec_to_vector
+from astrolign.operators.sky_tree import LISTS, angle_lists, within_angle  # noqa: F401  pairs by angle belong to the joins
 
 
 def vec(prefix: str) -> dict[str, Column]:
@@ -33,83 +34,6 @@ def _side(degrees: float, least: float = 2 / 1000) -> float:
     return max(2 * math.sin(math.radians(min(degrees, 180.0)) / 2) * (1 + 1e-9), least)
 
 
-def within_angle(stars: DataFrame, least: float | None, most: float, salt: int | None = None) -> DataFrame:
-    """a, b, ang: pairs of stars (hip, ra_deg, dec_deg, x, y, z) with a < b by hip whose angle lies between the bounds, both included.
-
-    The condition compares the dot product with the cosines of the bounds; the arc cosine is taken only of pairs that passed. Stars meet by an equality of cube cells
-    of the chord length of `most`: one star goes to its own cell, the other one to that and its 26 neighbours, so no pair is compared that lies further apart than two cells. Wide angles make few
-    cells, so that each is dealt into `salt` shares of its stars (as many as there are shuffle partitions for each 64 unless given), and no task has to take a whole dense cell; the other side goes to all shares."""
-    salt = salt or max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
-    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most)))
-    near = _neighbours(base).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else _neighbours(base).withColumn("share", F.lit(0))
-    base = base.withColumn("share", F.pmod(F.xxhash64("hip"), F.lit(salt)).cast("int"))
-    product = dot(vec("s"), vec("t"))
-    bounds = product >= math.cos(math.radians(most))
-    if least is not None:
-        bounds &= product <= math.cos(math.radians(least))
-    equal = F.expr("s.cx = t.cx AND s.cy = t.cy AND s.cz = t.cz AND s.share = t.share AND s.hip < t.hip")
-    kept = base.alias("s").join(near.alias("t"), equal & bounds).select(F.col("s.hip").alias("a"), F.col("t.hip").alias("b"), product.alias("d"))
-    return kept.select("a", "b", F.degrees(F.acos(F.greatest(F.least("d", F.lit(1.0)), F.lit(-1.0)))).alias("ang"))
-
-
-LISTS = "hips array<long>, sizes array<int>, angles binary"
-
-
-def angle_lists(stars: DataFrame, least: float | None, most: float, block: int = 16, salt: int | None = None, fine: int = 2) -> DataFrame:
-    """hips, sizes, angles: blocks of stars (hip, x, y, z) with the angles from each to all others within the bounds, sorted, one star's behind the other's, as little-endian doubles.
-    Cells are those of within_angle(), each cut into `fine` along each axis, so that what one group makes stays small; a group is a share of a cell against a share of the cell's surroundings."""
-    salt = salt or max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64)
-    base = stars.select("hip", "x", "y", "z", *_cells({k: F.col(k) for k in "xyz"}, _side(most) / fine))
-    share, all_shares = F.pmod(F.xxhash64("hip"), F.lit(salt)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-    own = base.withColumn("sa", share).withColumn("sb", all_shares)
-    keys = ["cx", "cy", "cz", "sa", "sb"]
-    near = _neighbours(base, fine).withColumn("sb", share).withColumn("sa", all_shares)
-    near = near.select(*[F.col(k).alias(f"{k}_") for k in keys], *[F.col(k).alias(f"{k}_") for k in ("hip", "x", "y", "z")])
-    low, high = math.cos(math.radians(most)), math.cos(math.radians(least)) if least is not None else math.inf
-    out = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.binary())])
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:  # a side without rows comes without columns
-            return out.empty_table()
-        (hips, *a), (others, *b) = ([table[f"{c}{end}"].to_numpy() for c in ("hip", "x", "y", "z")] for table, end in ((left, ""), (right, "_")))
-        rows = []
-        for at in range(0, len(hips), block):
-            some, sizes, angles = hips[at : at + block], [], []
-            for k, hip in enumerate(some):
-                d = a[0][at + k] * b[0] + a[1][at + k] * b[1] + a[2][at + k] * b[2]
-                d = d[(d >= low) & (d <= high) & (others != hip)]
-                sizes.append(len(d))
-                angles.append(np.sort(np.degrees(np.arccos(np.clip(d, -1, 1)))))
-            rows.append((some, np.array(sizes, np.int32), np.concatenate(angles).astype("<f8").tobytes()))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
-
-    found = own.groupBy(*keys).cogroup(near.groupBy(*[f"{k}_" for k in keys])).applyInArrow(one, LISTS)
-    return found if salt == 1 else _once(found, block)
-
-
-def _once(lists: DataFrame, block: int) -> DataFrame:
-    """Lists of stars that have several, joined to one for each star."""
-    out = pa.schema([("hip", pa.int64()), ("own", pa.binary())])
-    blocks = pa.schema([("hips", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("angles", pa.binary())])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                hips, sizes, angles = (batch.column(c)[row] for c in range(3))
-                ends = np.cumsum(sizes.values.to_numpy()) * 8
-                data = angles.as_py()
-                yield pa.RecordBatch.from_arrays([hips.values, pa.array([data[b - 8 * n : b] for b, n in zip(ends.tolist(), sizes.as_py(), strict=True)], pa.binary())], schema=out)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                hips, parts = (c.to_pylist() for c in batch.slice(at, block).columns)
-                own = [np.sort(np.frombuffer(b"".join(x), "<f8")) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([hips], blocks.field(0).type), pa.array([[len(x) for x in own]], blocks.field(1).type), pa.array([np.concatenate(own).tobytes()], pa.binary())], schema=blocks)
-
-    return lists.mapInArrow(split, "hip long, own binary").groupBy("hip").agg(F.collect_list("own").alias("own")).mapInArrow(join, LISTS)
-
-
 def within_cone(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFrame:
     """Columns of frames (frame_id, ra, dec, ...) and of stars (x, y, z, ...; no names in common) for each star within the angle of a frame's direction, and cosine: of the angle between them.
     Stars stay in their own cube cell, frames go to theirs and its neighbours: an equality join, whatever the sizes."""

@@ -28,12 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _for_this_session(spark: SparkSession, path: str) -> None:
+    """Marks what is written there to be deleted when the driver ends."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
 def kept(spark: SparkSession, name: str, key: str, make) -> str:
     """The path of a table that make(path) writes when an application first asks for `name` of `key` (its input's folder, say)."""
     own = spark.sparkContext.applicationId, name, key
     if own not in _kept:
         path = new_path(spark, name)
         make(path)
+        _for_this_session(spark, path)
         _kept[own] = path
     return _kept[own]
 
@@ -42,4 +49,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to a new folder and read again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _for_this_session(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
