@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from astrolign import tables as t
 from astrolign.config import Camera, Detection, Photometry
 from astrolign.functions import accuracy, camera, geometry, photometry
-from astrolign.operators import attitude, graph, image, joins, reports, voting
+from astrolign.operators import attitude, graph, image, joins, reports, sky_tree, voting
 from astrolign.plans import pipelines
 from astrolign.sources import catalogue, fits, fits_source
 from astrolign.sources.shared import kept, new_path, staged
@@ -198,6 +198,25 @@ def j1_pairs(spark, d):
     return rounded(out, "least", "most", n=5)
 
 
+_TREE = """cube AS (SELECT *, abs(x) >= abs(y) AND abs(x) >= abs(z) AS on_x, abs(y) >= abs(z) AS on_y FROM cat),
+flat_cube AS (SELECT CASE WHEN on_x THEN CASE WHEN x > 0 THEN 0 ELSE 1 END WHEN on_y THEN CASE WHEN y > 0 THEN 2 ELSE 3 END WHEN z > 0 THEN 4 ELSE 5 END AS face,
+    CASE WHEN on_x THEN y / abs(x) WHEN on_y THEN x / abs(y) ELSE x / abs(z) END AS u, CASE WHEN on_x THEN z / abs(x) WHEN on_y THEN z / abs(y) ELSE y / abs(z) END AS v FROM cube),
+deep AS (SELECT face, least(floor((u + 1) / 2 * 65536), 65535)::BIGINT AS i, least(floor((v + 1) / 2 * 65536), 65535)::BIGINT AS j FROM flat_cube),
+node AS (SELECT level, face, i // (1 << (16 - level)) AS i, j // (1 << (16 - level)) AS j, count(*) AS n FROM deep, range(17) AS r(level) GROUP BY ALL)"""
+
+
+@query("j1_sky_tree", t.with_sql(t.CATALOGUE_SQL, _TREE, "SELECT c.level::INTEGER AS level, c.face::INTEGER AS face, c.i::INTEGER AS i, c.j::INTEGER AS j, c.n FROM node c LEFT JOIN node p ON p.level = c.level - 1 AND p.face = c.face AND p.i = c.i // 2 AND p.j = c.j // 2 WHERE c.n <= 64 AND (c.level = 0 OR p.n > 64)"))
+def j1_tree(spark, d):
+    """The leaves in which the catalogue's pairs are made, here of 64 stars at most, with the stars in each."""
+    return sky_tree.leaves(t.catalogue(spark, d), 64)[1].groupBy(*sky_tree.CELL).agg(F.count("*").alias("n"))
+
+
+@query("j8_surroundings", t.with_sql(t.CATALOGUE_SQL, f"SELECT s.hip, count(*) AS n, {s6('min(t.vmag)')} AS least FROM cat s JOIN cat t ON s.hip = t.hip OR s.x*t.x + s.y*t.y + s.z*t.z >= cos(radians(15.0)) GROUP BY s.hip"))
+def j8_surroundings(spark, d):
+    """Size and brightest star of the neighbourhood of every catalogue star, without a row for each member."""
+    return rounded(sky_tree.surroundings(t.catalogue(spark, d), 15.0, "vmag"), "least")
+
+
 @query("j3_p12_w3_observed_pairs", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, i, j, {s6('obs', 5)} AS obs FROM obs"))
 def j3_observed(spark, d):
     out = voting.observed_pairs(voting.selected(t.sky_stars(spark, d)))
