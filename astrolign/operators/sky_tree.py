@@ -19,6 +19,8 @@ from astrolign.sources.shared import staged
 
 #: Quarterings at most: cells of some five seconds of arc. Stars of a leaf at most, pairs of leaves for each task.
 DEPTH, BUDGET, UNITS, FEW = 16, 512, 256, 32
+#: That many levels are counted at once.
+LEVELS = 6
 CELL = ["level", "face", "i", "j"]
 #: Radii of leaves are classed by powers of two of so many degrees.
 _CLASS = 0.01
@@ -35,9 +37,9 @@ def deepest_cell(x: Column, y: Column, z: Column) -> list[Column]:
     return [face.cast("int").alias("face"), place(u).alias("i"), place(v).alias("j")]
 
 
-def ancestors(cells: DataFrame) -> DataFrame:
-    """Each row (face, i, j at the greatest depth) once for each level, with the cell of that level."""
-    at = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
+def ancestors(cells: DataFrame, first: int, last: int) -> DataFrame:
+    """Each row (face, i, j at the greatest depth) once for each of the levels, with the cell of that level."""
+    at = cells.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last))))
     return at.withColumns({k: _at_level(k) for k in ("i", "j")})
 
 
@@ -45,21 +47,29 @@ def _at_level(k: str) -> Column:
     return F.floor(F.col(k) / F.pow(F.lit(2.0), F.lit(DEPTH) - F.col("level"))).cast("int")
 
 
-def leaves(stars: DataFrame, budget: int = BUDGET, first: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Leaves (level, face, i, j, n: stars in them, `budget` at most but at the greatest depth), and stars (x, y, z, ...) with the cell of their leaf. Above the level `first` leaves hold FEW stars at most."""
+def leaves(stars: DataFrame, budget: int = BUDGET, first: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Stars (x, y, z, ...) with the cell (level, face, i, j) of their leaf, which holds `budget` of them at most, and FEW at most if it is above the level `first`; and the cells of the greatest depth that hold more all the same
+    (with n, their number), None if there are none. Levels are counted some at a time, the deeper ones only where cells are still too full."""
     deep = stars.select("*", *deepest_cell(*[F.col(k) for k in "xyz"]))
     counts = deep.groupBy("face", "i", "j").agg(F.count("*").alias("held"))
-    nodes = staged(ancestors(counts).groupBy(*CELL).agg(F.sum("held").alias("n")), "sky-nodes")
-    inner = nodes.where(((F.col("n") > budget) | (F.col("n") > FEW) & (F.col("level") < first)) & (F.col("level") < DEPTH)).select(*CELL)
-    below = inner.select((F.col("level") + 1).alias("level"), "face", *[F.explode(F.array(F.col("i") * 2, F.col("i") * 2 + 1)).alias("i"), "j"])
-    below = below.select("level", "face", "i", F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("j"))
-    ends = nodes.join(inner, CELL, "left_anti")
-    ends = ends.where("level = 0").unionByName(ends.where("level > 0").join(below, CELL, "left_semi"))
+    rest, top, inner = counts, 0, None
+    while True:
+        bottom = min(top + LEVELS - 1, DEPTH)
+        nodes = staged(ancestors(rest, top, bottom).groupBy(*CELL).agg(F.sum("held").alias("n")), "sky-nodes")
+        full = nodes.where((F.col("n") > budget) | (F.col("n") > FEW) & (F.col("level") < first))
+        parted = full.where(F.col("level") < DEPTH).select(*CELL)
+        inner = parted if inner is None else inner.union(parted)
+        more = full.where(F.col("level") == bottom)
+        if more.isEmpty() or bottom == DEPTH:
+            break
+        named = rest.withColumns({"level": F.lit(bottom), "deep_i": F.col("i"), "deep_j": F.col("j")}).withColumns({k: _at_level(k) for k in ("i", "j")})
+        rest, top = named.join(more.select(*CELL), CELL, "left_semi").select("face", F.col("deep_i").alias("i"), F.col("deep_j").alias("j"), "held"), bottom + 1
     # A star's leaf lies one level below its last ancestor that is parted.
-    last = ancestors(counts.select("face", "i", "j").withColumns({"deep_i": F.col("i"), "deep_j": F.col("j")})).join(inner, CELL)
+    last = ancestors(counts.select("face", "i", "j").withColumns({"deep_i": F.col("i"), "deep_j": F.col("j")}), 0, bottom).join(inner, CELL)
     last = last.groupBy("face", F.col("deep_i").alias("i"), F.col("deep_j").alias("j")).agg((F.max("level") + 1).alias("level"))
-    named = deep.join(last, ["face", "i", "j"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    return ends, named.withColumns({k: _at_level(k) for k in ("i", "j")})
+    placed = deep.join(last, ["face", "i", "j"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    crowded = nodes.where((F.col("level") == DEPTH) & (F.col("n") > budget)) if bottom == DEPTH else None
+    return placed.withColumns({k: _at_level(k) for k in ("i", "j")}), crowded
 
 
 _PACKED = pa.schema(
@@ -75,10 +85,12 @@ def first_level(most: float) -> int:
 
 def packed_leaves(stars: DataFrame, budget: int = BUDGET, first: int = 0, extra: str | None = None) -> DataFrame:
     """A row for each leaf of stars (hip, x, y, z): a number, its stars as packed columns (with one more, if named), and the cap around them (radius in degrees)."""
-    ends, placed = leaves(stars.select("hip", "x", "y", "z", (F.col(extra) if extra else F.lit(0.0)).cast("double").alias("extra")), budget, first)
-    crowded = ends.where(F.col("n") > budget).select(*CELL, F.ceil(F.col("n") / budget).alias("shares"))  # only at the greatest depth
-    placed = placed.join(crowded, CELL, "left")
-    placed = placed.withColumn("share", F.coalesce(F.pmod(F.xxhash64("hip"), "shares"), F.lit(0)).cast("int"))
+    placed, crowded = leaves(stars.select("hip", "x", "y", "z", (F.col(extra) if extra else F.lit(0.0)).cast("double").alias("extra")), budget, first)
+    if crowded is None:
+        placed = placed.withColumn("share", F.lit(0))
+    else:
+        placed = placed.join(crowded.select(*CELL, F.ceil(F.col("n") / budget).alias("shares")), CELL, "left")
+        placed = placed.withColumn("share", F.coalesce(F.pmod(F.xxhash64("hip"), "shares"), F.lit(0)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         hips, v = table["hip"].to_numpy(), np.stack([table[k].to_numpy() for k in "xyz"])

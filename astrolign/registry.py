@@ -208,7 +208,7 @@ node AS (SELECT level, face, i // (1 << (16 - level)) AS i, j // (1 << (16 - lev
 @query("j1_sky_tree", t.with_sql(t.CATALOGUE_SQL, _TREE, "SELECT c.level::INTEGER AS level, c.face::INTEGER AS face, c.i::INTEGER AS i, c.j::INTEGER AS j, c.n FROM node c LEFT JOIN node p ON p.level = c.level - 1 AND p.face = c.face AND p.i = c.i // 2 AND p.j = c.j // 2 WHERE c.n <= 64 AND (c.level = 0 OR p.n > 64)"))
 def j1_tree(spark, d):
     """The leaves in which the catalogue's pairs are made, here of 64 stars at most, with the stars in each."""
-    return sky_tree.leaves(t.catalogue(spark, d), 64)[1].groupBy(*sky_tree.CELL).agg(F.count("*").alias("n"))
+    return sky_tree.leaves(t.catalogue(spark, d), 64)[0].groupBy(*sky_tree.CELL).agg(F.count("*").alias("n"))
 
 
 @query("j8_surroundings", t.with_sql(t.CATALOGUE_SQL, f"SELECT s.hip, count(*) AS n, {s6('min(t.vmag)')} AS least FROM cat s JOIN cat t ON s.hip = t.hip OR s.x*t.x + s.y*t.y + s.z*t.z >= cos(radians(15.0)) GROUP BY s.hip"))
