@@ -270,6 +270,25 @@ def flagship_u2(spark, d):
     return matched(spark, d).select("frame_id", F.col("star_index").cast("long").alias("star_index"), "hip", "votes", r6("confidence").alias("confidence"))
 
 
+@query("flagship_many_frames", t.with_sql(t.MANY_SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT frame_id, star_index, hip, votes, {s6('confidence')} AS confidence FROM matched"))
+def flagship_many(spark, d):
+    """The flagship for a frame of each supplier, so that frames grow with the tables as the catalogue does."""
+    out = voting.identify(t.seen_stars(t.many_frames(spark, d), spark, d), t.catalogue(spark, d), t.lists(spark, d))
+    return out.select("frame_id", F.col("star_index").cast("long").alias("star_index"), "hip", "votes", r6("confidence").alias("confidence"))
+
+
+_ORION = "frames AS (SELECT 0::BIGINT AS frame_id, 84.0::DOUBLE AS ra, -1.0::DOUBLE AS dec, 0.0::DOUBLE AS roll)"
+
+
+@query("flagship_one_frame", t.with_sql(t.CATALOGUE_SQL, _ORION, t.ROTATION_SQL, t.STARS_OF_FRAMES_SQL, t.PAIRS_SQL, t.VOTES_SQL, f"SELECT star_index, hip, votes, {s6('least(ratio, 1e9)')} AS ratio FROM cand"))
+def flagship_one(spark, d):
+    """The candidates of one frame, before they are verified: what the baseline measured. The lists of angles are stored by the first query that asks for them."""
+    frame = spark.range(1).select(F.col("id").alias("frame_id"), F.lit(84.0).alias("ra"), F.lit(-1.0).alias("dec"), F.lit(0.0).alias("roll"))
+    observed = voting.observed_pairs(voting.selected(t.seen_stars(frame, spark, d)))
+    out = voting.candidates(voting.star_votes(observed, t.lists(spark, d), most=2))
+    return out.select(F.col("star_index").cast("long").alias("star_index"), "hip", "votes", r6(F.least("ratio", F.lit(1e9))).alias("ratio"))
+
+
 _TRUE = "obsd AS (SELECT frame_id, star_index, bx, by_, bz, x, y, z, snr AS w FROM used JOIN cat ON hip = star)"
 
 

@@ -39,7 +39,11 @@ def many_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def sky_stars(spark: SparkSession, d: str) -> DataFrame:
     """frame_id, star, star_index, x, y, z (body), mag, snr: the catalogue's stars around each frame's direction."""
-    turned = frames(spark, d).withColumn("m", pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll")))
+    return seen_stars(frames(spark, d), spark, d)
+
+
+def seen_stars(directions: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    turned = directions.withColumn("m", pointing_matrix(F.col("ra"), F.col("dec"), F.col("roll")))
     near = within_cone(turned, catalogue(spark, d), FIELD)
     body = rotate(F.col("m"), {k: F.col(k) for k in "xyz"})
     return voting.ranked(near.select("frame_id", F.col("hip").alias("star"), *[v.alias(k) for k, v in body.items()], F.col("vmag").alias("mag"), (20 - F.col("vmag")).alias("snr"), F.col("hip").alias("label")))
@@ -90,17 +94,20 @@ xs AS (SELECT *, ux / sqrt(ux*ux + uy*uy + uz*uz) AS xx, uy / sqrt(ux*ux + uy*uy
 ys AS (SELECT *, zy*xz - zz*xy AS yx, zz*xx - zx*xz AS yy, zx*xy - zy*xx AS yz, cos(radians(roll)) AS co, sin(radians(roll)) AS si FROM xs),
 rot AS (SELECT frame_id, ra, dec, roll, co*xx - si*yx AS r00, co*xy - si*yy AS r01, co*xz - si*yz AS r02, si*xx + co*yx AS r10, si*xy + co*yy AS r11, si*xz + co*yz AS r12, zx AS r20, zy AS r21, zz AS r22 FROM ys)"""
 
-SEEN_SQL = f"""{CATALOGUE_SQL},
-{FRAMES_SQL},
-{ROTATION_SQL},
-seen AS (SELECT f.frame_id, c.hip AS star, r00*x + r01*y + r02*z AS bx, r10*x + r11*y + r12*z AS by_, r20*x + r21*y + r22*z AS bz, c.vmag AS mag, 20 - c.vmag AS snr
+_NEAR_SQL = f"""seen AS (SELECT f.frame_id, c.hip AS star, r00*x + r01*y + r02*z AS bx, r10*x + r11*y + r12*z AS by_, r20*x + r21*y + r22*z AS bz, c.vmag AS mag, 20 - c.vmag AS snr
     FROM rot f JOIN cat c ON r20*x + r21*y + r22*z >= cos(radians({FIELD})))"""
 
+SEEN_SQL = f"{CATALOGUE_SQL},\n{FRAMES_SQL},\n{ROTATION_SQL},\n{_NEAR_SQL}"
+
 STARS_SQL = """stars AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY mag, star) - 1 AS star_index, count(*) OVER (PARTITION BY frame_id) AS n FROM seen),
 used AS (SELECT * FROM stars WHERE n >= 4 AND star_index < 15)"""
 
 SKY_SQL = f"{SEEN_SQL},\n{STARS_SQL}"
 
+STARS_OF_FRAMES_SQL = f"{_NEAR_SQL},\n{STARS_SQL}"
+
+MANY_SKY_SQL = f"{CATALOGUE_SQL},\n{MANY_FRAMES_SQL},\n{ROTATION_SQL},\n{_NEAR_SQL},\n{STARS_SQL}"
+
 MANY_SQL = f"{CATALOGUE_SQL},\n{MANY_FRAMES_SQL},\n{ROTATION_SQL}"
 
 PAIRS_SQL = """pair AS (SELECT a, b, degrees(acos(greatest(-1.0, least(1.0, d)))) AS ang FROM (SELECT s.hip AS a, t.hip AS b, s.x*t.x + s.y*t.y + s.z*t.z AS d FROM cat s JOIN cat t ON s.hip < t.hip)
