@@ -329,6 +329,15 @@ def k5_attitude(spark, d):
     return out.select("frame_id", *[r6(f"m.{k}", 5).alias(k) for k in ("r00", "r01", "r12", "r22")], F.col("n_total").cast("long").alias("n"), F.col("n_observations").cast("long").alias("kept"))
 
 
+@query("k4_handedness", t.with_sql(t.MANY_SKY_SQL, f"SELECT frame_id, frame_id % 2 = 1 AS mirrored, count(*) AS n, {s6('r00', 5)} AS r00, {s6('r01', 5)} AS r01, {s6('r12', 5)} AS r12, {s6('r22', 5)} AS r22 FROM used JOIN rot USING (frame_id) GROUP BY ALL"))
+def k4_handedness(spark, d):
+    """A frame for each supplier, every other one with its columns reversed: the attitude is that of the camera in either case, and the mirror is noticed."""
+    used = voting.selected(t.seen_stars(t.many_frames(spark, d), spark, d)).withColumn("x", F.when(F.col("frame_id") % 2 == 1, -F.col("x")).otherwise(F.col("x")))
+    o = attitude.observations(used.select("frame_id", "star_index", F.col("star").alias("hip"), F.lit(1.0).alias("confidence")), used, t.catalogue(spark, d))
+    out = attitude.solve(o, mirrors=True).withColumn("m", geometry.rotation(F.struct(*geometry.Q)))
+    return out.select("frame_id", "mirrored", F.col("n_observations").cast("long").alias("n"), *[r6(f"m.{k}", 5).alias(k) for k in ("r00", "r01", "r12", "r22")])
+
+
 @query("f22_a11_residuals", t.with_sql(t.SKY_SQL, _TRUE, f"SELECT frame_id, {s6('sqrt(avg(e * e))', 4)} AS rms_arcsec, {s6('sum(pow(e / 3600 / 57.2958, 2))')} AS total FROM (SELECT frame_id, degrees(acos(greatest(-1.0, least(1.0, bx*x + by_*y + bz*z)))) * 3600 AS e FROM obsd) GROUP BY frame_id"))
 def a11_residuals(spark, d):
     # Against no rotation, so that the errors aren't rounding alone.
