@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolign.functions.geometry import dot, radec_to_vector
+from astrolign.operators.nearest import nearest_vectors  # noqa: F401
 from astrolign.operators.sky_tree import LISTS, angle_lists, within_angle  # noqa: F401  pairs by angle belong to the joins
 
 
@@ -65,34 +63,3 @@ def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     first, last = (F.floor(F.col(left_key) / width + sign * (reach / width + 1e-6)) for sign in (-1, 1))
     probes = left.withColumn("bucket", F.explode(F.sequence(first, last)))
     return probes.join(keyed, "bucket").where(F.abs(F.col(left_key) - F.col(right_key)) <= reach).drop("bucket")
-
-
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = 256, block: int = 1024) -> DataFrame:
-    """query, vector (ids), rank (from 0) of the k vectors (vector: id, v: array) nearest to each query (query: id, q: array), ties to the smaller id. A stated set of queries is held against all vectors:
-    both are packed into blocks, each query block meets each vector block by the block's number, and only the best k of each meeting come out. Distances are sums of squared differences
-    in order, the same for equal vectors wherever they lie."""
-    n_blocks, n_chunks = (max(1, -(-df.count() // size)) for df, size in ((vectors, block), (queries, chunk)))
-    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
-    held = vectors.groupBy(deal("vector", n_blocks).alias("block")).agg(F.collect_list(F.struct("vector", "v")).alias("vectors"))
-    asked = queries.groupBy(deal("query", n_chunks).alias("chunk")).agg(F.collect_list(F.struct("query", "q")).alias("queries"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    out = pa.schema([("query", pa.string() if queries.schema["query"].dataType.simpleString() == "string" else pa.int64()), ("vector", pa.int64()), ("distance", pa.float64())])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked_, held_ in zip(batch.column(0), batch.column(1), strict=True):
-                rows = asked_.as_py()
-                other = sorted(((r["vector"], r["v"]) for r in held_.as_py()), key=lambda r: r[0])
-                ids, v = np.array([i for i, _ in other]), np.array([x for _, x in other], float)
-                best = []
-                for r in rows:
-                    distance = np.zeros(len(v))
-                    for column, value in zip(v.T, r["q"], strict=True):
-                        distance += (column - value) ** 2
-                    near = np.argsort(distance, kind="stable")[:k]
-                    best += [(r["query"], int(ids[j]), float(distance[j])) for j in near]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*best, strict=True), out, strict=True)], schema=out)
-
-    query_type = queries.schema["query"].dataType.simpleString()
-    found = asked.join(held, "block").select("queries", "vectors").mapInArrow(meet, f"query {query_type}, vector long, distance double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vector")) - 1).where(F.col("rank") < k).drop("distance")
