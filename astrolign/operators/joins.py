@@ -34,11 +34,12 @@ def _side(degrees: float, least: float = 2 / 1000) -> float:
 
 def within_cone(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFrame:
     """Columns of frames (frame_id, ra, dec, ...) and of stars (x, y, z, ...; no names in common) for each star within the angle of a frame's direction, and cosine: of the angle between them.
-    Stars stay in their own cube cell, frames go to theirs and its neighbours: an equality join, whatever the sizes."""
+    Stars stay in their own cube cell, frames go to theirs and its neighbours: an equality join, whatever the sizes. Stars are dealt out first: small tables come in one piece, but each star is held against many frames."""
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     axis = radec_to_vector(F.col("ra"), F.col("dec"))
     side = _side(degrees)
     asked = _neighbours(frames.select("*", F.struct(*[axis[k].alias(k) for k in "xyz"]).alias("axis"), *_cells(axis, side)))
-    held = stars.select("*", *_cells({k: F.col(k) for k in "xyz"}, side))
+    held = stars.select("*", *_cells({k: F.col(k) for k in "xyz"}, side)).repartition(n)
     product = dot({k: F.col(f"axis.{k}") for k in "xyz"}, {k: F.col(k) for k in "xyz"})
     joined = asked.join(held, ["cx", "cy", "cz"]).withColumn("cosine", product).where(F.col("cosine") >= math.cos(math.radians(min(degrees, 180.0))))
     return joined.drop("cx", "cy", "cz", "axis")
@@ -50,6 +51,11 @@ def cone_search(frames: DataFrame, stars: DataFrame, degrees: float) -> DataFram
     return found.select("frame_id", "hip", F.degrees(F.acos(F.greatest(F.least("cosine", F.lit(1.0)), F.lit(-1.0)))).alias("sep")).where(F.col("sep") <= degrees)
 
 
+def kept_behind(joined: DataFrame, condition: Column) -> DataFrame:
+    """joined.where(condition), where the condition is costly: as a generator, which is not pushed into the join below it, and so runs for the join's rows and not for its candidates."""
+    return joined.withColumn("__kept", F.explode(F.when(condition, F.array(F.lit(True))))).drop("__kept")
+
+
 def with_bucket(pairs: DataFrame, tolerance: float, column: str = "ang") -> DataFrame:
     return pairs.withColumn("bucket", F.floor(F.col(column) / tolerance))
 
