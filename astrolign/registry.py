@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from astrolign import tables as t
 from astrolign.config import Camera, Detection, Photometry
 from astrolign.functions import accuracy, camera, geometry, photometry
-from astrolign.operators import attitude, graph, image, joins, reports, sky_tree, voting
+from astrolign.operators import attitude, graph, image, joins, reports, sky_tree, training, voting
 from astrolign.plans import pipelines
 from astrolign.sources import catalogue, fits, fits_source
 from astrolign.sources.shared import kept, new_path, staged
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "flagship_identify"
 CAM = Camera()
+_WEIGHTS: dict[tuple[str, str], dict] = {}  # of this application, by folder
 
 
 def query(name: str, sql: str | None = None):
@@ -378,13 +379,23 @@ def u3_fallback(spark, d):
 
 @query("u3_m6_fallback")
 def u3_m6(spark, d):
-    """The whole chain: pair voting, and for frames that it fails the graph network's embeddings against the stored ones of the catalogue."""
-    w, stars, cat = graph.weights(), voting.selected(t.sky_stars(spark, d)), t.catalogue(spark, d)
+    """The whole chain: pair voting, and for frames that it fails the graph network, with weights fitted to this catalogue, by the embeddings of all their stars against the stored ones of the catalogue."""
+    cat, stars = t.catalogue(spark, d), t.sky_stars(spark, d)
+    if (spark.sparkContext.applicationId, d) not in _WEIGHTS:
+        _WEIGHTS[spark.sparkContext.applicationId, d] = training.fit(cat, epochs=1)[0]
+    w = _WEIGHTS[spark.sparkContext.applicationId, d]
     path = kept(spark, "embeddings", d, lambda path: graph.catalogue_embeddings(cat, w).write.parquet(path))
     index = spark.read.schema("hip long, embedding array<float>").parquet(path)
     return pipelines.matched(stars, cat, t.lists(spark, d), index=index, weights=w).withColumn("star_index", F.col("star_index").cast("long"))
 
 
+@query("k12_training_loss")
+def k12_loss(spark, d):
+    """Mean loss of each step of one pass over the stars of the graphs of neighbourhoods."""
+    losses = training.fit(t.patch_stars(spark, d), epochs=1)[1]
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double")
+
+
 @query("w8_five_brightest", t.with_sql(t.CATALOGUE_SQL, f"SELECT hip, {s6('vmag')} AS vmag FROM cat ORDER BY cat_idx LIMIT 5"))
 def w8_brightest(spark, d):
     return t.catalogue(spark, d).orderBy("vmag", "hip").limit(5).select("hip", r6("vmag").alias("vmag"))

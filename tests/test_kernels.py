@@ -258,9 +258,17 @@ def test_from_files_to_attitudes(spark, tmp_path):
         picture[r.row, r.col] = r.value
     header = {"SYNTHIMG": True, "FOCAL_L": 600.0, "CX": 64.0, "CY": 64.0, "TRUE_RA": 83.0, "TRUE_DEC": -1.0, "TRUE_ROL": 20.0}
     (tmp_path / "b.fits").write_bytes(fits.encode(picture, header))
+    # The sky as files mostly have it: columns the other way round, a plate scale, no distortion; mirrored about the middle of column 64.
+    plain = pipelines.visible(spark.createDataFrame([(0, 83.0, -1.0, 0.0)], "frame_id long, ra double, dec double, roll double"), cat, Camera(600.0, 64.0, 64.0, 128, 128, 0.0, 0.0)).withColumn("flux", F.pow(F.lit(10.0), 5 - 0.4 * F.col("mag")))
+    turned = np.zeros((128, 128))
+    for r in image.rendered(plain, 128, 128).collect():
+        turned[r.row, (128 - r.col) % 128] = r.value
+    scale = float(np.degrees(np.arctan(1 / 600.0)))
+    (tmp_path / "d.fits").write_bytes(fits.encode(turned, {"CDELT1": -scale, "CDELT2": scale, "CRVAL1": 83.0, "CRVAL2": -1.0, "CRPIX1": 65.0, "CRPIX2": 65.0}))
     (tmp_path / "a.fits").write_bytes(b"nothing")
     (tmp_path / "c.fits").write_bytes(fits.encode(np.zeros((64, 96)), {"CD1_1": -0.01, "CRVAL1": 10.0, "CRVAL2": 5.0, "CRPIX1": 48.0, "CRPIX2": 32.0}))
     rows = {r.filename: r for r in pipelines.solve_files(spark, str(tmp_path), cat, pipelines.build_lists(cat)).collect()}
-    assert sorted(rows) == ["a.fits", "b.fits", "c.fits"] and [rows[k].success for k in sorted(rows)] == [False, True, False]
+    assert sorted(rows) == ["a.fits", "b.fits", "c.fits", "d.fits"] and [rows[k].success for k in sorted(rows)] == [False, True, False, True]
+    assert abs(rows["d.fits"].ra_error_arcsec) < 120 and abs(rows["d.fits"].dec_error_arcsec) < 120 and rows["d.fits"].residual_arcsec < 60
     good = rows["b.fits"]
     assert good.n_matched >= 3 and good.angular_error_arcsec < 60 and good.method == "triangle" and rows["a.fits"].n_detected == 0
