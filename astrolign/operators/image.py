@@ -16,8 +16,9 @@ PIXEL = ["frame_id", "row", "col"]
 
 
 def subtract_dark(pixels: DataFrame, dark: DataFrame) -> DataFrame:
-    """Less the dark frame (row, col, dark), 0 at least. Pixels that the dark frame lacks are an error in the input and leave no row."""
-    return pixels.join(dark, ["row", "col"]).select(*PIXEL, F.greatest(F.col("value") - F.col("dark"), F.lit(0.0)).alias("value"))
+    """Less the dark frame (row, col, dark), 0 at least. A pixel that the dark frame lacks is an error: the two have different shapes."""
+    known = F.coalesce("dark", F.raise_error(F.lit("the dark frame lacks pixels of the image")).cast("double"))
+    return pixels.join(dark, ["row", "col"], "left").select(*PIXEL, F.greatest(F.col("value") - known, F.lit(0.0)).alias("value"))
 
 
 def flatten(pixels: DataFrame, flat: DataFrame) -> DataFrame:

@@ -71,7 +71,27 @@ def encode(image: np.ndarray, keys: dict[str, object]) -> bytes:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, header (map of strings), data (binary: little-endian doubles by row), error of each *.fits file. What can't be read gives a row with its error and null data."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(path).select("path", "content"))
+
+
+def read_paths(paths: DataFrame) -> DataFrame:
+    """The same of the files that rows (path: a URI that pyarrow knows) name."""
+    out = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where, path = fs.FileSystem.from_uri(name)
+                with where.open_input_file(path) as stream:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([stream.read()], pa.binary())], schema=out)
+
+    return decoded(paths.select("path").mapInArrow(run, "path string, content binary"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """read() of files that are there as path, content."""
     out = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("header", pa.map_(pa.string(), pa.string())), ("data", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
