@@ -127,6 +127,11 @@ def _scale(header: Column, first: str, second: str) -> Column:
     return F.abs(F.coalesce(*[F.try_element_at(header, F.lit(k)).cast("double") for k in (first, second)]))
 
 
+def _readable(frames: DataFrame) -> Column:
+    """Frames that could be read: of a scan of headers alone, those with a width."""
+    return F.col("data" if "data" in frames.columns else "width").isNotNull()
+
+
 def cameras(frames: DataFrame, key: str = "path", default: Camera = Camera()) -> DataFrame:
     """frame_id, focal, cx, cy, width, height, k1, k2, tolerance of each frame: a synthetic image has the default camera or what its header says, one with a plate scale a camera of that scale without
     distortion and a tolerance of two pixels, any other the default one. A null tolerance stands for the settings' own."""
@@ -136,7 +141,7 @@ def cameras(frames: DataFrame, key: str = "path", default: Camera = Camera()) ->
     real = ~made & focal.isNotNull()
     pick = lambda synthetic, wcs, other: F.when(made, F.coalesce(synthetic, F.lit(float(other)))).when(real, wcs).otherwise(F.lit(float(other)))
     w, t = F.col("width").cast("double"), F.col("height").cast("double")
-    own = frames.where("width IS NOT NULL").select(
+    own = frames.where(_readable(frames)).select(
         F.col(key).alias("frame_id"), pick(h("FOCAL_L"), focal, default.focal).alias("focal"), pick(h("CX"), w / 2, default.cx).alias("cx"), pick(h("CY"), t / 2, default.cy).alias("cy"), "width", "height",
         F.when(real, 0.0).otherwise(default.k1).alias("k1"), F.when(real, 0.0).otherwise(default.k2).alias("k2"), real.alias("real"),
     )
@@ -153,7 +158,7 @@ def viewer_cameras(frames: DataFrame, key: str = "path", default: Camera = Camer
     focal, fov = focal_of_field(scale, w, t), scale * F.greatest(w, t)
     real = F.coalesce(scale > 0, F.lit(False))
     pick = lambda wcs, other: F.when(real, wcs).otherwise(F.lit(float(other)))
-    return frames.where("width IS NOT NULL").select(
+    return frames.where(_readable(frames)).select(
         F.col(key).alias("frame_id"), pick(focal, default.focal).alias("focal"), pick(F.coalesce(h("CRPIX1"), w / 2), default.cx).alias("cx"), pick(F.coalesce(h("CRPIX2"), t / 2), default.cy).alias("cy"),
         "width", "height", pick(F.lit(0.0), default.k1).alias("k1"), pick(F.lit(0.0), default.k2).alias("k2"), pick(fov, default.fov).alias("fov"),
         F.when(real, 2 * scale).alias("least_angle"), F.when(real, F.least(1.2 * fov, F.lit(20.0))).alias("most_angle"),
