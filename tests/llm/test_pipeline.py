@@ -136,3 +136,16 @@ def test_tables_need_a_shared_folder_off_local():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_five_million_blanks_pass_all_stages(spark, tmp_path):
+    """A text of white space alone, and one with words at its ends: neither crashes a stage nor takes other documents along."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(30)), "en", "s", 10) for i in range(60)]
+    docs += [(100, " " * 5_000_000, "en", "s", 10), (101, "first" + " \n" * 2_500_000 + "last", "en", "s", 10)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    enc = byte_bpe.encoding(corpus_pipeline.RANKS)
+    texts = {i: t for i, t, *_ in docs}
+    assert len(rows) >= 40 and all(n == len(byte_bpe.encode_text(enc, texts[i])) for i, n in rows.items())
