@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astrolign.config import Detection, Photometry
 from astrolign.functions.photometry import instrumental_magnitude, quality, signal_to_noise
+from astrolign.operators import components
+from astrolign.operators.selection import quantiles
+from astrolign.sources.shared import staged
 
 PIXEL = ["frame_id", "row", "col"]
 
@@ -28,26 +31,31 @@ def flatten(pixels: DataFrame, flat: DataFrame) -> DataFrame:
     return pixels.join(scaled, ["row", "col"]).select(*PIXEL, (F.col("value") / F.col("gain")).alias("value"))
 
 
-def tile_medians(pixels: DataFrame, height: int, width: int, box: int = 5) -> DataFrame:
-    """frame_id, tile_row, tile_col, median of whole tiles; rows and columns beyond the last whole tile take no part."""
-    inside = pixels.where((F.col("row") < height // box * box) & (F.col("col") < width // box * box))
-    return inside.groupBy("frame_id", F.floor(F.col("row") / box).alias("tile_row"), F.floor(F.col("col") / box).alias("tile_col")).agg(F.median("value").alias("median"))
+def _size(size: int | str) -> Column:
+    return F.lit(size) if isinstance(size, int) else F.col(size)
 
 
-def background(tiles: DataFrame, height: int, width: int, box: int = 5) -> DataFrame:
+def tile_medians(pixels: DataFrame, height: int | str, width: int | str, box: int = 5) -> DataFrame:
+    """frame_id, tile_row, tile_col, median of whole tiles; rows and columns beyond the last whole tile take no part. Sizes are numbers, or names of columns of the pixels, which the tiles keep, for frames of unlike sizes."""
+    whole = lambda size: F.floor(_size(size) / box) * box
+    inside = pixels.where((F.col("row") < whole(height)) & (F.col("col") < whole(width)))
+    sizes = [s for s in (height, width) if isinstance(s, str)]
+    return inside.groupBy("frame_id", *sizes, F.floor(F.col("row") / box).alias("tile_row"), F.floor(F.col("col") / box).alias("tile_col")).agg(F.median("value").alias("median"))
+
+
+def background(tiles: DataFrame, height: int | str, width: int | str, box: int = 5) -> DataFrame:
     """frame_id, row, col, background: tiles stretched to all pixels by linear interpolation between their ends. Each tile spreads its weight over the pixels that it
-    touches, and pixels sum up: one shuffle, no join of tiles with tiles."""
-    rows, cols = height // box, width // box
-
-    def spread(tile: str, n: int, size: int, name: str):
-        scale = (n - 1) / (size - 1) if size > 1 else 0.0
-        if scale == 0:
-            return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(i.alias("at"), F.lit(1.0).alias("weight")))
-        first = F.greatest(F.ceil((F.col(tile) - 1) / scale).cast("int"), F.lit(0))
-        last = F.least(F.floor((F.col(tile) + 1) / scale).cast("int"), F.lit(size - 1))
-        return F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("at"), F.greatest(1 - F.abs(i * scale - F.col(tile)), F.lit(0.0)).alias("weight")))
-
-    each = tiles.withColumn("r", F.explode(spread("tile_row", rows, height, "r"))).withColumn("c", F.explode(spread("tile_col", cols, width, "c")))
+    touches, and pixels sum up: one shuffle, no join of tiles with tiles. Sizes as in tile_medians()."""
+
+    def spread(tile: str, size: Column) -> Column:
+        last = (size - 1).cast("int")
+        step = F.nullif((F.floor(size / box) - 1) / F.nullif(last, F.lit(0)), F.lit(0.0))  # tiles a pixel; null for a single tile, which reaches every pixel
+        first = F.when(step.isNull(), F.lit(0)).otherwise(F.greatest(F.ceil((F.col(tile) - 1) / step).cast("int"), F.lit(0)))
+        end = F.when(step.isNull(), last).otherwise(F.least(F.floor((F.col(tile) + 1) / step).cast("int"), last))
+        weight = lambda i: F.greatest(1 - F.abs(i * F.coalesce(step, F.lit(0.0)) - F.col(tile)), F.lit(0.0))
+        return F.transform(F.sequence(first, end), lambda i: F.struct(i.alias("at"), weight(i).alias("weight")))
+
+    each = tiles.withColumn("r", F.explode(spread("tile_row", _size(height)))).withColumn("c", F.explode(spread("tile_col", _size(width))))
     return each.groupBy("frame_id", F.col("r.at").alias("row"), F.col("c.at").alias("col")).agg(F.sum(F.col("median") * F.col("r.weight") * F.col("c.weight")).alias("background"))
 
 
@@ -55,19 +63,29 @@ def remove_background(pixels: DataFrame, estimate: DataFrame) -> DataFrame:
     return pixels.join(estimate, PIXEL).select(*PIXEL, F.greatest(F.col("value") - F.col("background"), F.lit(0.0)).alias("value"))
 
 
-def noise(pixels: DataFrame) -> DataFrame:
+def noise(pixels: DataFrame, passes: bool = False) -> DataFrame:
     """frame_id, sigma: 1.4826 times the median deviation; where that is 0 the spread of pixels up to the ninth decile; then of those under the median of pixels over 0; then
-    a tenth of the whole spread, 1 at least."""
-    one = pixels.groupBy("frame_id").agg(F.median("value").alias("middle"), F.percentile("value", F.lit(0.9)).alias("p90"), F.stddev_pop("value").alias("spread"), F.median(F.when(F.col("value") > 0, F.col("value"))).alias("middle_over"))
+    a tenth of the whole spread, 1 at least. passes: medians and deciles come from selection.quantiles(), for frames whose pixels are too many for one task; pixels are then read some ten times."""
     v = F.col("value")
+    if passes:
+        own = lambda df, column, *p: quantiles(df, ["frame_id"], column, list(p))
+        parts = own(pixels, "value", 0.5, 0.9).select("frame_id", F.col("quantiles")[0].alias("middle"), F.col("quantiles")[1].alias("p90"))
+        over = own(pixels.where(v > 0), "value", 0.5).select("frame_id", F.col("quantiles")[0].alias("middle_over"))
+        one = staged(pixels.groupBy("frame_id").agg(F.stddev_pop("value").alias("spread")).join(parts, "frame_id").join(over, "frame_id", "left"), "middles")
+        off = pixels.join(one, "frame_id").select("frame_id", F.abs(v - F.col("middle")).alias("off"))
+        mad = own(off, "off", 0.5).select("frame_id", F.col("quantiles")[0].alias("mad"))
+    else:
+        one = pixels.groupBy("frame_id").agg(F.median("value").alias("middle"), F.percentile("value", F.lit(0.9)).alias("p90"), F.stddev_pop("value").alias("spread"), F.median(F.when(v > 0, v)).alias("middle_over"))
+        mad = None
     two = pixels.join(one, "frame_id").groupBy("frame_id").agg(
-        F.median(F.abs(v - F.col("middle"))).alias("mad"),
+        *([] if passes else [F.median(F.abs(v - F.col("middle"))).alias("mad")]),
         F.stddev_pop(F.when(v <= F.col("p90"), v)).alias("low"),
         F.count(F.when(v > 0, 1)).alias("n_over"),
         F.count(F.when((v > 0) & (v < F.col("middle_over")), 1)).alias("n_low_over"),
         F.stddev_pop(F.when((v > 0) & (v < F.col("middle_over")), v)).alias("low_over"),
         F.first("p90").alias("p90"), F.first("spread").alias("spread"),
     )
+    two = two.join(mad, "frame_id") if passes else two
     tiny = 1e-10
     sigma = (
         F.when(1.4826 * F.col("mad") > tiny, 1.4826 * F.col("mad"))
@@ -83,32 +101,52 @@ def mask(pixels: DataFrame, sigmas: DataFrame, d: Detection = Detection()) -> Da
     return pixels.join(sigmas, "frame_id").where(F.col("value") > d.sigma * F.greatest("sigma", F.lit(1.0)))
 
 
+_LABELLED = "frame_id long, row int, col int, value double, sigma double, label long"
+
+
+def _labelled(pixels: pd.DataFrame) -> pd.DataFrame:
+    """Pixels of one frame with the least row * 2**20 + col of those that they are connected with, among those given."""
+    key = pixels["row"].to_numpy() * (1 << 20) + pixels["col"].to_numpy()
+    order = np.argsort(key)
+    pixels, key = pixels.iloc[order], key[order]
+    root = np.arange(len(key))
+    links = []
+    for step in (1, 1 << 20):
+        at = np.searchsorted(key, key + step)
+        here = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step))
+        links.append((here, at[here]))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    while True:  # every round, linked pixels take the lower of their roots, and roots are followed to their own
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return pixels.assign(label=key[root])
+
+
 def label(pixels: DataFrame) -> DataFrame:
     """frame_id, row, col, value, sigma, label: connected pixels (over their four sides) share a label, the least row * 2**20 + col among them. A frame's masked pixels
-    form one group; a sensor bounds it."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame["row"].to_numpy() * (1 << 20) + frame["col"].to_numpy()
-        order = np.argsort(key)
-        frame, key = frame.iloc[order], key[order]
-        root = np.arange(len(key))
-        links = []
-        for step in (1, 1 << 20):
-            at = np.searchsorted(key, key + step)
-            here = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step))
-            links.append((here, at[here]))
-        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-        while True:  # every round, linked pixels take the lower of their roots, and roots are followed to their own
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        return frame.assign(label=key[root])
-
-    return pixels.select(*PIXEL, "value", "sigma").groupBy("frame_id").applyInPandas(one, "frame_id long, row int, col int, value double, sigma double, label long")
+    form one group; label_by_tiles() is for sensors too large for that."""
+    return pixels.select(*PIXEL, "value", "sigma").groupBy("frame_id").applyInPandas(_labelled, _LABELLED)
+
+
+def label_by_tiles(pixels: DataFrame, side: int = 1024) -> DataFrame:
+    """The rows of label(), with side * side pixels at most in a task, however large the frames: tiles are labelled by themselves, pixels on either side of a tile's border link their labels, and a label becomes the least
+    of those that links connect it with. Links are between labels, not pixels; their components are found by joins."""
+    tile = [F.floor(F.col(k) / side).cast("int").alias(f"tile_{k}") for k in ("row", "col")]
+    own = lambda part: _labelled(part[[*PIXEL, "value", "sigma"]])
+    local = staged(pixels.select(*PIXEL, "value", "sigma", *tile).groupBy("frame_id", "tile_row", "tile_col").applyInPandas(own, _LABELLED), "labels")
+    links = None
+    for k in ("row", "col"):
+        last = local.where(F.col(k) % side == side - 1).withColumn(k, F.col(k) + 1).select(*PIXEL, F.col("label").alias("a"))
+        first = local.where(F.col(k) % side == 0).select(*PIXEL, F.col("label").alias("b"))
+        met = last.join(first, PIXEL).select("frame_id", "a", "b").distinct()
+        links = met if links is None else links.unionByName(met)
+    roots = components.components(staged(links, "borders"), ["frame_id"]).select("frame_id", F.col("node").alias("label"), "root")
+    return local.join(roots, ["frame_id", "label"], "left").select(*PIXEL, "value", "sigma", F.coalesce("root", "label").alias("label"))
 
 
 def blobs(labelled: DataFrame) -> DataFrame:
@@ -204,18 +242,21 @@ def gaussian_centroid(cut: np.ndarray, rounds: int = 60) -> tuple[float, float,
 
 def centroids(pixels: DataFrame, stars: DataFrame, half: int = 5) -> DataFrame:
     """stars with fit_u and fit_v: a Gaussian fitted to the pixels around the centre of mass, which stays where there is no fit. Pixels meet stars by an equality of
-    frame and row, so each star's window, not the frame, is a group."""
+    frame and row, so each star's window, not the frame, is a group; Python gets batches of windows."""
     near = stars.select("frame_id", "label", "u", "v", F.explode(F.sequence(F.round("v").cast("int") - half, F.round("v").cast("int") + half)).alias("row"))
     cut = near.join(pixels, ["frame_id", "row"]).where(F.abs(F.col("col") - F.round("u")) <= half)
 
-    def one(window: pd.DataFrame) -> pd.DataFrame:
-        top, left = window["row"].min(), window["col"].min()
-        grid = np.zeros((window["row"].max() - top + 1, window["col"].max() - left + 1))
-        grid[window["row"] - top, window["col"] - left] = window["value"]
-        first = window.iloc[0]
-        fit = gaussian_centroid(grid)
-        u, v = (fit[0] + left, fit[1] + top) if fit else (first["u"], first["v"])
-        return pd.DataFrame([(first["frame_id"], first["label"], float(u), float(v))])
-
-    fitted = cut.select("frame_id", "label", "u", "v", "row", "col", "value").groupBy("frame_id", "label").applyInPandas(one, "frame_id long, label long, fit_u double, fit_v double")
+    @F.pandas_udf("fit_u double, fit_v double")
+    def fit(rows: pd.Series, cols: pd.Series, values: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        out = np.column_stack([u, v]).astype(float)
+        for k, (r, c, value) in enumerate(zip(rows, cols, values, strict=True)):
+            grid = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1))
+            grid[r - r.min(), c - c.min()] = value
+            found = gaussian_centroid(grid)
+            if found:
+                out[k] = found[0] + c.min(), found[1] + r.min()
+        return pd.DataFrame(out, columns=["fit_u", "fit_v"])
+
+    windows = cut.groupBy("frame_id", "label", "u", "v").agg(F.collect_list(F.struct("row", "col", "value")).alias("px"))  # (2 * half + 1)**2 pixels at most
+    fitted = windows.withColumn("fit", fit("px.row", "px.col", "px.value", "u", "v")).select("frame_id", "label", "fit.fit_u", "fit.fit_v")
     return stars.join(fitted, ["frame_id", "label"], "left").withColumns({"fit_u": F.coalesce("fit_u", "u"), "fit_v": F.coalesce("fit_v", "v")})

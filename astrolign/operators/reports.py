@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from astrolign.operators.selection import quantiles
+
 #: Column names of the two reports: fixed values.
 VALIDATION = ["filename", "n_detected", "n_matched", "method", "success", "angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec"]
 OCCLUSION = ["filename", "occlusion", "n_total_stars", "n_kept_stars", "triangle_success", "triangle_error_arcsec", "triangle_n_matched"]
@@ -44,7 +46,10 @@ def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return values.where(known(column)).crossJoin(F.broadcast(bounds)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def display_range(pixels: DataFrame) -> DataFrame:
+def display_range(pixels: DataFrame, passes: bool = False) -> DataFrame:
+    """low and high of each frame: its first and last percentile. passes: by selection.quantiles(), for frames whose pixels are too many for one task."""
+    if passes:
+        return quantiles(pixels, ["frame_id"], "value", [0.01, 0.99]).select("frame_id", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
     return pixels.groupBy("frame_id").agg(F.percentile("value", F.lit(0.01)).alias("low"), F.percentile("value", F.lit(0.99)).alias("high"))
 
 

@@ -135,6 +135,11 @@ def a6_noise(spark, d):
     return rounded(image.noise(t.pixels(spark, d)), "sigma")
 
 
+@query("a6_noise_by_passes", ORACLE_SQL["a6_noise"])
+def a6_noise_by_passes(spark, d):
+    return rounded(image.noise(staged(t.pixels(spark, d), "pixels"), passes=True), "sigma")
+
+
 @query("p9_mask", t.with_sql(t.IMAGE_SQL, t.NOISE_SQL, f'SELECT frame_id, r AS "row", c AS col, {s6("value")} AS value FROM masked'))
 def p9_mask(spark, d):
     return rounded(t.masked(spark, d).select(*image.PIXEL, "value"), "value")
@@ -145,6 +150,12 @@ def k1_components(spark, d):
     return image.label(t.masked(spark, d)).select(*image.PIXEL, "label")
 
 
+@query("k1_components_by_tiles", ORACLE_SQL["k1_components"])
+def k1_components_by_tiles(spark, d):
+    """Tiles of 16 pixels a side, so that a frame of 64 has borders to cross."""
+    return image.label_by_tiles(t.masked(spark, d), 16).select(*image.PIXEL, "label")
+
+
 def blobs(spark, d):
     return image.verdicts(image.blobs(image.label(t.masked(spark, d))))
 
@@ -185,6 +196,11 @@ def a17_range(spark, d):
     return rounded(reports.display_range(t.pixels(spark, d)), "low", "high")
 
 
+@query("a17_display_range_by_passes", ORACLE_SQL["a17_display_range"])
+def a17_range_by_passes(spark, d):
+    return rounded(reports.display_range(staged(t.pixels(spark, d), "pixels"), passes=True), "low", "high")
+
+
 @query("a18_image_stats", t.with_sql(t.IMAGE_SQL, f"SELECT frame_id, {s6('min(value)')} AS least, {s6('max(value)')} AS most, {s6('avg(value)')} AS mean, {s6('stddev_pop(value)')} AS std FROM px GROUP BY frame_id"))
 def a18_stats(spark, d):
     return rounded(reports.image_stats(t.pixels(spark, d)), "least", "most", "mean", "std")

@@ -107,20 +107,23 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "path string, width int, height int, header map<string,string>, data binary, error string")
 
 
-def pixels(frames: DataFrame, key: str = "path") -> DataFrame:
-    """frame_id (the key's values), row, col, value of each frame's data."""
+def pixels(frames: DataFrame, key: str = "path", sizes: bool = False) -> DataFrame:
+    """frame_id (the key's values), row, col, value of each frame's data; sizes: also the frame's height and width."""
     kind = frames.schema[key].dataType.simpleString()
     kind = kind if kind == "bigint" else "string"
-    out = pa.schema([("frame_id", pa.int64() if kind == "bigint" else pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64())])
+    own = pa.int64() if kind == "bigint" else pa.string()
+    names = ["frame_id", "row", "col", "value"] + ["height", "width"] * sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, width, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for name, height, width, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 value = np.frombuffer(data, "<f8")
                 place = np.arange(len(value))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(value), out.field(0).type), pa.array((place // width).astype(np.int32)), pa.array((place % width).astype(np.int32)), pa.array(value)], schema=out)
+                columns = [pa.array([name] * len(value), own), pa.array((place // width).astype(np.int32)), pa.array((place % width).astype(np.int32)), pa.array(value)]
+                size = [pa.array(np.full(len(value), n, np.int32)) for n in (height, width)] * sizes
+                yield pa.RecordBatch.from_arrays(columns + size, names)
 
-    return frames.where("data IS NOT NULL").select(F.col(key).cast(kind), "width", "data").mapInArrow(run, f"frame_id {kind}, row int, col int, value double")
+    return frames.where("data IS NOT NULL").select(F.col(key).cast(kind), "height", "width", "data").mapInArrow(run, f"frame_id {kind}, row int, col int, value double" + ", height int, width int" * sizes)
 
 
 def _scale(header: Column, first: str, second: str) -> Column:
