@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -559,9 +560,16 @@ _SEEN = "det AS (SELECT frame_id, count(*)::INT AS n FROM stars GROUP BY frame_i
 _ZERO = ", ".join(f"CASE WHEN g.n IS NOT NULL THEN 0.0::DOUBLE END AS {c}" for c in ("angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec"))
 
 
-@query("u4_validation_records", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, _GOOD, _SEEN, f"SELECT printf('frame_%04d.fits', f.frame_id) AS filename, coalesce(d.n, 0)::INT AS n_detected, coalesce(g.n, 0)::INT AS n_matched, CASE WHEN g.n IS NULL THEN 'triangle_failed' ELSE 'triangle' END AS method, g.n IS NOT NULL AS success, {_ZERO} FROM frames f LEFT JOIN det d USING (frame_id) LEFT JOIN good g USING (frame_id)"))
+# Frames told slightly wrong, so that errors are numbers to compare: the told direction's matrix against the real one's.
+_TOLD = "told AS (SELECT frame_id, ra + 0.01 AS ra, dec + 0.005 AS dec, roll FROM frames),\n" + re.sub(r"\b(axes|ups|xs|ys|rot)\b", r"told_\1", t.ROTATION_SQL.replace("FROM frames", "FROM told"))
+_APART = "degrees(acos((" + " + ".join(f"r.{k} * w.{k}" for k in geometry.M) + " - 1) / 2)) * 3600"
+
+
+@query("u4_validation_records", t.with_sql(t.SKY_SQL, t.PAIRS_SQL, t.VOTES_SQL, _GOOD, _SEEN, _TOLD, f"SELECT printf('frame_%04d.fits', r.frame_id) AS filename, coalesce(d.n, 0)::INT AS n_detected, coalesce(g.n, 0)::INT AS n_matched, CASE WHEN g.n IS NULL THEN 'triangle_failed' ELSE 'triangle' END AS method, g.n IS NOT NULL AS success, CASE WHEN g.n IS NOT NULL THEN {s6(_APART, 1)} END AS angular_error_arcsec, CASE WHEN g.n IS NOT NULL THEN {s6('-36.0 * cos(radians(w.dec))', 1)} END AS ra_error_arcsec, CASE WHEN g.n IS NOT NULL THEN -18.0::DOUBLE END AS dec_error_arcsec, CASE WHEN g.n IS NOT NULL THEN 0.0::DOUBLE END AS residual_arcsec FROM rot r JOIN told_rot w USING (frame_id) LEFT JOIN det d USING (frame_id) LEFT JOIN good g USING (frame_id)"))
 def u4_records(spark, d):
-    out = pipelines.validate(t.frames(spark, d), t.sky_stars(spark, d), pipelines.solve(t.sky_stars(spark, d), t.catalogue(spark, d), t.lists(spark, d)))
+    """Noiseless directions have no residual; the truth that they are held against is off by 36 and 18 arcseconds."""
+    told = t.frames(spark, d).withColumns({"ra": F.col("ra") + 0.01, "dec": F.col("dec") + 0.005})
+    out = pipelines.validate(told, t.sky_stars(spark, d), pipelines.solve(t.sky_stars(spark, d), t.catalogue(spark, d), t.lists(spark, d)))
     return rounded(out, "angular_error_arcsec", "ra_error_arcsec", "dec_error_arcsec", "residual_arcsec", n=1)
 
 
@@ -720,7 +728,11 @@ p AS (SELECT *, radians(c11 * ox + c12 * oy) AS xi, radians(c21 * ox + c22 * oy)
 c AS (SELECT page_id, (degrees(ra0 + atan2(xi, cos(dec0) - eta * sin(dec0))) + 360) % 360 AS ra, degrees(atan2(sin(dec0) + eta * cos(dec0), sqrt(xi * xi + pow(cos(dec0) - eta * sin(dec0), 2)))) AS dec FROM p)"""
 
 
-@query("f24_p13_truth", f"WITH {_WCS} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'synthetic' WHEN page_id % 3 = 1 THEN 'wcs' END AS source, CASE WHEN page_id % 3 = 0 THEN {s6('page_id % 360')} WHEN page_id % 3 = 1 THEN {s6('ra', 5)} END AS ra, CASE WHEN page_id % 3 = 0 THEN {s6('page_id % 90')} WHEN page_id % 3 = 1 THEN {s6('dec', 5)} END AS dec, CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE WHEN page_id % 3 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 45.0::DOUBLE ELSE 12.5::DOUBLE END END AS roll, CASE WHEN page_id % 3 < 2 THEN 1.0::DOUBLE END AS length FROM pages LEFT JOIN c USING (page_id)")
+_TRUTH = """frames AS (SELECT page_id AS frame_id, CASE WHEN page_id % 3 = 0 THEN (page_id % 360)::DOUBLE ELSE c.ra END AS ra, CASE WHEN page_id % 3 = 0 THEN (page_id % 90)::DOUBLE ELSE c.dec END AS dec,
+    CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE WHEN page_id % 3 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 45.0::DOUBLE ELSE 12.5::DOUBLE END END AS roll FROM pages LEFT JOIN c USING (page_id))"""
+
+
+@query("f24_p13_truth", t.with_sql(_WCS, _TRUTH, t.ROTATION_SQL, f"SELECT frame_id AS page_id, CASE WHEN frame_id % 3 = 0 THEN 'synthetic' WHEN frame_id % 3 = 1 THEN 'wcs' END AS source, {s6('ra', 5)} AS ra, {s6('dec', 5)} AS dec, {s6('roll')} AS roll, {', '.join(f'{s6(k, 5)} AS {k}' for k in geometry.M)} FROM rot"))
 def p13_truth(spark, d):
     n = F.col("page_id")
     keys = lambda **own: F.create_map(*[x for k, v in own.items() for x in (F.lit(k), F.col("page_id").cast("string") if v is None else v.cast("string") if hasattr(v, "cast") else F.lit(str(v)))])
@@ -728,8 +740,8 @@ def p13_truth(spark, d):
     turned = F.when(n % 2 == 0, keys(CD1_1="1e-3", CD1_2="1e-3", CD2_1="-1e-3", CD2_2="1e-3")).otherwise(keys(CDELT1="2e-3", CDELT2="2e-3", CROTA2="12.5"))
     h = F.when(n % 3 == 0, keys(SYNTHIMG="T", TRUE_RA=n % 360, TRUE_DEC=n % 90, TRUE_ROL=5)).when(n % 3 == 1, F.map_concat(wcs, turned)).otherwise(keys(OTHER=1))
     out = spark.read.parquet(f"{d}/pages.parquet").select("page_id", accuracy.truth(h).alias("t"))
-    q = F.col("t.quaternion")
-    return out.select("page_id", "t.source", r6("t.ra", 5).alias("ra"), r6("t.dec", 5).alias("dec"), r6("t.roll").alias("roll"), r6(F.sqrt(sum((q[k] * q[k] for k in geometry.Q[1:]), q["q0"] * q["q0"]))).alias("length"))
+    out = out.withColumn("m", geometry.rotation(F.col("t.quaternion")))  # the quaternion by its matrix, which has no sign to choose
+    return out.select("page_id", "t.source", r6("t.ra", 5).alias("ra"), r6("t.dec", 5).alias("dec"), r6("t.roll").alias("roll"), *[r6(f"m.{k}", 5).alias(k) for k in geometry.M])
 
 
 @query("f29_pixel_angles", t.with_sql(t.IMAGE_SQL, f"SELECT star, {s6('degrees(atan2(u - 32, 200.0))')} AS ax, {s6('-degrees(atan2(v - 32, 200.0))')} AS ay FROM lamp"))
@@ -744,18 +756,21 @@ def f31_cameras(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", r6(camera.focal_of_scale(s), 3).alias("focal_scale"), r6(camera.focal_of_field(s, F.lit(512), F.lit(512)), 3).alias("focal_field"), r6(camera.wcs_tolerance(s * 512, F.lit(512), F.lit(512))).alias("tolerance"))
 
 
-@query("f27_f28_k7_records", t.with_sql(t.SKY_SQL, "SELECT frame_id, round(ra, 3) + 0.0 AS ra, round(dec, 3) + 0.0 AS dec, count(*) AS n_stars_used, 'triangle' AS method, 3 AS axes, true AS reported FROM used JOIN frames USING (frame_id) GROUP BY ALL"))
+@query("f27_f28_k7_records", t.with_sql(t.SKY_SQL, f"SELECT frame_id, {s6('any_value(ra)', 3)} AS ra, {s6('any_value(dec)', 3)} AS dec, {s6('any_value(ra)', 4)} AS said_ra, {s6('any_value(dec)', 4)} AS said_dec, count(*) AS n_stars_used, count(*) AS said_stars, 'triangle' AS method, 'triangle' AS said_method, {', '.join(f'{s6(f"any_value({k})", 3)} AS {k}' for k in geometry.M)}, CASE WHEN frame_id > 0 THEN {s6('0.001 / (2 * frame_id)', 9)} ELSE 1e-6::DOUBLE END AS variance FROM used JOIN rot USING (frame_id) GROUP BY frame_id"))
 def f27_records(spark, d):
-    """Fields of the record's JSON to three digits (noiseless directions have the frame's attitude), and whether the report says the same."""
+    """Fields of the record's JSON to three digits (noiseless directions have the frame's attitude) and of the report to its four; the quaternion by its matrix; the variance about an axis for a residual of 0.001 and as many stars as the frame's id."""
     out = solved(spark, d).withColumn("q", F.struct(*[F.col(k) for k in geometry.Q]))
-    record = accuracy.attitude_record(F.col("q"), F.col("n_observations"), F.col("residual"), F.lit("triangle"), F.lit(None).cast("double"))
-    out = out.withColumn("record", record).select("frame_id", F.to_json("record").alias("json"), accuracy.report(F.col("record")).alias("report"))
-    field = lambda path: F.get_json_object("json", f"$.{path}")
-    head = F.regexp_extract_all("report", F.lit(r"(?:ra|dec)=(-?[0-9.]+)"), F.lit(1))
+    made = lambda stars, residual: accuracy.attitude_record(F.col("q"), stars, residual, F.lit("triangle"), F.lit(None).cast("double"))
+    out = out.withColumns({"record": made(F.col("n_observations"), F.col("residual")), "other": made(F.col("frame_id"), F.lit(0.001))})
+    out = out.select("frame_id", F.to_json("record").alias("json"), accuracy.report(F.col("record")).alias("report"), F.to_json("other").alias("other"))
+    field = lambda path, of="json": F.get_json_object(of, f"$.{path}")
+    said = lambda name: F.regexp_extract("report", rf"(?:^| ){name}=(\S+)", 1)
+    parts = F.from_json(field("quaternion"), "array<double>")
+    out = out.withColumn("m", geometry.rotation(F.struct(*[parts[k].alias(name) for k, name in enumerate(geometry.Q)])))
     return out.select(
-        "frame_id", r6(field("boresight.ra_deg").cast("double"), 3).alias("ra"), r6(field("boresight.dec_deg").cast("double"), 3).alias("dec"), field("n_stars_used").cast("long").alias("n_stars_used"), field("method").alias("method"),
-        F.size(F.from_json(field("covariance"), "array<array<double>>")).alias("axes"),
-        ((F.abs(head[0].cast("double") - field("boresight.ra_deg").cast("double")) < 6e-5) & (F.abs(head[1].cast("double") - field("boresight.dec_deg").cast("double")) < 6e-5)).alias("reported"),
+        "frame_id", r6(field("boresight.ra_deg").cast("double"), 3).alias("ra"), r6(field("boresight.dec_deg").cast("double"), 3).alias("dec"), r6(said("ra").cast("double"), 4).alias("said_ra"), r6(said("dec").cast("double"), 4).alias("said_dec"),
+        field("n_stars_used").cast("long").alias("n_stars_used"), said("stars").cast("long").alias("said_stars"), field("method").alias("method"), said("method").alias("said_method"), *[r6(f"m.{k}", 3).alias(k) for k in geometry.M],
+        r6(field("covariance[1][1]", "other").cast("double"), 9).alias("variance"),
     )
 
 
