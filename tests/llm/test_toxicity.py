@@ -128,3 +128,39 @@ def test_all_labelled_documents_are_fitted_in_shards(spark, monkeypatch):
     places = {toxicity.buckets_of(f"rare{k}word", a.size, a.prefix)[0] for k in range(40)}
     some = toxicity.train(docs, labels, max_rows=300, epochs=4)
     assert len(places & set(a.known.tolist())) > 0.75 * len(places) > 2 * len(places & set(some.known.tolist()))
+
+
+def test_every_labelled_document_is_fitted_and_calibrates(spark, monkeypatch):
+    """A fifth of them only calibrated thresholds, and more than one shard meant half the rounds."""
+    data = corpus(1200)
+    docs, labels = spark.createDataFrame([x[:3] for x in data], "doc_id long, text string, lang string"), spark.createDataFrame([(x[0], x[3]) for x in data], "doc_id long, toxic int")
+    known = sum(zlib.crc32(str(x[0]).encode()) % 4 != 2 for x in data)
+    fitted, scored, averaged, calibrated = [], [], toxicity._averaged, toxicity._calibrated
+
+    def spied(found, options):
+        fitted.append((options, sum(np.frombuffer(x["weights"])[0] for x in found if x["block"] == -1)))
+        return averaged(found, options)
+
+    monkeypatch.setattr(toxicity, "_averaged", spied)
+    monkeypatch.setattr(toxicity, "_calibrated", lambda rows: scored.append(rows.select("doc_id").distinct().count()) or calibrated(rows))
+    for shard in (16384, 400):
+        monkeypatch.setattr(toxicity, "SHARD", shard)
+        toxicity.train(docs, labels)
+        (options, whole), *parts = fitted
+        assert options == {} and whole == known == scored.pop() and all(n < known for _, n in parts)
+        assert sum(n for _, n in parts) == (known if shard == 400 else (toxicity.FOLDS - 1) * known)
+        fitted.clear()
+
+
+def test_the_number_of_shuffle_partitions_moves_no_shard(spark):
+    """A join dealt the shards out over all of them: with many, a shard held a few documents, and hardly a word in three of them."""
+    data = corpus(900)
+    docs, labels = spark.createDataFrame([x[:3] for x in data], "doc_id long, text string, lang string"), spark.createDataFrame([(x[0], x[3]) for x in data], "doc_id long, toxic int")
+    models = []
+    for n in ("4", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            models.append(toxicity.train(docs, labels, epochs=1))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(models[0].known) and np.array_equal(models[0].known, models[1].known) and np.array_equal(models[0].table, models[1].table)
